@@ -91,3 +91,469 @@ spread AS (
   FROM packets p, sizes),
 r AS ({measures('sensor_id, window_name, w, window_end', 'spread', 'w')})
 SELECT * EXCLUDE (w), window_end - w AS window_start FROM r"""
+
+
+# --- rules over feature rows --------------------------------------------------------------------
+
+_INT = {"packet_count", "byte_count", "min_packet_size", "max_packet_size", "unique_src_ips",
+        "unique_dst_ips", "unique_src_ports", "unique_dst_ports", "unique_ip_pairs", "ttl_diversity"}
+FROWS = "f AS (SELECT " + ", ".join(
+    [f"{sql.replace('STRING', 'VARCHAR')} AS {n}" for n, sql in FEATURE_KEYS.items()]
+    + [f"CAST({sql} AS BIGINT) AS {n}" if n in _INT else f"{sql} AS {n}"
+       for n, sql in FEATURE_COLUMNS.items()]) + " FROM lineitem)"
+
+
+def frule(**cols: str) -> str:
+    return (f"WITH {FROWS} SELECT sensor_id, sec, row_id, "
+            + ", ".join(f"{sql} AS {name}" for name, sql in cols.items()) + " FROM f")
+
+
+def best(*rules: tuple[str, str]) -> str:
+    return "round(greatest(0.0::DOUBLE, " + ", ".join(
+        f"CASE WHEN {c} THEN least(1.0::DOUBLE, {s}) ELSE 0.0 END" for c, s in rules) + "), 9)"
+
+
+def flags(*rules: tuple[str, str]) -> str:
+    return "concat_ws('|', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in rules) + ")"
+
+
+FINGERPRINT = """CASE
+  WHEN syn_ratio > 0.25 AND zero_payload_ratio > 0.3 AND unique_src_ips > 30 THEN 'syn_flood'
+  WHEN dns_ratio > 0.12 AND avg_packet_size > 600 THEN 'dns_amplification'
+  WHEN udp_ratio > 0.35 AND packet_rate > 6000 THEN 'udp_flood'
+  WHEN tcp_ratio > 0.7 AND unique_src_ips > 60 AND src_ip_entropy > 4.5 THEN 'http_flood'
+  WHEN avg_packet_size < 80 AND avg_payload_size < 30 AND tcp_ratio > 0.7 THEN 'slowloris'
+  WHEN icmp_ratio > 0.15 AND packet_rate > 5000 THEN 'icmp_flood' ELSE 'unknown' END"""
+
+SQL["fingerprint"] = frule(fingerprint=FINGERPRINT)
+SQL["detect_volumetric"] = frule(
+    volumetric_score=best(("packet_rate > 20000", "packet_rate / 60000"),
+                          ("byte_rate > 10000000", "byte_rate / 30000000")),
+    volumetric_sub_type="CASE WHEN packet_rate <= 20000 THEN 'none' WHEN syn_ratio > 0.4 THEN 'syn_flood' "
+    "WHEN udp_ratio > 0.5 THEN 'udp_flood' WHEN icmp_ratio > 0.3 THEN 'icmp_flood' "
+    "ELSE 'volumetric_generic' END")
+SQL["detect_protocol"] = frule(
+    protocol_score=best(("syn_to_ack_ratio > 3", "syn_to_ack_ratio / 10"),
+                        ("rst_ratio > 0.3", "rst_ratio / 0.5"),
+                        ("fragmentation_ratio > 0.1", "fragmentation_ratio / 0.3")),
+    protocol_indicators=flags(("syn_to_ack_ratio > 3", "incomplete_handshakes"),
+                              ("rst_ratio > 0.3", "high_rst_ratio"),
+                              ("fragmentation_ratio > 0.1", "fragment_attack")))
+_DNS = ("CASE WHEN dns_ratio > 0.2 AND avg_packet_size > 1000 "
+        "THEN least(1.0::DOUBLE, dns_ratio * avg_packet_size / 2000) ELSE 0.0::DOUBLE END")
+_NTP = ("CASE WHEN udp_ratio > 0.4 AND large_packet_ratio > 0.3 "
+        "THEN least(1.0::DOUBLE, udp_ratio * large_packet_ratio * 3) ELSE 0.0::DOUBLE END")
+SQL["detect_amplification"] = frule(
+    amplification_score=f"round(greatest({_DNS}, {_NTP}), 9)",
+    amplification_sub_type=f"CASE WHEN {_NTP} > {_DNS} THEN 'ntp_amplification' "
+    f"WHEN {_DNS} > 0 THEN 'dns_amplification' ELSE 'none' END",
+    amplification_indicators=flags(
+        ("dns_ratio > 0.2 AND avg_packet_size > 1000", "large_dns_responses"),
+        (f"{_NTP} > {_DNS}", "large_ntp_responses")))
+_A = ("tcp_ratio > 0.8 AND unique_src_ips > 100 AND packet_rate > 5000",
+      "avg_packet_size > 200 AND avg_packet_size < 800 AND packet_rate > 10000")
+SQL["detect_application"] = frule(
+    application_score=best((_A[0], "(unique_src_ips / 500) * (packet_rate / 20000)"),
+                           (_A[1], "packet_rate / 30000")),
+    application_indicators=flags((_A[0], "http_flood"), (_A[1], "get_flood")))
+_S = ("avg_payload_size < 50 AND unique_src_ips > 30 AND avg_packet_size < 100",
+      "packet_rate < 500 AND unique_src_ips > 50 AND avg_payload_size < 20")
+SQL["detect_slowloris"] = frule(
+    slowloris_score=best((_S[0], "unique_src_ips / 100"), (_S[1], "unique_src_ips / 150")),
+    slowloris_indicators=flags((_S[0], "slow_partial_requests"), (_S[1], "slow_read_attack")))
+_B = ("unique_src_ips > 50 AND ttl_diversity < 3 AND std_packet_size < 50",
+      "small_window_ratio > 0.3 AND unique_src_ips > 30")
+SQL["detect_botnet"] = frule(
+    botnet_score=best((_B[0], "unique_src_ips / 200"),
+                      (_B[1], "small_window_ratio * unique_src_ips / 100")),
+    botnet_indicators=flags((_B[0], "coordinated_botnet"), (_B[1], "resource_exhaustion_botnet")))
+_G = "src_ip_entropy > 7 AND unique_src_ips > 200"
+SQL["detect_geo"] = frule(geo_score=best((_G, "src_ip_entropy / 10")),
+                          geo_indicators=flags((_G, "geo_distributed_attack")))
+_Z = {"src_ip_entropy": "abs(src_ip_entropy - 4) > 2", "dst_ip_entropy": "abs(dst_ip_entropy - 2.5) > 2",
+      "src_port_entropy": "abs(src_port_entropy - 8) > 3",
+      "dst_port_entropy": "abs(dst_port_entropy - 3.5) > 2"}
+_ZN = "(" + " + ".join(f"CAST({c} AS INTEGER)" for c in _Z.values()) + ")"
+_ZP = "greatest(tcp_ratio, udp_ratio, icmp_ratio, dns_ratio) > 0.85"
+SQL["detect_zero_day"] = frule(
+    zero_day_score=f"round(greatest(CASE WHEN {_ZN} >= 2 THEN {_ZN} / 4 ELSE 0.0 END, "
+    f"CASE WHEN {_ZP} THEN 0.3::DOUBLE ELSE 0.0 END), 9)",
+    zero_day_indicators=flags((f"{_ZN} >= 2", "multi_feature_deviation"), (_ZP, "protocol_concentration")),
+    zero_day_features=flags(*[(c, n) for n, c in _Z.items()]))
+
+from netwatch.functions.constants import (  # noqa: E402  (fixed values)
+    EXPERT_DEFAULT, EXPERT_TABLE, MODEL_FEATURES, RESPONSE_ACTIONS, SHAPING_TABLE, TOP_FEATURE_SCALE,
+    WEIGHTED_RULES)
+
+_ZARR = "[" + ", ".join(f"abs(({n} - {m}::DOUBLE) / {s}::DOUBLE)" for n, m, s, _ in MODEL_FEATURES) + "]"
+SQL["heuristic_if"] = frule(isolation_forest_score=(
+    f"round(1 / (1 + exp(-2.5 * (0.6 * list_avg({_ZARR}) + 0.4 * list_max({_ZARR}) - 1.6))), 9)"))
+SQL["heuristic_ae"] = f"""
+WITH {FROWS}, z AS (SELECT sensor_id, sec, row_id, unnest({_ZARR}) AS z FROM f),
+r AS (SELECT *, pow(z, 1.5) AS e,
+        row_number() OVER (PARTITION BY row_id ORDER BY z DESC) AS rn FROM z)
+SELECT sensor_id, sec, row_id, round(1 / (1 + exp(-3.0 * (
+  0.5 * coalesce(sum(e / rn) FILTER (rn <= 10), 0) / 5 + 0.5 * avg(e) / 3 - 1))), 9) AS autoencoder_score
+FROM r GROUP BY ALL"""
+_RF = " + ".join(f"CASE WHEN {c.replace('D AND', ' AND').rstrip('D')} THEN {w}::DOUBLE ELSE 0.0::DOUBLE END"
+                 for w, c in WEIGHTED_RULES)
+SQL["heuristic_rf"] = frule(gradient_boosting_score=(
+    f"round(1 / (1 + exp(-8.0 * (({_RF}) / {sum(w for w, _ in WEIGHTED_RULES)!r}::DOUBLE - 0.28))), 9)"))
+
+_EXPLAIN = " UNION ALL ".join(
+    f"SELECT row_id, {i} AS pos, '{n}' AS name, '{d}' AS description, CAST({n} AS DOUBLE) AS value, "
+    f"{m}::DOUBLE AS baseline_value, "
+    f"abs(({n} - {m}::DOUBLE) / {m}::DOUBLE) AS contribution, "
+    f"CASE WHEN {n} > {m} THEN 'high' ELSE 'low' END AS direction FROM f"
+    for i, (n, m, _, d) in enumerate(MODEL_FEATURES))
+_RANKED = (f"WITH {FROWS}, e AS ({_EXPLAIN}), r AS (SELECT *, "
+           "row_number() OVER (PARTITION BY row_id ORDER BY contribution DESC, pos) AS rank FROM e)")
+SQL["explain_features"] = (
+    f"{_RANKED} SELECT row_id, rank, name, round(value, 6) AS value, "
+    "round(baseline_value, 6) AS baseline_value, round(contribution, 6) AS contribution, direction FROM r")
+SQL["explain_summary"] = f"""
+{_RANKED}, t AS (SELECT row_id, {FINGERPRINT} AS kind FROM f), l AS (
+  SELECT row_id, string_agg('  • ' || description || ': ' || printf('%.2f', value) || ' (' || direction
+    || ', ' || printf('%.0f', abs(value - baseline_value) / baseline_value * 100)
+    || '% from baseline ' || printf('%.2f', baseline_value) || ')', chr(10) ORDER BY rank) AS lines
+  FROM r WHERE rank <= 3 GROUP BY row_id)
+SELECT t.row_id, 'Attack Type: ' || CASE kind WHEN 'syn_flood' THEN 'Syn Flood'
+  WHEN 'dns_amplification' THEN 'Dns Amplification' WHEN 'udp_flood' THEN 'Udp Flood'
+  WHEN 'http_flood' THEN 'Http Flood' WHEN 'slowloris' THEN 'Slowloris'
+  WHEN 'icmp_flood' THEN 'Icmp Flood' ELSE 'Unknown' END || chr(10) || 'Key Contributing Factors:'
+  || chr(10) || lines AS summary
+FROM t JOIN l USING (row_id)"""
+_TOP = " UNION ALL ".join(
+    f"SELECT row_id, {i} AS pos, '{n}' AS name, "
+    f"CAST(printf('%.2f', abs({n} - {m}::DOUBLE) / {s}::DOUBLE) AS DOUBLE) AS z FROM f"
+    for i, (n, m, s) in enumerate(TOP_FEATURE_SCALE))
+SQL["top_features"] = f"""
+WITH {FROWS}, e AS ({_TOP}),
+r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY z DESC, pos) AS rank FROM e)
+SELECT row_id, string_agg(name || '=' || printf('%.2f', z), ' ' ORDER BY rank) AS top_features
+FROM r WHERE rank <= 6 GROUP BY row_id"""
+
+SCORED = f"""{FROWS}, s AS (
+  SELECT *, (row_id % 97) / 97 AS a, (row_id % 89) / 89 AS b, (row_id % 83) / 83 AS c FROM f),
+sk AS (SELECT *, CAST(a >= 0.45 AS INTEGER) + CAST(b >= 0.45 AS INTEGER) + CAST(c >= 0.45 AS INTEGER) AS k
+       FROM s)"""
+
+
+def ladder(score: str) -> str:
+    return (f"CASE WHEN {score} >= 0.88::DOUBLE - k * 0.02::DOUBLE THEN 'emergency' "
+            f"WHEN {score} >= 0.72::DOUBLE - k * 0.02::DOUBLE THEN 'critical' "
+            f"WHEN {score} >= 0.45 THEN 'warning' ELSE 'info' END")
+
+
+def conf(score: str) -> str:
+    return (f"round(least(1, greatest(0.05, 0.4 * (1 - least(greatest(a, b, c) - least(a, b, c), 1)) "
+            f"+ least(0.3, 0.5 * abs({score} - 0.45)) + k / 3 * 0.3)), 6)")
+
+
+SQL["severity_ladder"] = (f"WITH {SCORED} SELECT row_id, CAST(k AS BIGINT) AS k, {ladder('b')} AS severity "
+                          "FROM sk")
+SQL["confidence"] = f"WITH {SCORED} SELECT row_id, {conf('b')} AS confidence FROM sk"
+SQL["temporal_smoothing"] = f"""
+WITH {SCORED} SELECT row_id, round(c, 6) AS autoencoder_score, round(CASE WHEN c > 0.4 AND coalesce(
+  lag(c) OVER (PARTITION BY sensor_id ORDER BY sec, row_id), 0) > 0.4
+  THEN least(1, c + 0.02) ELSE c END, 6) AS smoothed_score FROM sk"""
+
+DETECTED = f"""{SCORED}, v0 AS (
+  SELECT *, {FINGERPRINT} AS fingerprint,
+    a * 0.3::DOUBLE + b * 0.4::DOUBLE + c * 0.3::DOUBLE AS s0 FROM sk),
+v1 AS (SELECT *, CASE WHEN k = 3 AND s0 > 0.3 THEN least(1, s0 + 0.05) WHEN k = 1 AND s0 > 0.35 THEN s0 * 0.8
+         WHEN k = 0 THEN s0 * 0.5 ELSE s0 END AS s1,
+         k >= 2 AND fingerprint <> 'unknown' AS lifted FROM v0),
+v2 AS (SELECT *, lag(s1 > 0.4 OR lifted, 1, false) OVER (PARTITION BY sensor_id ORDER BY sec, row_id) AS hot
+       FROM v1),
+v3 AS (SELECT *, CASE WHEN hot AND s1 > 0.4 THEN least(1, s1 + 0.02) ELSE s1 END AS s2 FROM v2),
+det0 AS (SELECT *, CASE WHEN lifted THEN greatest(s2, 0.5) ELSE s2 END AS score FROM v3),
+det AS (SELECT *, score >= 0.45 AS is_anomaly,
+         CASE WHEN score < 0.45 THEN 'none' ELSE fingerprint END AS attack_type,
+         {ladder('score')} AS severity FROM det0)"""
+SQL["ensemble_vote"] = f"""
+WITH {DETECTED} SELECT row_id, fingerprint, CAST(k AS BIGINT) AS models_agreeing,
+  round(score, 6) AS anomaly_score, is_anomaly, attack_type, severity, {conf('score')} AS confidence
+FROM det"""
+
+_MANY = "(unique_src_ips >= 20 OR src_ip_entropy >= 4)"
+_GATES = [
+    ("syn_flood", f"packet_rate >= 1000 AND syn_ratio >= 0.35 AND syn_to_ack_ratio >= 3 "
+     f"AND zero_payload_ratio >= 0.3 AND {_MANY}",
+     "packet_rate:0 syn_ratio:2 syn_to_ack_ratio:2 unique_src_ips:0"),
+    ("udp_flood", "udp_ratio >= 0.6 AND (packet_rate >= 2000 OR byte_rate >= 10000000) "
+     f"AND (large_packet_ratio >= 0.3 OR packet_rate >= 5000) AND {_MANY}",
+     "packet_rate:0 byte_rate:0 udp_ratio:2 unique_src_ips:0"),
+    ("dns_amplification", "dns_ratio >= 0.2 AND large_packet_ratio >= 0.3 AND avg_packet_size >= 800 "
+     "AND (packet_rate >= 300 OR byte_rate >= 1000000) AND unique_src_ips >= 10",
+     "dns_ratio:2 large_packet_ratio:2 avg_packet_size:0 unique_src_ips:0"),
+    ("icmp_flood", f"icmp_ratio >= 0.3 AND packet_rate >= 1000 AND {_MANY}",
+     "packet_rate:0 icmp_ratio:2 unique_src_ips:0"),
+    ("http_flood", "tcp_ratio >= 0.7 AND ack_ratio >= 0.5 AND (packet_rate >= 2000 OR byte_rate >= 8000000) "
+     "AND unique_src_ips >= 50 AND src_ip_entropy >= 4",
+     "packet_rate:0 tcp_ratio:2 ack_ratio:2 unique_src_ips:0"),
+    ("slowloris", "packet_rate >= 50 AND packet_rate <= 2000 AND tcp_ratio >= 0.7 AND avg_packet_size <= 120 "
+     "AND avg_payload_size <= 40 AND (unique_src_ips >= 20 OR unique_src_ports >= 100)",
+     "packet_rate:0 avg_packet_size:0 avg_payload_size:0 unique_src_ports:0"),
+]
+
+
+def _quoted(spec: str) -> str:
+    return "concat_ws('|', " + ", ".join(
+        f"'{n}=' || printf('%.{d}f', CAST({n} AS DOUBLE))"
+        for n, d in (x.split(":") for x in spec.split())) + ")"
+
+
+_HIGH = ("(packet_rate >= 8000 OR byte_rate >= 25000000) AND (unique_src_ips >= 25 OR src_ip_entropy >= 4.5)",
+         "packet_rate:0 byte_rate:0 unique_src_ips:0 src_ip_entropy:2")
+_REASON = ("CASE WHEN NOT is_anomaly THEN 'model_not_anomalous' "
+           "WHEN packet_rate < 50 AND byte_rate < 1000000 THEN 'low_sample_volume' "
+           + " ".join(f"WHEN attack_type IN ('{n}', 'unknown') AND {c} THEN '{n}_evidence'"
+                      for n, c, _ in _GATES)
+           + f" WHEN {_HIGH[0]} THEN 'high_volume_multisource_evidence' "
+           "ELSE 'no_operational_ddos_evidence' END")
+GATED = f"""{DETECTED}, g0 AS (SELECT *, {_REASON} AS reason FROM det),
+g AS (SELECT *, reason LIKE '%\\_evidence' ESCAPE '\\' AND reason <> 'no_operational_ddos_evidence' AS allowed,
+  CASE reason {' '.join(f"WHEN '{n}_evidence' THEN {_quoted(q)}" for n, _, q in _GATES)}
+    WHEN 'high_volume_multisource_evidence' THEN {_quoted(_HIGH[1])} ELSE '' END AS evidence FROM g0)"""
+SQL["live_gate"] = f"WITH {GATED} SELECT row_id, allowed, reason, evidence FROM g"
+SQL["apply_suppression"] = f"""
+WITH {GATED} SELECT row_id, is_anomaly AND allowed AS is_anomaly,
+  round(CASE WHEN is_anomaly AND NOT allowed THEN least(score, 0.44) ELSE score END, 6) AS anomaly_score,
+  round(CASE WHEN is_anomaly AND NOT allowed THEN score END, 6) AS raw_anomaly_score,
+  CASE WHEN is_anomaly AND NOT allowed THEN 'none' ELSE attack_type END AS attack_type,
+  CASE WHEN is_anomaly AND NOT allowed THEN 'info' ELSE severity END AS severity,
+  CASE WHEN is_anomaly THEN NOT allowed END AS suppressed,
+  CASE WHEN is_anomaly AND NOT allowed THEN reason END AS suppression_reason,
+  CASE WHEN is_anomaly AND allowed THEN reason END AS gate_reason,
+  CASE WHEN is_anomaly THEN evidence END AS gate_evidence FROM g"""
+
+
+def _case(key: str, table: dict, default: str, at: int | None = None) -> str:
+    return f"CASE {key} " + " ".join(
+        f"WHEN '{k}' THEN '{v if at is None else v[at]}'" for k, v in table.items()) + f" ELSE {default} END"
+
+
+_EX = ["mitre_id", "osi_layer", "expert_description", "mitigation"]
+SQL["expert_lookup"] = (
+    f"WITH {FROWS}, t AS (SELECT row_id, {FINGERPRINT} AS fingerprint FROM f) SELECT row_id, fingerprint, "
+    + ", ".join(_case("fingerprint", EXPERT_TABLE, f"'{EXPERT_DEFAULT[i]}'", i) + f" AS {n}"
+                for i, n in enumerate(_EX)) + " FROM t")
+
+ALERTS = """alerts AS (
+  SELECT event_id, CAST(event_id AS VARCHAR) AS alert_id, CAST(floor(epoch(ts)) AS BIGINT) AS t,
+    epoch_us(ts) AS us, user_id, value, 's' || CAST(user_id % 3 AS VARCHAR) AS sensor_id,
+    CASE event_type WHEN 'click' THEN 'syn_flood' WHEN 'view' THEN 'udp_flood'
+      WHEN 'purchase' THEN 'dns_amplification' WHEN 'error' THEN 'http_flood' ELSE 'unknown' END AS attack_type,
+    CASE WHEN value >= 200 THEN 'emergency' WHEN value >= 100 THEN 'critical' WHEN value >= 40 THEN 'warning'
+      ELSE 'info' END AS severity,
+    least(value / 250, 1) AS anomaly_score, (event_id % 100) / 100 AS confidence,
+    value * 100 AS packet_rate, value * 70000 AS byte_rate,
+    CASE event_id % 3 WHEN 0 THEN 'ml_ensemble|sensor' WHEN 1 THEN 'sensor' ELSE 'local_threat_guard' END
+      AS sources,
+    list_transform(generate_series(0, user_id % 7),
+      lambda i : '10.1.' || CAST(user_id % 50 AS VARCHAR) || '.' || CAST(i AS VARCHAR)) AS source_ips
+  FROM events)"""
+SQL["shaping_recommendation"] = (
+    f"WITH {ALERTS} SELECT event_id, attack_type, "
+    + ", ".join(_case("attack_type", SHAPING_TABLE, d, i) + f" AS {n}" for i, (n, d) in enumerate(
+        [("shaping_action", "'monitor'"), ("rate_limit", "'none'"), ("block_duration", "NULL")]))
+    + " FROM alerts")
+SQL["classify_alert"] = f"""WITH {ALERTS} SELECT event_id, CASE
+  WHEN anomaly_score >= 0.9 OR packet_rate >= 50000 THEN 'emergency'
+  WHEN anomaly_score >= 0.75 OR packet_rate >= 30000 THEN 'critical'
+  WHEN anomaly_score >= 0.6 OR packet_rate >= 15000 THEN 'warning' ELSE 'info' END AS tier FROM alerts"""
+SQL["response_actions_for"] = (
+    f"WITH {ALERTS} SELECT event_id, "
+    + _case("severity", {k: "|".join(v) for k, v in RESPONSE_ACTIONS.items()}, "'log_event'")
+    + " AS actions FROM alerts")
+
+
+# --- packets: predicates, context ----------------------------------------------------------------
+
+SQL["packet_flags"] = f"""WITH {PACKETS} SELECT sequence_number, ack_number, src_ip, CAST(dst_port AS BIGINT) AS dst_port,
+  sensor_id, protocol = 6 AS is_tcp, protocol = 17 AS is_udp, protocol IN (1, 58) AS is_icmp,
+  protocol = 53 OR src_port = 53 OR dst_port = 53 AS is_dns, flags & 2 <> 0 AND flags & 16 = 0 AS is_syn,
+  flags = 18 AS is_syn_ack, flags & 16 <> 0 AND flags & 2 = 0 AS is_ack, flags & 4 <> 0 AS is_rst,
+  flags & 1 <> 0 AS is_fin, payload_size = 0 AS is_zero_payload, window_size < 4096 AS is_small_window,
+  fragment_offset > 0 AS is_fragment, packet_size > 1400 AS is_large FROM packets"""
+SQL["filter_target"] = f"""WITH {PACKETS} SELECT sequence_number, ack_number, src_ip,
+  CAST(dst_port AS BIGINT) AS dst_port, dst_ip, CAST(src_port AS BIGINT) AS src_port,
+  CAST(protocol AS BIGINT) AS protocol FROM packets
+WHERE '10.0.1.102' IN (src_ip, dst_ip) AND (
+  (protocol = 6 AND (src_port IN (53, 443) OR dst_port IN (53, 443)))
+  OR (protocol IN (17, 53) AND 53 IN (src_port, dst_port)))"""
+SQL["drop_late"] = f"""WITH {PACKETS} SELECT sequence_number, ack_number, src_ip,
+  CAST(dst_port AS BIGINT) AS dst_port, us FROM packets WHERE us >= 1704067210000000"""
+
+
+def _ctx(dim: str, limit: int, alias: str, where: str = "true") -> str:
+    return f"""{alias} AS (SELECT sensor_id, sec,
+    string_agg(CAST(v AS VARCHAR), '|' ORDER BY rn) AS l,
+    string_agg(CAST(v AS VARCHAR) || '=' || CAST(c AS VARCHAR), ' ' ORDER BY rn) AS m, min_by(v, rn) AS top
+  FROM (SELECT sensor_id, sec, {dim} AS v, count(*) AS c, row_number() OVER (
+      PARTITION BY sensor_id, sec ORDER BY count(*) DESC, {dim}) AS rn FROM packets GROUP BY sensor_id, sec, {dim})
+  WHERE rn <= {limit} AND {where} GROUP BY sensor_id, sec)"""
+
+
+ENDPOINTS = f"""{_ctx('src_ip', 20, 'ca')}, {_ctx('dst_ip', 20, 'cb')},
+{_ctx('src_port', 20, 'cc', 'v > 0')}, {_ctx('dst_port', 20, 'cd', 'v > 0')}, {_ctx('protocol', 10, 'ce')},
+cs AS (SELECT sensor_id, sec, count(*) AS packet_sample_count, min(us) AS first_seen, max(us) AS last_seen
+  FROM packets GROUP BY ALL),
+ctx AS (SELECT cs.sensor_id, cs.sec AS window_start, packet_sample_count, first_seen, last_seen,
+  coalesce(ca.l, '') AS source_ips, coalesce(cb.l, '') AS target_ips, coalesce(cc.l, '') AS source_ports,
+  coalesce(cd.l, '') AS target_ports, CAST(ce.top AS BIGINT) AS protocol,
+  coalesce(ca.m, '') AS source_ip_counts, coalesce(cb.m, '') AS target_ip_counts,
+  coalesce(cd.m, '') AS target_port_counts, coalesce(ce.m, '') AS protocol_counts
+FROM cs LEFT JOIN ca USING (sensor_id, sec) LEFT JOIN cb USING (sensor_id, sec)
+  LEFT JOIN cc USING (sensor_id, sec) LEFT JOIN cd USING (sensor_id, sec) LEFT JOIN ce USING (sensor_id, sec))"""
+SQL["packet_context"] = f"WITH {PACKETS}, {ENDPOINTS} SELECT * FROM ctx"
+
+
+def heuristics(source: str) -> str:
+    """CTEs h(..., a, b, c): the three fallback scores of ``source``, which has a unique ``row_id``."""
+    return f"""
+hz AS (SELECT row_id, unnest({_ZARR}) AS z FROM {source}),
+hr AS (SELECT row_id, z, pow(z, 1.5) AS e, row_number() OVER (PARTITION BY row_id ORDER BY z DESC) AS rn FROM hz),
+hs AS (SELECT row_id, 1 / (1 + exp(-2.5 * (0.6 * avg(z) + 0.4 * max(z) - 1.6))) AS a,
+  1 / (1 + exp(-3.0 * (0.5 * sum(e / rn) FILTER (rn <= 10) / 5 + 0.5 * avg(e) / 3 - 1))) AS c
+  FROM hr GROUP BY row_id),
+s AS (SELECT t.*, a, 1 / (1 + exp(-8.0 * (({_RF}) / {sum(w for w, _ in WEIGHTED_RULES)!r}::DOUBLE - 0.28))) AS b, c
+  FROM {source} t JOIN hs USING (row_id)),
+sk AS (SELECT *, CAST(a >= 0.45 AS INTEGER) + CAST(b >= 0.45 AS INTEGER) + CAST(c >= 0.45 AS INTEGER) AS k FROM s)"""
+
+
+_VOTE = DETECTED[len(SCORED):]
+WINDOW_DETECTED = f"""{VECTORS}, wv AS (SELECT *, sensor_id || '@' || CAST(window_start AS VARCHAR) AS row_id,
+  window_start AS sec FROM vectors), {heuristics('wv')} {_VOTE}"""
+SQL["detections_with_context"] = f"""
+WITH {WINDOW_DETECTED}, {ENDPOINTS}
+SELECT d.sensor_id, d.window_start, packet_rate, packet_sample_count, protocol, source_ips, attack_type,
+  round(score, 6) AS anomaly_score
+FROM det d JOIN ctx c ON d.sensor_id = c.sensor_id AND d.window_start = c.window_start"""
+
+# --- metric samples ------------------------------------------------------------------------------
+
+METRICS = """m AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS sec, epoch_us(ts) AS us, event_id AS sample_id,
+  event_type AS metric, value, 's' || CAST(user_id % 3 AS VARCHAR) AS sensor_id FROM events)"""
+SQL["rolling_baseline"] = f"""WITH {METRICS} SELECT sample_id, metric,
+  round(avg(round(value * 100)) OVER w, 6) AS mean, round(stddev_pop(round(value * 100)) OVER w, 6) AS std,
+  min(round(value * 100)) OVER e AS min, max(round(value * 100)) OVER e AS max, count(*) OVER e AS count FROM m
+WINDOW w AS (PARTITION BY metric ORDER BY sec, sample_id ROWS BETWEEN 86399 PRECEDING AND CURRENT ROW),
+  e AS (PARTITION BY metric ORDER BY sec, sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+SQL["baseline_anomaly"] = f"""WITH {METRICS}, r AS (SELECT *, avg(value) OVER w AS mu, stddev_pop(value) OVER w AS sd,
+  row_number() OVER (PARTITION BY metric ORDER BY sec, sample_id) - 1 AS n FROM m
+WINDOW w AS (PARTITION BY metric ORDER BY sec, sample_id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING))
+SELECT sample_id, metric, n AS prior_count,
+  CASE WHEN sd > 0 THEN round((value - mu) / sd, 6) ELSE 0 END AS z_score,
+  CASE WHEN n < 10 THEN false WHEN sd = 0 THEN value <> mu ELSE abs(value - mu) / sd > 3 END AS is_anomalous FROM r"""
+
+
+def _profile(keys: str, length: int) -> str:
+    return f"""SELECT {keys}, round(min(value), 4) AS min, round(max(value), 4) AS max, count(*) AS count,
+  round(avg(value) FILTER (rn <= {length}), 4) AS mean, round(stddev_pop(value) FILTER (rn <= {length}), 4) AS std
+FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY sec DESC, sample_id DESC) AS rn FROM h) GROUP BY {keys}"""
+
+
+SQL["baseline_snapshot"] = f"WITH {METRICS}, h AS (SELECT * FROM m) {_profile('metric', 1000)}"
+SQL["hourly_profile"] = (f"WITH {METRICS}, h AS (SELECT *, sec // 3600 % 24 AS hour FROM m) "
+                         f"{_profile('metric, hour', 50)}")
+ENTRIES = f"""{METRICS}, en AS (SELECT *, CASE WHEN sample_id % 2 = 0 THEN 'window_' ELSE 'ip_' END || metric || '_'
+  || sensor_id AS key FROM m)"""
+SQL["latest_features"] = f"""WITH {ENTRIES}, r AS (SELECT *, row_number() OVER (
+  PARTITION BY key ORDER BY sec DESC, sample_id DESC) AS rn FROM en WHERE key LIKE 'window%')
+SELECT key, sec, sample_id, value FROM r WHERE rn = 1 AND 1706659200 - sec <= 7200"""
+SQL["feature_history"] = f"""WITH {ENTRIES}, r AS (SELECT *, row_number() OVER (
+  PARTITION BY key ORDER BY sec DESC, sample_id DESC) AS rn FROM en)
+SELECT key, row_number() OVER (PARTITION BY key ORDER BY sec, sample_id) AS position, sec, sample_id, value
+FROM r WHERE rn <= 60"""
+SQL["traffic_history"] = f"""WITH {METRICS} SELECT sec, sample_id, metric, value FROM m
+ORDER BY sec DESC, sample_id DESC LIMIT 120"""
+_TRAIL = """OVER (PARTITION BY metric ORDER BY sec RANGE BETWEEN 300 PRECEDING AND CURRENT ROW)"""
+SQL["avg_over_5m"] = f"""WITH {METRICS} SELECT DISTINCT metric, sec, round(avg(value) {_TRAIL}, 6) AS avg_value FROM m"""
+SQL["max_over_5m"] = f"""WITH {METRICS} SELECT DISTINCT metric, sec, max(value) {_TRAIL} AS max_value FROM m"""
+SQL["latency_p95_5m"] = f"""WITH {METRICS} SELECT metric, sec - sec % 300 AS window_start,
+  round(quantile_cont(value, 0.95), 6) AS percentile, count(*) AS samples FROM m GROUP BY ALL"""
+SQL["latency_p95_hourly_sliding"] = f"""WITH {METRICS}, x AS (SELECT *, unnest(generate_series(
+  sec - sec % 600 - 3000, sec - sec % 600, 600)) AS window_start FROM m)
+SELECT metric, window_start, round(quantile_cont(value, 0.95), 6) AS percentile, count(*) AS samples
+FROM x GROUP BY ALL"""
+
+
+def _islands(source: str, keys: str, cond: str, hold: int) -> str:
+    return f"""SELECT {keys}, min(sec) AS start_sec, max(sec) AS end_sec, count(*) AS samples,
+  min(sec) FILTER (sec - s0 >= {hold}) AS fired_at
+FROM (SELECT *, min(sec) OVER (PARTITION BY {keys}, grp) AS s0 FROM (
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY sec, sample_id)
+    - row_number() OVER (PARTITION BY {keys}, {cond} ORDER BY sec, sample_id) AS grp, {cond} AS on_ FROM {source})
+  WHERE on_) GROUP BY {keys}, grp"""
+
+
+SQL["sustained_alert"] = f"WITH {METRICS} {_islands('m', 'metric', 'value > 20', 3600)}"
+_RULES = [("HighPacketRate", "packet_rate", 50000, 30, "warning"),
+          ("HighAnomalyScore", f"1 / (1 + exp(-8.0 * (({_RF}) / 1.0 - 0.28)))", 0.8, 15, "critical"),
+          ("DetectionLatencyHigh", "avg_packet_size", 200, 60, "warning")]
+SQL["sustained_rules"] = f"WITH {FROWS}, " + ", ".join(
+    f"q{i} AS (SELECT sensor_id, sec, row_id AS sample_id, {v} AS value FROM f), "
+    f"i{i} AS ({_islands(f'q{i}', 'sensor_id', f'value > {lim}', hold)})"
+    for i, (_, v, lim, hold, _s) in enumerate(_RULES)) + " " + " UNION ALL ".join(
+    f"SELECT *, '{n}' AS rule, '{s}' AS severity FROM i{i} WHERE fired_at IS NOT NULL"
+    for i, (n, _, _, _, s) in enumerate(_RULES))
+SQL["sla_status"] = f"""WITH {METRICS}, n AS (SELECT CASE metric WHEN 'click' THEN 'detection_latency_ms'
+    WHEN 'view' THEN 'true_positive_rate' WHEN 'error' THEN 'false_positive_rate' END AS metric, sec, sample_id, value
+  FROM m), r AS (SELECT metric, avg(value) AS mean FROM (SELECT *, row_number() OVER (
+    PARTITION BY metric ORDER BY sec DESC, sample_id DESC) AS rn FROM n) WHERE rn <= 1000 GROUP BY metric),
+t(metric, target, low) AS (VALUES ('detection_latency_ms', 200.0::DOUBLE, true), ('true_positive_rate', 0.97, false),
+  ('false_positive_rate', 0.01, true), ('uptime_pct', 99.9, false))
+SELECT t.metric, target, round(coalesce(mean, 0), 4) AS current,
+  CASE WHEN low THEN coalesce(mean, 0) <= target ELSE coalesce(mean, 0) >= target END AS met
+FROM t LEFT JOIN r ON t.metric = r.metric"""
+SQL["idle_periods"] = f"""WITH {METRICS}, g AS (SELECT sensor_id, us, lag(us) OVER (
+  PARTITION BY sensor_id ORDER BY us) AS p FROM m)
+SELECT sensor_id, p AS idle_from, us AS idle_until, round((us - p) / 1000000, 6) AS idle_seconds
+FROM g WHERE us - p > 3600000000"""
+
+# --- reports -------------------------------------------------------------------------------------
+
+SQL["severity_breakdown"] = f"""WITH {ALERTS}, l(severity) AS (VALUES ('emergency'), ('critical'), ('warning'), ('info'))
+SELECT coalesce(l.severity, a.severity) AS severity, count(a.event_id) AS incidents,
+  (SELECT count(*) FROM alerts) AS total_incidents
+FROM l FULL JOIN alerts a ON l.severity = a.severity GROUP BY 1"""
+_STATS = """count(*) AS detection_count, count(*) FILTER (is_anomaly) AS anomaly_count,
+  round(avg(score) FILTER (rn <= 50), 4) AS avg_recent_score,
+  round(count(*) FILTER (is_anomaly) / count(*) * 100, 2) AS anomaly_rate_pct"""
+SQL["detection_stats"] = f"""WITH {DETECTED}
+SELECT sensor_id, {_STATS} FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY sec DESC, row_id DESC) AS rn
+  FROM det) GROUP BY sensor_id
+UNION ALL SELECT '*', {_STATS} FROM (SELECT *, row_number() OVER (ORDER BY sec DESC, row_id DESC) AS rn FROM det)"""
+SQL["pipeline_counters"] = f"""WITH {GATED} SELECT sensor_id, sec, row_id,
+  CAST(sum(packet_count) OVER w AS BIGINT) AS packets, CAST(sum(byte_count) OVER w AS BIGINT) AS bytes,
+  count(*) OVER w AS detections, count(*) FILTER (is_anomaly AND allowed) OVER w AS attacks,
+  count(*) FILTER (is_anomaly AND NOT allowed) OVER w AS suppressed_detections
+FROM g WINDOW w AS (PARTITION BY sensor_id ORDER BY sec, row_id)"""
+SQL["binary_metrics"] = """WITH c AS (SELECT count(*) FILTER (l_returnflag = 'R' AND l_suppkey % 5 < 2) AS tp,
+  count(*) FILTER (l_returnflag <> 'R' AND l_suppkey % 5 < 2) AS fp,
+  count(*) FILTER (l_returnflag = 'R' AND l_suppkey % 5 >= 2) AS fn FROM lineitem),
+d AS (SELECT *, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r FROM c)
+SELECT tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall,
+  round(2 * p * r / greatest(p + r, 1e-6), 6) AS f1 FROM d"""
+SQL["classification_metrics"] = """WITH x AS (SELECT l_returnflag AS y,
+  CASE WHEN l_partkey % 4 = 0 THEN 'N' ELSE l_returnflag END AS p FROM lineitem),
+k AS (SELECT DISTINCT y FROM x),
+c AS (SELECT k.y, count(*) FILTER (x.y = k.y) AS s, count(*) FILTER (p = k.y) AS q,
+  count(*) FILTER (x.y = k.y AND p = k.y) AS h FROM x, k GROUP BY k.y),
+d AS (SELECT *, coalesce(h / nullif(q, 0), 0) AS pr, coalesce(h / nullif(s, 0), 0) AS re FROM c)
+SELECT CAST(sum(s) AS BIGINT) AS rows, round(sum(h) / sum(s), 6) AS accuracy, round(avg(re), 6) AS balanced_accuracy,
+  round(sum(pr * s) / sum(s), 6) AS precision, round(sum(re * s) / sum(s), 6) AS recall,
+  round(sum(coalesce(2 * pr * re / nullif(pr + re, 0), 0) * s) / sum(s), 6) AS f1_score FROM d"""
+SQL["error_distribution"] = """WITH e AS (SELECT l_returnflag = 'R' AS is_attack,
+  l_extendedprice / 1000 + CASE WHEN l_returnflag = 'R' THEN 50 ELSE 0 END AS e FROM lineitem),
+d AS (SELECT is_attack, avg(e) AS mean, stddev_pop(e) AS std, count(*) AS n, quantile_cont(e, 0.5) AS p50,
+  quantile_cont(e, 0.95) AS p95, quantile_cont(e, 0.97) AS p97 FROM e GROUP BY 1)
+SELECT is_attack, round(mean, 6) AS mean, round(std, 6) AS std, n, round(p50, 6) AS p50, round(p95, 6) AS p95,
+  round(p97, 6) AS p97, round(((SELECT p50 FROM d WHERE is_attack) - (SELECT p95 FROM d WHERE NOT is_attack))
+    / (SELECT std FROM d WHERE NOT is_attack), 6) AS separation FROM d"""
+SQL["class_profile"] = """WITH c AS (SELECT CASE l_returnflag WHEN 'N' THEN 'BENIGN' WHEN 'A' THEN 'Syn'
+  ELSE 'DrDoS_DNS' END AS label, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT label, n, (SELECT n FROM c WHERE label = 'BENIGN') AS normal_rows,
+  CAST((SELECT sum(n) FROM c WHERE label <> 'BENIGN') AS BIGINT) AS attack_rows FROM c"""

@@ -61,3 +61,353 @@ for _name, _cols in FEATURE_GROUPS.items():
 @query
 def multi_window_features(spark, sf_dir):
     return rounded(ft.multi_window_features(tt.packets(spark, sf_dir)))
+
+
+# --- rules over feature rows --------------------------------------------------------------------
+
+from netwatch.operators import gate as gt  # noqa: E402
+from netwatch.operators import rules as ru  # noqa: E402
+
+KEYS = ["sensor_id", "sec", "row_id"]
+
+
+def joined(name: str, sep: str = "|") -> "F.Column":
+    return F.array_join(F.col(name), sep).alias(name)
+
+
+def _rule(fn, *cols):
+    def run(spark, sf_dir):
+        df = fn(tt.feature_rows(spark, sf_dir)).select(*KEYS, *cols)
+        return rounded(df.select(*[joined(c) if t.startswith("array") else F.col(c)
+                                   for c, t in df.dtypes]), 9)
+    return run
+
+
+QUERIES["fingerprint"] = _rule(ru.fingerprint, "fingerprint")
+QUERIES["detect_volumetric"] = _rule(ru.detect_volumetric, "volumetric_score", "volumetric_sub_type")
+QUERIES["detect_protocol"] = _rule(ru.detect_protocol, "protocol_score", "protocol_indicators")
+QUERIES["detect_amplification"] = _rule(
+    ru.detect_amplification, "amplification_score", "amplification_sub_type", "amplification_indicators")
+QUERIES["detect_application"] = _rule(
+    ru.detect_application, "application_score", "application_indicators")
+QUERIES["detect_slowloris"] = _rule(ru.detect_slowloris, "slowloris_score", "slowloris_indicators")
+QUERIES["detect_botnet"] = _rule(ru.detect_botnet, "botnet_score", "botnet_indicators")
+QUERIES["detect_geo"] = _rule(ru.detect_geo, "geo_score", "geo_indicators")
+QUERIES["detect_zero_day"] = _rule(
+    ru.detect_zero_day, "zero_day_score", "zero_day_indicators", "zero_day_features")
+QUERIES["heuristic_if"] = _rule(ru.heuristic_if, "isolation_forest_score")
+QUERIES["heuristic_ae"] = _rule(ru.heuristic_ae, "autoencoder_score")
+QUERIES["heuristic_rf"] = _rule(ru.heuristic_rf, "gradient_boosting_score")
+
+
+@query
+def explain_features(spark, sf_dir):
+    return rounded(ru.explain_features(tt.feature_rows(spark, sf_dir), ["row_id"])
+                   .drop("description"))
+
+
+@query
+def explain_summary(spark, sf_dir):
+    return ru.explain_summary(ru.fingerprint(tt.feature_rows(spark, sf_dir)), "fingerprint").select(
+        "row_id", "summary")
+
+
+@query
+def top_features(spark, sf_dir):
+    return ru.top_features(tt.feature_rows(spark, sf_dir)).select("row_id", F.expr(
+        "array_join(transform(top_features, e -> concat(e.name, '=', format_string('%.2f', e.z))), ' ')")
+        .alias("top_features"))
+
+
+def scored_rows(spark, sf_dir):
+    """Feature rows with three spread-out model scores, so that every vote count occurs."""
+    return tt.feature_rows(spark, sf_dir).withColumns({
+        "isolation_forest_score": F.expr("CAST(row_id % 97 AS DOUBLE) / 97"),
+        "gradient_boosting_score": F.expr("CAST(row_id % 89 AS DOUBLE) / 89"),
+        "autoencoder_score": F.expr("CAST(row_id % 83 AS DOUBLE) / 83"),
+    })
+
+
+def detections(spark, sf_dir):
+    return ru.ensemble_vote(scored_rows(spark, sf_dir), seconds="sec", ties=["row_id"])
+
+
+@query
+def severity_ladder(spark, sf_dir):
+    df = scored_rows(spark, sf_dir).withColumn("k", ru.models_above())
+    return df.select("row_id", "k", ru.severity_ladder(F.col("gradient_boosting_score"), F.col("k"))
+                     .alias("severity")).withColumn("k", F.col("k").cast("bigint"))
+
+
+@query
+def confidence(spark, sf_dir):
+    df = scored_rows(spark, sf_dir).withColumn("k", ru.models_above())
+    return rounded(df.select("row_id", ru.confidence(F.col("gradient_boosting_score"), F.col("k"))
+                             .alias("confidence")))
+
+
+@query
+def ensemble_vote(spark, sf_dir):
+    return rounded(detections(spark, sf_dir).select(
+        "row_id", "fingerprint", "models_agreeing", "anomaly_score", "is_anomaly", "attack_type",
+        "severity", "confidence"))
+
+
+@query
+def temporal_smoothing(spark, sf_dir):
+    df = scored_rows(spark, sf_dir)
+    return rounded(ru.temporal_smoothing(
+        df, "autoencoder_score", F.col("autoencoder_score") > 0.4, ["sensor_id"], "sec", ["row_id"])
+        .select("row_id", "autoencoder_score", "smoothed_score"))
+
+
+@query
+def live_gate(spark, sf_dir):
+    return gt.live_gate(detections(spark, sf_dir)).select(
+        "row_id", "gate.allowed", "gate.reason",
+        F.array_join("gate.evidence", "|").alias("evidence"))
+
+
+@query
+def apply_suppression(spark, sf_dir):
+    return rounded(gt.apply_suppression(gt.live_gate(detections(spark, sf_dir))).select(
+        "row_id", "is_anomaly", "anomaly_score", "raw_anomaly_score", "attack_type", "severity",
+        "suppressed", "suppression_reason", "gate_reason", joined("gate_evidence")))
+
+
+@query
+def expert_lookup(spark, sf_dir):
+    return ru.expert_lookup(ru.fingerprint(tt.feature_rows(spark, sf_dir)), "fingerprint").select(
+        "row_id", "fingerprint", "mitre_id", "osi_layer", "expert_description", "mitigation")
+
+
+@query
+def shaping_recommendation(spark, sf_dir):
+    return ru.shaping_recommendation(tt.alerts(spark, sf_dir)).select(
+        "event_id", "attack_type", "shaping_action", "rate_limit", "block_duration")
+
+
+@query
+def classify_alert(spark, sf_dir):
+    return ru.classify_alert(tt.alerts(spark, sf_dir)).select("event_id", "tier")
+
+
+@query
+def response_actions_for(spark, sf_dir):
+    return ru.response_actions_for(tt.alerts(spark, sf_dir)).select("event_id", joined("actions"))
+
+
+# --- packets: predicates, context ----------------------------------------------------------------
+
+from netwatch.operators import context as cx  # noqa: E402
+from netwatch.operators import packet_filters as pf  # noqa: E402
+from netwatch.operators import reports as rp  # noqa: E402
+from netwatch.operators import timeseries as ts  # noqa: E402
+
+PACKET_KEYS = ["sequence_number", "ack_number", "src_ip", "dst_port"]
+
+
+def micros(name: str, alias: str | None = None):
+    return F.unix_micros(name).alias(alias or name)
+
+
+@query
+def packet_flags(spark, sf_dir):
+    df = ft.packet_flags(tt.packets(spark, sf_dir))
+    return rounded(df.select(*PACKET_KEYS, "sensor_id", *[c for c in df.columns if c.startswith("is_")]))
+
+
+@query
+def filter_target(spark, sf_dir):
+    df = pf.filter_target(tt.packets(spark, sf_dir), "10.0.1.102", "53,443")
+    return rounded(df.select(*PACKET_KEYS, "dst_ip", "src_port", "protocol"))
+
+
+@query
+def drop_late(spark, sf_dir):
+    p = tt.packets(spark, sf_dir)
+    newest = F.expr("timestamp_seconds(1704067220)")
+    return rounded(pf.drop_late(p, newest).select(*PACKET_KEYS, micros("ts", "us")))
+
+
+@query
+def packet_context(spark, sf_dir):
+    df = cx.packet_context(tt.packets(spark, sf_dir))
+
+    def pairs(name):
+        return F.expr(f"array_join(transform(map_entries({name}), e -> concat(e.key, '=', e.value)), ' ')"
+                      ).alias(name)
+    return rounded(df.select(
+        "sensor_id", "window_start", "packet_sample_count", micros("first_seen"), micros("last_seen"),
+        joined("source_ips"), joined("target_ips"), joined("source_ports"), joined("target_ports"),
+        "protocol", pairs("source_ip_counts"), pairs("target_ip_counts"), pairs("target_port_counts"),
+        pairs("protocol_counts")))
+
+
+@query
+def detections_with_context(spark, sf_dir):
+    p = tt.packets(spark, sf_dir)
+    features = ft.feature_vector(p)
+    found = ru.ensemble_vote(ru.heuristic_scores(features)).select(
+        "sensor_id", "window_start", "anomaly_score", "attack_type")
+    return rounded(cx.detections_with_context(features, cx.packet_context(p), found).select(
+        "sensor_id", "window_start", "packet_rate", "packet_sample_count", "protocol",
+        joined("source_ips"), "attack_type", "anomaly_score"))
+
+
+# --- metric samples ------------------------------------------------------------------------------
+
+@query
+def rolling_baseline(spark, sf_dir):
+    cents = tt.metrics(spark, sf_dir).withColumn("value", F.round(F.col("value") * 100))
+    return ts.rolling_baseline(cents, digits=6, block_seconds=86400).select(
+        "sample_id", "metric", "mean", "std", "min", "max", "count")
+
+
+@query
+def baseline_anomaly(spark, sf_dir):
+    df = ts.baseline_anomaly(tt.metrics(spark, sf_dir), length=200, block_seconds=86400)
+    return rounded(df.select("sample_id", "metric", "prior_count", "z_score", "is_anomalous"))
+
+
+@query
+def baseline_snapshot(spark, sf_dir):
+    return ts.baseline_snapshot(tt.metrics(spark, sf_dir), length=1000)
+
+
+@query
+def hourly_profile(spark, sf_dir):
+    return ts.hourly_profile(tt.metrics(spark, sf_dir), length=50)
+
+
+def entries(spark, sf_dir):
+    return tt.metrics(spark, sf_dir).withColumn(
+        "key", F.expr("concat(IF(sample_id % 2 = 0, 'window_', 'ip_'), metric, '_', sensor_id)"))
+
+
+@query
+def latest_features(spark, sf_dir):
+    as_of = F.lit(1706659200)  # the last day of the samples
+    return ts.latest_features(entries(spark, sf_dir), as_of, 7200, "window_", ["sec", "sample_id"]).select(
+        "key", "sec", "sample_id", "value")
+
+
+@query
+def feature_history(spark, sf_dir):
+    return rounded(ts.feature_history(entries(spark, sf_dir), order=["sec", "sample_id"]).select(
+        "key", "position", "sec", "sample_id", "value"))
+
+
+@query
+def traffic_history(spark, sf_dir):
+    return ts.traffic_history(tt.metrics(spark, sf_dir), ["sec", "sample_id"]).select(
+        "sec", "sample_id", "metric", "value")
+
+
+@query
+def avg_over_5m(spark, sf_dir):
+    return rounded(ts.trailing_stats(tt.metrics(spark, sf_dir), ["metric"]).drop("max_value"))
+
+
+@query
+def max_over_5m(spark, sf_dir):
+    return ts.trailing_stats(tt.metrics(spark, sf_dir), ["metric"]).drop("avg_value")
+
+
+@query
+def latency_p95_5m(spark, sf_dir):
+    return rounded(ts.windowed_percentile(tt.metrics(spark, sf_dir), ["metric"]))
+
+
+@query
+def latency_p95_hourly_sliding(spark, sf_dir):
+    return rounded(ts.windowed_percentile(tt.metrics(spark, sf_dir), ["metric"], window=3600, slide=600))
+
+
+@query
+def sustained_alert(spark, sf_dir):
+    return ts.sustained_condition(
+        tt.metrics(spark, sf_dir), F.col("value") > 20, 3600, ["metric"], block_seconds=86400)
+
+
+@query
+def sustained_rules(spark, sf_dir):
+    """The three standing rules over per-second packet rate, score and latency of every feature row."""
+    f = ru.heuristic_rf(tt.feature_rows(spark, sf_dir))
+    samples = f.select(
+        "sensor_id", "sec", F.col("row_id").alias("sample_id"), F.explode(F.expr(
+            "map('packet_rate', packet_rate, 'anomaly_score', gradient_boosting_score, "
+            "'detection_latency_ms', avg_packet_size)")).alias("metric", "value"))
+    return ts.sustained_alerts(samples, ["sensor_id"])
+
+
+def sla_samples(spark, sf_dir):
+    return tt.metrics(spark, sf_dir).withColumn("metric", F.expr(
+        "CASE metric WHEN 'click' THEN 'detection_latency_ms' WHEN 'view' THEN 'true_positive_rate' "
+        "WHEN 'error' THEN 'false_positive_rate' ELSE metric END"))
+
+
+@query
+def sla_status(spark, sf_dir):
+    return ts.sla_status(sla_samples(spark, sf_dir))
+
+
+@query
+def idle_periods(spark, sf_dir):
+    p = tt.metrics(spark, sf_dir)
+    return rounded(ts.idle_periods(p, 3600).select(
+        "sensor_id", micros("idle_from"), micros("idle_until"), "idle_seconds"))
+
+
+# --- reports -------------------------------------------------------------------------------------
+
+@query
+def severity_breakdown(spark, sf_dir):
+    return rp.severity_breakdown(tt.alerts(spark, sf_dir))
+
+
+@query
+def detection_stats(spark, sf_dir):
+    d = detections(spark, sf_dir)
+    by_sensor = rp.detection_stats(d, ["sensor_id"], ["sec", "row_id"])
+    whole = rp.detection_stats(d, [], ["sec", "row_id"]).withColumn("sensor_id", F.lit("*"))
+    return rounded(by_sensor.unionByName(whole), 4)
+
+
+@query
+def pipeline_counters(spark, sf_dir):
+    d = gt.apply_suppression(gt.live_gate(detections(spark, sf_dir)))
+    return rp.pipeline_counters(d, {
+        "packets": F.col("packet_count"), "bytes": F.col("byte_count"),
+        "detections": F.lit(1).cast("long"), "attacks": F.col("is_anomaly").cast("long"),
+        "suppressed_detections": F.coalesce(F.col("suppressed"), F.lit(False)).cast("long"),
+    }, ties=["row_id"])
+
+
+def predictions(spark, sf_dir):
+    return tt.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_returnflag AS label", "IF(l_partkey % 4 = 0, 'N', l_returnflag) AS prediction",
+        "IF(l_returnflag = 'R', 1, 0) AS y", "IF(l_suppkey % 5 < 2, 1, 0) AS p")
+
+
+@query
+def binary_metrics(spark, sf_dir):
+    return rounded(rp.binary_metrics(predictions(spark, sf_dir), "y", "p"))
+
+
+@query
+def classification_metrics(spark, sf_dir):
+    return rounded(rp.classification_metrics(predictions(spark, sf_dir)))
+
+
+@query
+def error_distribution(spark, sf_dir):
+    errors = tt.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_returnflag = 'R' AS is_attack",
+        "l_extendedprice / 1000 + IF(l_returnflag = 'R', 50, 0) AS error")
+    return rounded(rp.error_distribution(errors))
+
+
+@query
+def class_profile(spark, sf_dir):
+    return rp.class_profile(tt.labelled(spark, sf_dir).select(F.trim("Label").alias("label")))

@@ -66,3 +66,20 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
 
 def sql_quote(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def round_binary(x: str, digits: int) -> str:
+    """SQL text rounding a double to ``digits`` <= 2 decimals by its exact binary value.
+
+    ``round``/``bround`` look at the shortest decimal form, so 16.275 (stored slightly below) would
+    round up; here the mantissa is scaled to an integer and compared exactly, ties to even.
+    """
+    if digits == 0:
+        return f"bround({x}, 0)"
+    shift = f"(52 - CAST(floor(log2(abs({x}))) AS INT))"
+    units = f"(CAST(abs({x}) * pow(2.0D, {shift}) AS BIGINT) * {10 ** digits})"
+    unit = f"shiftleft(1L, {shift})"
+    rest = f"({units} % {unit}) * 2"
+    up = f"IF({rest} > {unit} OR ({rest} = {unit} AND ({units} DIV {unit}) % 2 = 1), 1, 0)"
+    return (f"CASE WHEN abs({x}) < 0.001D THEN 0.0D WHEN abs({x}) >= 1e9 THEN bround({x}, {digits}) "
+            f"ELSE sign({x}) * (({units} DIV {unit}) + {up}) / {10 ** digits} END")
