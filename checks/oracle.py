@@ -557,3 +557,131 @@ SQL["class_profile"] = """WITH c AS (SELECT CASE l_returnflag WHEN 'N' THEN 'BEN
   ELSE 'DrDoS_DNS' END AS label, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT label, n, (SELECT n FROM c WHERE label = 'BENIGN') AS normal_rows,
   CAST((SELECT sum(n) FROM c WHERE label <> 'BENIGN') AS BIGINT) AS attack_rows FROM c"""
+
+
+# --- alerts and responses ------------------------------------------------------------------------
+
+SQL["normalise_severity"] = f"""WITH {ALERTS} SELECT event_id, CASE event_id % 5 WHEN 0 THEN severity
+  WHEN 4 THEN 'medium' ELSE 'warning' END AS severity FROM alerts"""
+_TITLE = ("CASE attack_type WHEN 'syn_flood' THEN 'SYN Flood' WHEN 'udp_flood' THEN 'UDP Flood' "
+          "WHEN 'dns_amplification' THEN 'DNS Amplification' WHEN 'http_flood' THEN 'HTTP Flood' ELSE 'Unknown' END")
+SQL["alert_text"] = f"""WITH {ALERTS} SELECT event_id, 'DDoS Attack Detected: ' || {_TITLE} AS title,
+  'A ' || replace(attack_type, '_', ' ') || ' attack has been detected with an anomaly score of '
+  || printf('%.2f', anomaly_score) || '. Current packet rate: ' || printf('%.0f', packet_rate) || ' pps.' AS description
+FROM alerts"""
+
+
+def greedy(key: str, gap: int) -> str:
+    """Rows kept when a row is dropped that follows the last kept one of its key by less than gap."""
+    return f"""
+firsts AS (SELECT {key} AS k, t, min(event_id) AS event_id FROM alerts GROUP BY ALL),
+kept AS (
+  SELECT k, min(t) AS t FROM firsts GROUP BY k
+  UNION ALL
+  SELECT kept.k, (SELECT min(f.t) FROM firsts f WHERE f.k = kept.k AND f.t >= kept.t + {gap}) AS t
+  FROM kept WHERE t IS NOT NULL)"""
+
+
+_KEY = "sensor_id || '|' || attack_type || ':' || severity"
+SQL["create_alerts"] = f"""WITH RECURSIVE {ALERTS}, {greedy(_KEY, 7200)}
+SELECT sensor_id, t, event_id, attack_type, severity,
+  substr(sha256(sensor_id || '|' || md5(attack_type || ':' || severity) || '|' || CAST(t AS VARCHAR)), 1, 8) AS alert_id,
+  'DDoS Attack Detected: ' || {_TITLE} AS title,
+  {_case("attack_type", EXPERT_TABLE, f"'{EXPERT_DEFAULT[3]}'", 3)} AS recommended_response
+FROM alerts JOIN firsts USING (event_id, t) JOIN kept USING (k, t)"""
+SQL["create_alerts_default_window"] = f"""WITH RECURSIVE {ALERTS}, {greedy("attack_type || ':' || severity", 300)}
+SELECT t, event_id, attack_type, severity FROM alerts JOIN firsts USING (event_id, t) JOIN kept USING (k, t)"""
+SQL["create_security_alerts"] = f"""WITH RECURSIVE {ALERTS},
+{greedy(_KEY + " || ':' || CAST(user_id % 10 AS VARCHAR)", 86400)}
+SELECT sensor_id, t, event_id, attack_type, severity, 'Finding ' || attack_type AS title
+FROM alerts JOIN firsts USING (event_id, t) JOIN kept USING (k, t)"""
+
+LIFECYCLE = f"""{ALERTS}, acts AS (
+  SELECT event_id, 'ack' AS a, t + event_id % 400 AS tm FROM alerts WHERE event_id % 2 = 0
+  UNION ALL SELECT event_id, 'ack', t + 600 FROM alerts WHERE event_id % 6 = 0
+  UNION ALL SELECT event_id, 'res', t + event_id % 900 FROM alerts WHERE event_id % 5 = 0),
+fold AS (SELECT event_id, min(tm) FILTER (a = 'res') AS resolved_at, min(tm) FILTER (a = 'ack') AS ack FROM acts
+  GROUP BY event_id),
+life AS (SELECT alerts.*, resolved_at,
+  CASE WHEN resolved_at IS NULL OR ack <= resolved_at THEN ack END AS acknowledged_at,
+  CASE WHEN resolved_at IS NOT NULL THEN 'resolved' WHEN ack IS NOT NULL THEN 'acknowledged' ELSE 'active' END AS status
+  FROM alerts LEFT JOIN fold USING (event_id))"""
+SQL["alert_lifecycle"] = f"""WITH {LIFECYCLE} SELECT event_id, status, acknowledged_at,
+  CASE WHEN acknowledged_at IS NOT NULL THEN 'u' || CAST(user_id AS VARCHAR) END AS acknowledged_by, resolved_at
+FROM life"""
+SQL["query_alerts"] = f"""WITH {LIFECYCLE} SELECT event_id, t, severity, status FROM life
+WHERE severity = 'warning' AND event_id % 3 < 2 AND status <> 'resolved' ORDER BY t DESC, event_id DESC LIMIT 100"""
+SQL["response_times"] = f"""WITH {LIFECYCLE} SELECT count(*) AS incidents,
+  round(avg(acknowledged_at - t), 6) AS avg_ack_seconds, round(avg(resolved_at - t), 6) AS avg_resolve_seconds,
+  round(100 * count(*) FILTER (acknowledged_at - t <= 300) / count(acknowledged_at), 6) AS sla_met_pct FROM life"""
+SQL["alert_stats"] = f"""WITH RECURSIVE {ALERTS}, {greedy(_KEY, 7200)},
+made AS (SELECT event_id FROM firsts JOIN kept USING (k, t))
+SELECT count(*) AS alerts_created, count(*) FILTER (event_id % 5 <> 0) AS active_alerts, count(*) AS total_alerts,
+  (SELECT count(*) FROM alerts) - count(*) AS alerts_deduplicated FROM made"""
+SQL["correlate_alerts"] = f"""WITH {ALERTS} SELECT a.event_id, coalesce(string_agg(b.alert_id, ','
+    ORDER BY b.t, b.alert_id) FILTER (b.event_id IS NOT NULL), '') AS correlated_alerts
+FROM alerts a LEFT JOIN alerts b ON a.sensor_id = b.sensor_id AND a.attack_type = b.attack_type
+  AND b.t > a.t - 3600 AND (b.t < a.t OR (b.t = a.t AND b.alert_id < a.alert_id))
+GROUP BY a.event_id"""
+SQL["escalation_state"] = f"""WITH {LIFECYCLE} SELECT event_id, 1705363200 - t AS age_seconds,
+  CASE WHEN 1705363200 - t >= 900 THEN 'L3 - CISO' WHEN 1705363200 - t >= 300 THEN 'L2 - Security Engineer'
+    ELSE 'L1 - SOC Analyst' END AS level,
+  CASE WHEN 1705363200 - t >= 900 THEN 'slack,pagerduty,email' WHEN 1705363200 - t >= 300 THEN 'slack,pagerduty'
+    ELSE 'slack' END AS notifiers
+FROM life WHERE status <> 'resolved' AND t <= 1705363200"""
+SQL["display_alert"] = f"""WITH {ALERTS} SELECT event_id, array_to_string(source_ips[1:10], '|') AS source_ips,
+  CAST(printf('%.0f', packet_rate) AS DOUBLE) AS packet_rate FROM alerts"""
+SQL["cidr_allowlist"] = f"""WITH {ALERTS}, r AS (SELECT event_id, unnest(source_ips) AS raw,
+  unnest(generate_series(0, len(source_ips) - 1)) AS pos FROM alerts),
+i AS (SELECT event_id, pos, CASE WHEN event_id % 17 = 0 THEN raw || '9' WHEN event_id % 19 = 0 THEN 'fe80::1'
+    WHEN event_id % 23 = 0 THEN 'ff02::fb' ELSE raw END AS ip FROM r),
+n AS (SELECT *, CASE WHEN contains(ip, '.') THEN CAST(split_part(ip, '.', 3) AS BIGINT) * 256
+    + CAST(split_part(ip, '.', 4) AS BIGINT) END AS low FROM i)
+SELECT event_id, pos, ip, CASE WHEN ip LIKE '%.09' THEN 'invalid IP address' WHEN ip LIKE 'ff%' OR low < 8 * 256 OR low = 33 * 256 + 2
+    OR low BETWEEN 40 * 256 + 4 AND 40 * 256 + 7 THEN 'target IP is allowlisted' END AS ip_rejection FROM n"""
+SQL["response_decisions"] = f"""WITH {ALERTS}, d AS (SELECT *, CASE WHEN severity IN ('info', 'warning')
+    THEN 'severity_below_auto_block_threshold'
+  WHEN event_id % 4 <> 0 AND anomaly_score < 0.88 AND confidence < 0.75 THEN 'insufficient_multi_evidence'
+  ELSE 'critical_alert_policy' END AS decision_reason FROM alerts),
+x AS (SELECT d.*, unnest(CASE WHEN decision_reason = 'critical_alert_policy' THEN source_ips[1:5] ELSE [NULL] END)
+  AS target_ip FROM d),
+y AS (SELECT *, CASE WHEN user_id % 50 < 8 OR target_ip = '10.1.33.2' THEN true ELSE false END AS listed FROM x)
+SELECT event_id, target_ip, CASE WHEN target_ip IS NULL THEN 'monitoring' ELSE 'actions_recorded' END AS decision_status,
+  decision_reason, CASE WHEN target_ip IS NULL THEN NULL WHEN listed THEN 'rejected' ELSE 'monitor_only' END AS action_status,
+  CASE WHEN target_ip IS NOT NULL AND listed THEN 'target IP is allowlisted' END AS ip_rejection,
+  CASE WHEN target_ip IS NOT NULL THEN 'auto_response:' || attack_type END AS reason,
+  CASE WHEN target_ip IS NOT NULL THEN t + 1800 END AS expires_at FROM y"""
+ACTIONS = f"""{ALERTS}, actions AS (SELECT event_id AS action_id, t, sensor_id,
+  '10.2.' || CAST(user_id AS VARCHAR) || '.' || CAST(event_id % 9 AS VARCHAR) AS target_ip,
+  CASE WHEN event_id % 4 = 3 THEN 'unblock_ip' ELSE 'block_ip' END AS action_type,
+  CASE WHEN event_id % 4 = 3 THEN 'rolled_back' WHEN event_id % 5 = 0 THEN 'failed' ELSE 'executed' END AS status
+  FROM alerts)"""
+SQL["active_blocks"] = f"""WITH {ACTIONS}, r AS (SELECT *, row_number() OVER (
+    PARTITION BY target_ip ORDER BY t DESC, action_id DESC) AS rn FROM actions
+  WHERE status <> 'failed' AND t <= 1705363200)
+SELECT target_ip, action_id, t, t + 864000 AS expires_at FROM r
+WHERE rn = 1 AND action_type = 'block_ip' AND t + 864000 > 1705363200"""
+SQL["query_actions"] = f"""WITH {ACTIONS} SELECT * FROM actions WHERE status = 'executed' AND action_type = 'block_ip'
+ORDER BY t DESC, action_id DESC LIMIT 50"""
+SQL["forensic_evidence"] = f"""WITH {PACKETS}, al AS (SELECT sec - sec % 5 AS t, dst_ip, min(us) AS first_us,
+  max(src_ip) AS a, min(src_ip) AS b FROM packets GROUP BY 1, 2)
+SELECT al.dst_ip || '@' || CAST(t AS VARCHAR) AS alert_id, count(*) AS packet_sample_count,
+  min(us) AS first_packet_us, max(us) AS last_packet_us
+FROM al JOIN packets p ON p.src_ip IN (a, b) AND us BETWEEN first_us AND first_us + 10000000
+GROUP BY 1"""
+SQL["verify_audit_chain"] = """SELECT event_id AS seq, event_id = 0 OR (event_id - 1) % 10 = 0 AS link_ok,
+  event_id % 10 <> 0 AS hash_ok FROM events"""
+SQL["query_audit"] = """SELECT event_id AS seq, floor(epoch(ts)) + 0.5 AS occurred_at,
+  'u' || CAST(user_id AS VARCHAR) AS actor_user_id FROM events
+WHERE event_type = 'click' AND floor(epoch(ts)) + 0.5 >= 1705000000 ORDER BY 2 DESC, 1 DESC LIMIT 500"""
+SQL["redact_for_role"] = f"""WITH {ALERTS}, v(role, kind, seen) AS (VALUES ('admin', 'alerts', true),
+  ('admin', 'actions', true), ('admin', 'detections', true), ('analyst', 'alerts', false),
+  ('analyst', 'detections', false), ('viewer', 'detections', false))
+SELECT event_id, CASE WHEN seen THEN '10.2.0.' || CAST(user_id AS VARCHAR) ELSE '[REDACTED]' END AS gateway,
+  CASE WHEN seen THEN '00:' || CAST(user_id AS VARCHAR) ELSE '[REDACTED]' END AS bssid, attack_type AS ssid,
+  CASE WHEN seen THEN 'm' ELSE '[REDACTED]' END AS mac, user_id AS port,
+  CASE WHEN seen THEN 'x' ELSE '[REDACTED]' END AS dns, severity AS note,
+  CASE WHEN seen THEN '{{"command": "c' || CAST(user_id AS VARCHAR) || '", "k": [{{"mac": 1}}], "n": '
+    || CAST(user_id AS VARCHAR) || '}}' ELSE '{{"command": "[REDACTED]", "k": [{{"mac": "[REDACTED]"}}], "n": '
+    || CAST(user_id AS VARCHAR) || '}}' END AS details, role, kind
+FROM alerts, v"""

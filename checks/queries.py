@@ -287,7 +287,7 @@ def entries(spark, sf_dir):
 
 @query
 def latest_features(spark, sf_dir):
-    as_of = F.lit(1706659200)  # the last day of the samples
+    as_of = 1706659200  # the last day of the samples
     return ts.latest_features(entries(spark, sf_dir), as_of, 7200, "window_", ["sec", "sample_id"]).select(
         "key", "sec", "sample_id", "value")
 
@@ -411,3 +411,227 @@ def error_distribution(spark, sf_dir):
 @query
 def class_profile(spark, sf_dir):
     return rp.class_profile(tt.labelled(spark, sf_dir).select(F.trim("Label").alias("label")))
+
+
+# --- alerts and responses ------------------------------------------------------------------------
+
+from netwatch.operators import alerts as al  # noqa: E402
+from netwatch.operators import audit as au  # noqa: E402
+from netwatch.operators import redact as rd  # noqa: E402
+from netwatch.operators import response as rs  # noqa: E402
+
+AS_OF = 1705363200  # half-way through the events
+
+
+def deduplicated(spark, sf_dir):
+    return al.create_alerts(tt.alerts(spark, sf_dir).drop("alert_id"), 7200, ties=["event_id"])
+
+
+@query
+def normalise_severity(spark, sf_dir):
+    from netwatch.functions.columns import normalise_severity as norm
+    raw = F.expr("CASE event_id % 5 WHEN 0 THEN upper(severity) WHEN 1 THEN 'Warn' WHEN 2 THEN 'odd' "
+                 "WHEN 3 THEN NULL ELSE 'MEDIUM' END")
+    return tt.alerts(spark, sf_dir).select("event_id", norm(raw).alias("severity"))
+
+
+@query
+def alert_text(spark, sf_dir):
+    return al.alert_text(tt.alerts(spark, sf_dir)).select("event_id", "title", "description")
+
+
+@query
+def create_alerts(spark, sf_dir):
+    return deduplicated(spark, sf_dir).select(
+        "sensor_id", "t", "event_id", "attack_type", "severity", "alert_id", "title", "recommended_response")
+
+
+@query
+def create_alerts_default_window(spark, sf_dir):
+    return al.create_alerts(tt.alerts(spark, sf_dir).drop("alert_id"), keys=[], ties=["event_id"],
+                            block_seconds=3600).select("t", "event_id", "attack_type", "severity")
+
+
+@query
+def create_security_alerts(spark, sf_dir):
+    findings = tt.alerts(spark, sf_dir).drop("alert_id").withColumns({
+        "dedup_key": F.expr("concat('u', user_id % 10)"),
+        "title": F.expr("concat('Finding ', attack_type)")})
+    return al.create_security_alerts(findings, 86400, ties=["event_id"], block_seconds=7 * 86400).select(
+        "sensor_id", "t", "event_id", "attack_type", "severity", "title")
+
+
+@query
+def rate_limit_alerts(spark, sf_dir):
+    return al.rate_limit_alerts(tt.alerts(spark, sf_dir), 2, 1800).select(
+        "sensor_id", "t", "event_id", "attack_type", "allowed")
+
+
+def lifecycle(spark, sf_dir):
+    return al.alert_lifecycle(tt.alerts(spark, sf_dir), tt.alert_events(spark, sf_dir))
+
+
+@query
+def alert_lifecycle(spark, sf_dir):
+    return lifecycle(spark, sf_dir).select(
+        "event_id", "status", "acknowledged_at", "acknowledged_by", "resolved_at")
+
+
+@query
+def query_alerts(spark, sf_dir):
+    return al.query_alerts(lifecycle(spark, sf_dir), "WARN", source="SENSOR", active_only=True,
+                           order=["t", "event_id"]).select("event_id", "t", "severity", "status")
+
+
+@query
+def response_times(spark, sf_dir):
+    return rounded(rp.response_times(lifecycle(spark, sf_dir)))
+
+
+@query
+def alert_stats(spark, sf_dir):
+    made = deduplicated(spark, sf_dir).withColumn(
+        "status", F.when(F.col("event_id") % 5 == 0, "resolved").otherwise("active"))
+    return rp.alert_stats(made, tt.alerts(spark, sf_dir))
+
+
+@query
+def correlate_alerts(spark, sf_dir):
+    return al.correlate_alerts(tt.alerts(spark, sf_dir), 3600, 7200).select(
+        "event_id", joined("correlated_alerts", ","))
+
+
+@query
+def escalation_state(spark, sf_dir):
+    return al.escalation_state(lifecycle(spark, sf_dir), AS_OF).select(
+        "event_id", "age_seconds", "level", joined("notifiers", ","))
+
+
+@query
+def display_alert(spark, sf_dir):
+    return al.display_alert(tt.alerts(spark, sf_dir).withColumn("confidence", F.col("value") / 7)).select(
+        "event_id", joined("source_ips"), "packet_rate")
+
+
+@query
+def cidr_allowlist(spark, sf_dir):
+    rows = tt.alerts(spark, sf_dir).select("event_id", F.posexplode("source_ips").alias("pos", "ip"))
+    odd = F.expr("CASE WHEN event_id % 17 = 0 THEN concat(ip, '9') WHEN event_id % 19 = 0 THEN 'fe80::1' "
+                 "WHEN event_id % 23 = 0 THEN 'ff02::fb' ELSE ip END")
+    return rounded(rs.cidr_allowlist(
+        rows.withColumn("ip", odd), "ip", ["10.1.0.0/21", "10.1.33.2", "10.1.40.4/30", "ff00::/8"]))
+
+
+def decisions(spark, sf_dir):
+    policy = rs.Policy(allowlist=("10.1.0.0/21", "10.1.33.2"))
+    alerts = tt.alerts(spark, sf_dir).withColumn("gate_evidence", F.expr(
+        "IF(event_id % 4 = 0, array('packet_rate=1'), CAST(array() AS ARRAY<STRING>))"))
+    return rs.response_decisions(alerts, policy)
+
+
+@query
+def response_decisions(spark, sf_dir):
+    return decisions(spark, sf_dir).select(
+        "event_id", "target_ip", "decision_status", "decision_reason", "action_status", "ip_rejection",
+        "reason", "expires_at")
+
+
+def actions(spark, sf_dir):
+    """Blocks and releases derived from alerts: most executed, some failed, some released."""
+    return tt.alerts(spark, sf_dir).selectExpr(
+        "event_id AS action_id", "t", "sensor_id",
+        "concat('10.2.', CAST(user_id AS STRING), '.', CAST(event_id % 9 AS STRING)) AS target_ip",
+        "IF(event_id % 4 = 3, 'unblock_ip', 'block_ip') AS action_type",
+        "CASE WHEN event_id % 4 = 3 THEN 'rolled_back' WHEN event_id % 5 = 0 THEN 'failed' ELSE 'executed' END "
+        "AS status")
+
+
+@query
+def active_blocks(spark, sf_dir):
+    return rs.active_blocks(actions(spark, sf_dir), AS_OF, 10 * 86400, ["t", "action_id"]).select(
+        "target_ip", "action_id", "t", "expires_at")
+
+
+@query
+def block_budget(spark, sf_dir):
+    policy = rs.Policy(block_ttl_seconds=1200, max_active_blocks=3, max_blocks_per_minute=1)
+    return rs.block_budget(actions(spark, sf_dir), policy).select(
+        "sensor_id", "action_id", "t", "target_ip", "budget_rejection")
+
+
+@query
+def query_actions(spark, sf_dir):
+    return rs.query_actions(actions(spark, sf_dir), "executed", "block_ip", 50, ["t", "action_id"])
+
+
+@query
+def forensic_evidence(spark, sf_dir):
+    """One alert per order second of packets: who sent what in the following ten seconds."""
+    p = tt.packets(spark, sf_dir)
+    alerts = (p.groupBy((F.unix_seconds("ts") - F.unix_seconds("ts") % 5).alias("t"), "dst_ip")
+              .agg(F.min(F.unix_micros("ts")).alias("first_us"), F.max("src_ip").alias("a"),
+                   F.min("src_ip").alias("b"))
+              .select(F.concat_ws("@", "dst_ip", "t").alias("alert_id"), "first_us",
+                      (F.col("first_us") + 10_000_000).alias("last_us"), F.array("a", "b").alias("source_ips")))
+    return rs.forensic_evidence(alerts, p).select(
+        "alert_id", "packet_sample_count", "first_packet_us", "last_packet_us")
+
+
+def audit_log(spark, sf_dir):
+    """Audit rows whose hashes are right except on every tenth; every seventh link is cut."""
+    base = tt.table(spark, sf_dir, "events").selectExpr(
+        "event_id AS seq", "concat('e', event_id) AS event_id",
+        "CAST(unix_seconds(CAST(ts AS TIMESTAMP)) AS DOUBLE) + 0.5 AS occurred_at",
+        "concat('u', user_id) AS actor_user_id",
+        "CASE WHEN user_id % 2 = 0 THEN 'admin' ELSE 'analyst' END AS actor_role", "event_type AS action",
+        "'alert' AS target_type", "CAST(NULL AS STRING) AS target_id", "CAST(NULL AS STRING) AS reason",
+        "'ok' AS outcome", "concat('r', event_id) AS request_id", "props AS details_json")
+    return base.withColumn("previous_hash", F.expr(
+        "IF(seq = 0, NULL, sha2(CAST(seq - 1 AS STRING), 256))")).withColumn("event_hash", F.expr(
+            "CASE WHEN seq % 10 = 0 THEN sha2(CAST(seq AS STRING), 256) ELSE sha2(concat("
+            "'{\"action\":\"', action, '\",\"actor_role\":\"', actor_role, '\",\"actor_user_id\":\"', "
+            "actor_user_id, '\",\"details_json\":\"', replace(details_json, '\"', '\\\\\"'), "
+            "'\",\"event_id\":\"', event_id, '\",\"occurred_at\":', "
+            "CAST(CAST(occurred_at - 0.5 AS BIGINT) AS STRING), '.5,\"outcome\":\"ok\",\"previous_hash\":', "
+            "IF(previous_hash IS NULL, 'null', concat('\"', previous_hash, '\"')), "
+            "',\"reason\":null,\"request_id\":\"', request_id, "
+            "'\",\"target_id\":null,\"target_type\":\"alert\"}'), 256) END"))
+
+
+@query
+def verify_audit_chain(spark, sf_dir):
+    return au.check_audit_chain(audit_log(spark, sf_dir)).select("seq", "link_ok", "hash_ok")
+
+
+@query
+def query_audit(spark, sf_dir):
+    return au.query_audit(audit_log(spark, sf_dir), "click", 1705000000.0, 700).select(
+        "seq", "occurred_at", "actor_user_id")
+
+
+def payloads(spark, sf_dir):
+    return tt.alerts(spark, sf_dir).selectExpr(
+        "event_id", "concat('10.2.0.', user_id) AS gateway", "anomaly_score AS raw_anomaly_score",
+        "named_struct('bssid', concat('00:', user_id), 'ssid', attack_type, 'hops', "
+        "array(named_struct('mac', 'm', 'port', user_id))) AS evidence",
+        "map('dns', 'x', 'note', severity) AS tags",
+        "concat('{\"command\": \"c', user_id, '\", \"k\": [{\"mac\": 1}], \"n\": ', user_id, '}') AS details")
+
+
+def _flat(df):
+    return df.selectExpr(
+        "event_id", "gateway", "evidence.bssid AS bssid", "evidence.ssid AS ssid",
+        "evidence.hops[0].mac AS mac", "evidence.hops[0].port AS port", "tags['dns'] AS dns",
+        "tags['note'] AS note", "details")
+
+
+@query
+def redact_for_role(spark, sf_dir):
+    df = payloads(spark, sf_dir)
+    out = None
+    for role in ("admin", "analyst", "viewer"):
+        for kind in ("alerts", "actions", "detections"):
+            part = _flat(rd.redact_for_role(df, role, kind, ["details"])).withColumns(
+                {"role": F.lit(role), "kind": F.lit(kind)})
+            out = part if out is None else out.unionByName(part)
+    return out

@@ -69,13 +69,13 @@ def sql_quote(value: str) -> str:
 
 
 def round_binary(x: str, digits: int) -> str:
-    """SQL text rounding a double to ``digits`` <= 2 decimals by its exact binary value.
+    """SQL text rounding a double to a few decimals, for up to 2 of them by its exact binary value.
 
     ``round``/``bround`` look at the shortest decimal form, so 16.275 (stored slightly below) would
     round up; here the mantissa is scaled to an integer and compared exactly, ties to even.
     """
-    if digits == 0:
-        return f"bround({x}, 0)"
+    if digits not in (1, 2):
+        return f"bround({x}, {digits})"
     shift = f"(52 - CAST(floor(log2(abs({x}))) AS INT))"
     units = f"(CAST(abs({x}) * pow(2.0D, {shift}) AS BIGINT) * {10 ** digits})"
     unit = f"shiftleft(1L, {shift})"

@@ -39,7 +39,7 @@ def filter_target(packets: DataFrame, host: str, ports: str | Iterable[int] = ()
     return packets.where(keep)
 
 
-def drop_late(packets: DataFrame, as_of: Column, delay_seconds: int = 10) -> DataFrame:
+def drop_late(packets: DataFrame, as_of: Column | int, delay_seconds: int = 10) -> DataFrame:
     """Drop packets older than ``as_of`` by more than the delay; packets without a time stay."""
     limit = as_of - F.expr(f"INTERVAL {int(delay_seconds)} SECONDS")
     return packets.where(F.col("ts").isNull() | (F.col("ts") >= limit))

@@ -204,7 +204,7 @@ def idle_periods(packets: DataFrame, idle_seconds: int = 10, keys: Sequence[str]
 
 # --- keyed feature store as an append-only table ------------------------------------------------
 
-def latest_features(entries: DataFrame, as_of: Column, ttl_seconds: float | None = None,
+def latest_features(entries: DataFrame, as_of: Column | int, ttl_seconds: float | None = None,
                     prefix: str = "", order: Sequence[str] = ("sec",)) -> DataFrame:
     """Newest unexpired row per key. An entry is expired when older than its time to live."""
     ttl = F.lit(float(ttl_seconds or 3600))
