@@ -685,3 +685,168 @@ SELECT event_id, CASE WHEN seen THEN '10.2.0.' || CAST(user_id AS VARCHAR) ELSE
     || CAST(user_id AS VARCHAR) || '}}' ELSE '{{"command": "[REDACTED]", "k": [{{"mac": "[REDACTED]"}}], "n": '
     || CAST(user_id AS VARCHAR) || '}}' END AS details, role, kind
 FROM alerts, v"""
+
+
+# --- host inventory ------------------------------------------------------------------------------
+
+NETS = """nets AS (SELECT c_custkey, 'h' || CAST(c_custkey % 10 AS VARCHAR) AS host_id, c_custkey % 4 AS scan_ts,
+  c_mktsegment || CASE WHEN c_custkey % 11 = 0 THEN ' Free WiFi' ELSE '' END AS ssid,
+  '00:13:' || CAST(30 + c_custkey % 40 % 9 AS VARCHAR) || ':aa:bb:' || CAST(c_custkey % 40 + 10 AS VARCHAR) AS bssid,
+  '0013' || CAST(30 + c_custkey % 40 % 9 AS VARCHAR) AS oui,
+  CASE c_nationkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'wpa2-personal' ELSE 'wpa3' END AS auth,
+  CASE c_custkey % 3 WHEN 0 THEN 'ccmp' WHEN 1 THEN 'none' ELSE 'gcmp' END AS enc
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+reg AS (SELECT '0013' || CAST(30 + n_nationkey AS VARCHAR) AS oui,
+  CASE WHEN n_nationkey % 3 = 0 THEN n_name || ' Corp' ELSE n_name END AS vendor FROM nation WHERE n_nationkey % 3 < 2),
+en AS (SELECT nets.*, coalesce(vendor, 'Unknown') AS vendor, oui IN ('001333', '001336') AS watched
+  FROM nets LEFT JOIN reg USING (oui)),
+assoc AS (SELECT 'h' || CAST(s_suppkey % 10 AS VARCHAR) AS host_id, s_suppkey % 4 AS scan_ts,
+  CASE s_nationkey % 5 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' WHEN 2 THEN 'AUTOMOBILE' WHEN 3 THEN 'HOUSEHOLD'
+    ELSE '' END AS ssid,
+  '00:13:' || CAST(30 + s_suppkey % 40 % 9 AS VARCHAR) || ':aa:bb:' || CAST(s_suppkey % 40 + 10 AS VARCHAR) AS bssid,
+  s_suppkey % 2 = 1 AS colons,
+  CASE s_suppkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'wpa2-personal' ELSE '' END AS auth FROM supplier),
+tb AS (SELECT DISTINCT '00:13:' || CAST(30 + c_custkey % 20 % 9 AS VARCHAR) || ':aa:bb:'
+  || CAST(c_custkey % 20 + 10 AS VARCHAR) AS bssid FROM customer WHERE c_mktsegment = 'BUILDING')"""
+
+
+def _found(category, severity, title, confidence, enforceable, ssid="NULL::VARCHAR", bssid="NULL::VARCHAR", adapter="NULL::VARCHAR",
+           evidence="NULL::VARCHAR") -> str:
+    q = lambda v: v if v.startswith("CASE") else f"'{v}'"
+    return (f"SELECT host_id, scan_ts, {q(category)} AS category, {q(severity)} AS severity, {q(title)} AS title, "
+            f"CAST({confidence} AS DOUBLE) AS confidence, {enforceable} AS enforceable, {ssid} AS ssid, "
+            f"{bssid} AS bssid, {adapter} AS adapter_name, {evidence} AS evidence ")
+
+
+CHECKS = {
+    "suspicious_oui": _found(
+        "wireless_suspicious_access_point", "warning", "Access point matches monitored device OUI", "0.62", "false",
+        "min(ssid)", "bssid", evidence="'oui=' || oui || ' vendor=' || vendor")
+    + "FROM en WHERE watched GROUP BY host_id, scan_ts, bssid, oui, vendor",
+    "suspicious_ssid": "SELECT DISTINCT * FROM (" + _found(
+        "wireless_suspicious_ssid", "warning", "Suspicious wireless network name observed", "0.58", "false", "ssid",
+        "bssid", evidence="CASE WHEN contains(lower(ssid), 'free wifi') THEN 'pattern=free wifi' "
+        "ELSE 'pattern=machin' END")
+    + "FROM en WHERE contains(lower(ssid), 'free wifi') OR contains(lower(ssid), 'machin'))",
+    "multi_ssid_ap": _found(
+        "wireless_multi_ssid_access_point", "CASE WHEN on_ THEN 'high' ELSE 'warning' END",
+        "One access point advertises multiple SSIDs", "CASE WHEN on_ THEN 0.76 ELSE 0.6 END", "false",
+        bssid="bssid", evidence="names")
+    + "FROM (SELECT m.*, a.bssid IS NOT NULL AND a.colons AND a.bssid = m.bssid AS on_ FROM (SELECT host_id, scan_ts, "
+    "bssid, string_agg(DISTINCT ssid, ',' ORDER BY ssid) AS names FROM en GROUP BY ALL HAVING count(DISTINCT ssid) > 1) m "
+    "LEFT JOIN assoc a ON m.host_id = a.host_id AND m.scan_ts = a.scan_ts)",
+    "usb_gadget_findings": _found(
+        "CASE WHEN rule < 3 THEN 'rogue_usb_network_gadget' ELSE 'usb_network_adapter_review' END",
+        "CASE rule WHEN 1 THEN 'critical' WHEN 2 THEN 'high' ELSE 'medium' END",
+        "CASE rule WHEN 1 THEN 'Suspicious USB network gadget with Pineapple-like network' "
+        "WHEN 2 THEN 'Suspicious USB Ethernet/RNDIS adapter detected' ELSE 'USB network adapter needs review' END",
+        "CASE rule WHEN 1 THEN 0.92 WHEN 2 THEN 0.82 ELSE 0.62 END", "rule < 3", adapter="alias", evidence="ip")
+    + """FROM (SELECT *, CASE WHEN contains(ip, '172.16.42.') OR contains(ip, '172.16.43.') THEN 1
+      WHEN net AND NOT contains(txt, 'wireless') AND NOT contains(txt, 'wi-fi') THEN 2 WHEN net THEN 3 END AS rule
+    FROM (SELECT a.*, regexp_matches(txt, 'rndis|remote ndis|usb ethernet|usb network|ecm|ncm') AS net, ip FROM (
+      SELECT 'h' || CAST(p_partkey % 50 AS VARCHAR) AS host_id, p_partkey % 4 AS scan_ts,
+        CASE WHEN p_partkey % 7 = 0 THEN p_name ELSE 'Ethernet ' || CAST(p_partkey AS VARCHAR) END AS alias,
+        lower(concat_ws(' ', p_name, CASE WHEN p_partkey % 7 <> 0 THEN 'Ethernet ' || CAST(p_partkey AS VARCHAR) END,
+          CASE p_size % 6 WHEN 0 THEN 'Remote NDIS Gadget' WHEN 1 THEN 'USB Ethernet' WHEN 2 THEN 'Wireless USB Network'
+            WHEN 3 THEN 'Intel Wi-Fi' WHEN 4 THEN 'Trusted RNDIS dock' ELSE 'PCI controller' END,
+          CASE WHEN p_partkey % 2 = 0 THEN 'USB' ELSE 'PCI' END, p_type)) AS txt FROM part) a
+      LEFT JOIN (SELECT 'h' || CAST(p_partkey % 50 AS VARCHAR) AS host_id, p_partkey % 4 AS scan_ts,
+        'ethernet ' || CAST(p_partkey AS VARCHAR) AS alias,
+        '{"ipv4":"172.16.' || CAST(40 + p_partkey % 8 AS VARCHAR) || '.2"}' AS ip FROM part) c
+      ON a.host_id = c.host_id AND a.scan_ts = c.scan_ts AND lower(a.alias) = c.alias)
+    WHERE contains(txt, 'usb') AND NOT contains(txt, 'trusted')) WHERE rule IS NOT NULL""",
+    "evil_twin_findings": _found(
+        "evil_twin_wifi", "critical", "Trusted SSID is using open authentication", "0.93", "true", "ssid", "bssid",
+        evidence="'authentication=' || auth")
+    + "FROM assoc WHERE ssid IN ('BUILDING', 'MACHINERY') AND auth IN ('open', '') UNION ALL "
+    + _found("evil_twin_wifi", "high", "Connected BSSID is not in trusted list", "0.87", "true", "ssid", "bssid",
+             evidence="(SELECT string_agg(bssid, ',' ORDER BY bssid) FROM tb)")
+    + "FROM assoc WHERE ssid = 'BUILDING' AND bssid NOT IN (SELECT bssid FROM tb) UNION ALL "
+    + _found("evil_twin_wifi", "CASE WHEN ssid IN ('BUILDING', 'MACHINERY') THEN 'high' ELSE 'warning' END",
+             "Same SSID advertised with conflicting security", "0.78", "ssid IN ('BUILDING', 'MACHINERY')", "ssid",
+             evidence="p")
+    + "FROM (SELECT host_id, scan_ts, ssid, string_agg(DISTINCT auth || '/' || enc, ',' ORDER BY auth || '/' || enc) AS p "
+    "FROM en GROUP BY ALL HAVING count(DISTINCT auth || '/' || enc) > 1) JOIN assoc USING (host_id, scan_ts, ssid)",
+    "captive_portal_findings": _found(
+        "captive_portal_interception", "CASE WHEN known THEN 'high' ELSE 'warning' END",
+        "Captive portal or HTTP interception detected", "CASE WHEN known THEN 0.82 ELSE 0.66 END", "known", "ssid",
+        "bssid", evidence="CAST(status AS VARCHAR) || ' ' || final_url")
+    + """FROM (SELECT 'h' || CAST(page_id % 20 AS VARCHAR) AS host_id, page_id % 4 AS scan_ts, page_id % 3 <> 1 AS known,
+      CASE page_id % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'Cafe' ELSE 'MACHINERY' END AS ssid,
+      '00:13:37:aa:bb:' || CAST(page_id % 40 + 10 AS VARCHAR) AS bssid,
+      CASE WHEN page_id % 5 = 0 THEN 302 ELSE 200 END AS status,
+      CASE WHEN page_id % 2 = 0 THEN 'http://probe.example/test.txt/' ELSE url END AS final_url, html FROM pages)
+    WHERE status = 302 OR rtrim(final_url, '/') <> 'http://probe.example/test.txt' OR NOT contains(html, '<p>')""",
+}
+for _name, _sql in CHECKS.items():
+    SQL[_name] = f"WITH {NETS} {_sql}"
+SQL["enrich_vendor"] = f"WITH {NETS} SELECT c_custkey, bssid, oui, vendor, watched AS wireless_suspicious_oui FROM en"
+_ALL = "found AS (" + " UNION ALL ".join(f"SELECT * FROM ({s})" for s in CHECKS.values()) + ")"
+SQL["pivot_findings"] = f"WITH {NETS}, {_ALL} SELECT category, severity, count(*) AS n FROM found GROUP BY ALL"
+_RANK = ("CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'warning' THEN 3 "
+         "WHEN 'high' THEN 4 WHEN 'critical' THEN 5 WHEN 'emergency' THEN 6 END")
+SQL["finding_to_alert"] = f"""WITH {NETS}, {_ALL} SELECT host_id, scan_ts, category AS attack_type, severity,
+  round(least(1, 0.45 + {_RANK} * 0.08::DOUBLE), 6) AS anomaly_score,
+  lower(concat_ws(':', category, title, nullif(ssid, ''), nullif(bssid, ''), nullif(adapter_name, ''))) AS dedup_key,
+  CASE WHEN category LIKE 'wireless%' THEN 'local_threat_guard,enterprise_wireless_analyzer' ELSE 'local_threat_guard'
+    END AS detection_sources FROM found"""
+SQL["highest_severity"] = f"""WITH {NETS}, {_ALL} SELECT host_id, scan_ts, max_by(severity, {_RANK}) AS highest_severity,
+  count(*) AS findings FROM found GROUP BY ALL"""
+
+# --- sources and sinks ---------------------------------------------------------------------------
+
+_B = ["src_port", "dst_port", "protocol", "packet_size", "ttl", "flags", "payload_size", "fragment_offset"]
+_BIG = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in _B)
+SQL["read_packets"] = f"""WITH {PACKETS} SELECT us AS ts, src_ip, dst_ip, {_BIG}, sequence_number, ack_number,
+  65535::BIGINT AS window_size, 0::BIGINT AS checksum, 'default' AS sensor_id FROM packets"""
+SQL["decode_json_packets"] = f"""WITH {PACKETS} SELECT round(us / 1000000, 6) AS "timestamp", src_ip, dst_ip, {_BIG},
+  sequence_number, ack_number, CAST(window_size AS BIGINT) AS window_size, 0::BIGINT AS checksum,
+  NULL::VARCHAR AS _corrupt FROM packets"""
+SQL["encode_json_packets"] = f"""WITH {PACKETS} SELECT '{{"schema_version":1,"schema_id":1,"data":{{"timestamp":' ||
+  CASE WHEN us % 1000000 = 0 THEN '1.' || regexp_replace(CAST(us // 1000000 - 1000000000 AS VARCHAR), '0+$', '')
+    ELSE '1.' || regexp_replace(CAST(us // 1000000 - 1000000000 AS VARCHAR)
+      || lpad(CAST(us % 1000000 AS VARCHAR), 6, '0'), '0+$', '') END || 'E9,"src_ip":"' || src_ip || '","dst_ip":"' || dst_ip
+  || '","src_port":' || src_port || ',"dst_port":' || dst_port || ',"protocol":' || protocol || ',"packet_size":'
+  || packet_size || ',"ttl":' || ttl || ',"flags":' || flags || ',"payload_size":' || payload_size
+  || ',"fragment_offset":' || fragment_offset || ',"sequence_number":' || sequence_number || ',"ack_number":'
+  || ack_number || ',"window_size":' || window_size || ',"checksum":0}}}}' AS value FROM packets"""
+SQL["decode_binary_packets"] = f"""WITH {PACKETS} SELECT round(us / 1000000, 6) AS "timestamp", src_ip, dst_ip, {_BIG},
+  sequence_number, ack_number, CAST(window_size AS BIGINT) AS window_size, 0::BIGINT AS checksum,
+  NULL::BIGINT AS _corrupt FROM packets
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 69 FROM packets"""
+SQL["ingest_field_dump"] = f"""WITH {PACKETS}, d AS (SELECT *, ack_number AS a, ack_number % 11 = 0 AS v6,
+  (ack_number % 19 = 0 AND ack_number % 11 <> 0) AS short FROM packets WHERE ack_number % 13 <> 0)
+SELECT us AS ts, CASE WHEN v6 THEN 'fd00::' || CAST(src_port AS VARCHAR) ELSE src_ip END AS src_ip,
+  CASE WHEN v6 THEN 'fd00::1' ELSE dst_ip END AS dst_ip,
+  CAST(CASE WHEN protocol = 1 THEN 0 ELSE src_port END AS BIGINT) AS src_port,
+  CAST(CASE WHEN protocol = 1 THEN 0 ELSE dst_port END AS BIGINT) AS dst_port,
+  CAST(CASE WHEN protocol <> 1 AND 53 IN (src_port, dst_port) THEN 53 ELSE protocol END AS BIGINT) AS protocol,
+  CAST(packet_size AS BIGINT) AS packet_size, CAST(ttl AS BIGINT) AS ttl,
+  CAST(CASE WHEN protocol = 6 THEN flags ELSE 0 END AS BIGINT) AS flags,
+  CAST(CASE WHEN protocol = 6 THEN payload_size WHEN protocol = 1 THEN greatest(0, packet_size - 28)
+    WHEN a % 5 > 0 THEN payload_size ELSE 0 END AS BIGINT) AS payload_size,
+  CAST(fragment_offset AS BIGINT) AS fragment_offset,
+  CASE WHEN protocol = 6 THEN sequence_number ELSE 0 END AS sequence_number,
+  CASE WHEN protocol = 6 THEN ack_number ELSE 0 END AS ack_number,
+  CAST(CASE WHEN protocol <> 6 THEN 0 WHEN a % 3 = 0 THEN 65535 ELSE window_size END AS BIGINT) AS window_size,
+  'default' AS sensor_id FROM d"""
+LABELLED = """lab AS (SELECT l_orderkey * 100000000 + l_partkey * 1000 + l_suppkey % 100 * 10 + l_linenumber AS row_id,
+  CAST(l_orderkey AS VARCHAR) AS "Flow ID", CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS "Total Packets",
+  CASE WHEN l_partkey % 20 = 0 THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS "Flow Duration",
+  CASE WHEN l_suppkey % 4 = 0 THEN 'n/a' ELSE CAST(l_suppkey AS VARCHAR) END AS "Flow Code", l_linestatus AS "Status",
+  CAST(l_linenumber AS VARCHAR) AS "Hop Count", 'x' || CAST(l_partkey AS VARCHAR) AS "Endpoint",
+  NULL::VARCHAR AS "Empty", CASE l_returnflag WHEN 'N' THEN ' BENIGN' WHEN 'A' THEN 'Syn ' ELSE 'DrDoS_DNS' END AS "Label"
+  FROM lineitem)"""
+SQL["read_labelled_csv"] = f"""WITH {LABELLED} SELECT * REPLACE (CAST(row_id AS VARCHAR) AS row_id) FROM lab"""
+SQL["write_features"] = f"""WITH {VECTORS} SELECT sensor_id, window_start, packet_count, byte_count,
+  '2024-01-01' AS day FROM vectors"""
+SQL["write_alerts"] = f"""WITH {ALERTS} SELECT strftime(make_timestamp(t * 1000000), '%Y-%m-%d') AS day, severity,
+  count(*) AS n FROM alerts GROUP BY ALL"""
+SQL["format_cef"] = f"""WITH {ALERTS} SELECT event_id, 'CEF:0|netwatch|netwatch|1.0|' || attack_type
+  || '|DDoS Attack Detected: ' || {_TITLE} || '|' || CASE severity WHEN 'emergency' THEN '10' WHEN 'critical' THEN '8'
+    WHEN 'warning' THEN '5' ELSE '2' END || '|src=' || array_to_string(source_ips[1:5], ',') || ' score='
+  || printf('%.4f', anomaly_score) AS value FROM alerts"""
+SQL["format_notification"] = f"""WITH {ALERTS} SELECT event_id, CASE severity WHEN 'emergency' THEN '🚨'
+    WHEN 'critical' THEN '🔴' WHEN 'warning' THEN '🟡' ELSE '🔵' END || ' *DDoS Attack Detected: ' || {_TITLE}
+  || '*' || chr(10) || 'Score: ' || printf('%.2f', anomaly_score) || ' | Type: ' || attack_type AS text,
+  'SEC-' || alert_id AS ticket_id FROM alerts"""

@@ -635,3 +635,184 @@ def redact_for_role(spark, sf_dir):
                 {"role": F.lit(role), "kind": F.lit(kind)})
             out = part if out is None else out.unionByName(part)
     return out
+
+
+# --- host inventory ------------------------------------------------------------------------------
+
+import uuid  # noqa: E402
+
+from netwatch.operators import inventory as iv  # noqa: E402
+from netwatch.session import shared_folder  # noqa: E402
+from netwatch.sources import archives as ar  # noqa: E402
+from netwatch.sources import codecs as cd  # noqa: E402
+from netwatch.sources import packets as pk  # noqa: E402
+from netwatch.sources import sinks as sk  # noqa: E402
+
+FINDING_COLUMNS = [*iv.SCAN, "category", "severity", "title", "confidence", "enforceable", "ssid", "bssid",
+                   "adapter_name", "evidence"]
+WATCHED_OUIS = ["00:13:33", "0013-36"]
+WATCHED_SSIDS = ["free wifi", "MACHIN"]
+PROBE_URL = "http://probe.example/test.txt"
+
+
+def enriched(spark, sf_dir):
+    registry = iv.parse_vendor_registry(tt.vendor_registry_lines(spark, sf_dir))
+    return iv.enrich_vendor(tt.networks(spark, sf_dir), registry, WATCHED_OUIS)
+
+
+@query
+def enrich_vendor(spark, sf_dir):
+    return enriched(spark, sf_dir).select("c_custkey", "bssid", "oui", "vendor", "wireless_suspicious_oui")
+
+
+def inventory_checks(spark, sf_dir):
+    nets, assoc = enriched(spark, sf_dir), tt.associations(spark, sf_dir)
+    trusted = tt.trusted_networks(spark, sf_dir)
+    return {
+        "suspicious_oui": iv.suspicious_oui(nets),
+        "suspicious_ssid": iv.suspicious_ssid(nets, WATCHED_SSIDS),
+        "multi_ssid_ap": iv.multi_ssid_ap(nets, assoc, 2),
+        "usb_gadget_findings": iv.usb_gadget_findings(
+            tt.adapters(spark, sf_dir), tt.ip_configs(spark, sf_dir), ["trusted"]),
+        "evil_twin_findings": iv.evil_twin_findings(assoc, nets, trusted),
+        "captive_portal_findings": iv.captive_portal_findings(
+            tt.probes(spark, sf_dir), trusted, PROBE_URL, "<p>"),
+    }
+
+
+def _check(name):
+    def run(spark, sf_dir):
+        return inventory_checks(spark, sf_dir)[name].select(*FINDING_COLUMNS)
+    return run
+
+
+for _name in ("suspicious_oui", "suspicious_ssid", "multi_ssid_ap", "usb_gadget_findings",
+              "evil_twin_findings", "captive_portal_findings"):
+    QUERIES[_name] = _check(_name)
+
+
+@query
+def pivot_findings(spark, sf_dir):
+    found = iv.pivot_findings(list(inventory_checks(spark, sf_dir).values()))
+    return found.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def finding_to_alert(spark, sf_dir):
+    found = iv.pivot_findings(list(inventory_checks(spark, sf_dir).values()))
+    return rounded(iv.finding_to_alert(found).select(
+        *iv.SCAN, "attack_type", "severity", "anomaly_score", "dedup_key",
+        joined("detection_sources", ",")))
+
+
+@query
+def highest_severity(spark, sf_dir):
+    return iv.highest_severity(iv.pivot_findings(list(inventory_checks(spark, sf_dir).values())))
+
+
+# --- sources and sinks ---------------------------------------------------------------------------
+
+def fresh(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+WIRE = ["timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packet_size", "ttl", "flags",
+        "payload_size", "fragment_offset", "sequence_number", "ack_number", "window_size", "checksum"]
+
+
+@query
+def read_packets(spark, sf_dir):
+    path = fresh(spark, "packets")
+    tt.packets(spark, sf_dir).drop("window_size", "checksum", "sensor_id").write.parquet(path)
+    return rounded(pk.read_packets(spark, path).withColumn("ts", F.unix_micros("ts")))
+
+
+def field_dump_lines(spark, sf_dir):
+    """Field-dump text of every packet: TCP, UDP and ICMP rows, IPv6 rows, rows without addresses,
+    backslash-separated and shortened lines."""
+    p = tt.packets(spark, sf_dir).withColumns({
+        "a": F.col("ack_number"), "v6": F.col("ack_number") % 11 == 0, "none": F.col("ack_number") % 13 == 0,
+        "epoch": F.expr("concat(unix_seconds(ts), '.', lpad(CAST(ack_number % 1000 AS STRING), 3, '0'), '000')")})
+    tcp, udp = "protocol = 6", "protocol = 17"
+
+    def only(cond, value):
+        return f"IF({cond}, CAST({value} AS STRING), '')"
+
+    v4 = "NOT v6 AND NOT none"
+    cells = ["epoch", only(v4, "src_ip"), only(v4, "dst_ip"), only("NOT v6", "protocol"), only("true", "packet_size"),
+             only("NOT v6", "ttl"), only(tcp, "src_port"), only(tcp, "dst_port"),
+             only(tcp, "concat('0x', lpad(hex(flags), 4, '0'))"), only(tcp, "sequence_number"), only(tcp, "ack_number"),
+             only(f"{tcp} AND a % 3 > 0", "window_size"), only(tcp, "payload_size"), only(udp, "src_port"),
+             only(udp, "dst_port"), only(f"{udp} AND a % 5 > 0", "payload_size + 8"), only("protocol = 1", "8"),
+             only("protocol = 1", "0"), only("true", "fragment_offset"),
+             only("v6 AND NOT none", "concat('fd00::', src_port)"), only("v6 AND NOT none", "'fd00::1'"),
+             only("v6", "protocol"), only("v6", "ttl")]
+    cut = "IF(a % 19 = 0 AND NOT v6, 19, 23)"
+    return p.selectExpr(f"array_join(slice(array({', '.join(cells)}), 1, {cut}), "
+                        "IF(a % 17 = 0, '\\\\', '\\t')) AS value")
+
+
+@query
+def ingest_field_dump(spark, sf_dir):
+    path = fresh(spark, "dump")
+    field_dump_lines(spark, sf_dir).write.text(path)
+    return rounded(pk.ingest_field_dump(spark, path).withColumn("ts", F.unix_micros("ts")).drop("checksum"))
+
+
+@query
+def decode_json_packets(spark, sf_dir):
+    return rounded(cd.decode_json_packets(cd.encode_json_packets(tt.packets(spark, sf_dir))))
+
+
+@query
+def encode_json_packets(spark, sf_dir):
+    return cd.encode_json_packets(tt.packets(spark, sf_dir)).select(F.col("value").cast("string").alias("value"))
+
+
+@query
+def decode_binary_packets(spark, sf_dir):
+    """Round trip of every packet through the binary record, plus one damaged copy per tenth port."""
+    encoded = cd.encode_binary_packets(tt.packets(spark, sf_dir)).select("value")
+    damaged = encoded.select(F.concat(F.lit(b"\x00"), F.substring("value", 2, 68)).alias("value"))
+    out = cd.decode_binary_packets(encoded.unionByName(damaged))
+    return rounded(out.withColumn("_corrupt", F.length("_corrupt")))
+
+
+@query
+def encode_binary_packets(spark, sf_dir):
+    return cd.encode_binary_packets(tt.packets(spark, sf_dir)).select(F.hex("value").alias("value"))
+
+
+@query
+def read_labelled_csv(spark, sf_dir):
+    path = fresh(spark, "labelled") + ".csv.gz"
+    tt.labelled(spark, sf_dir).write.options(
+        header=True, compression="gzip", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return ar.read_labelled_csv(spark, path).drop("source")
+
+
+@query
+def write_features(spark, sf_dir):
+    path = fresh(spark, "features")
+    sk.write_features(ft.feature_vector(tt.packets(spark, sf_dir), measures=["packet_count", "byte_count"]), path)
+    return spark.read.parquet(path).select(
+        "sensor_id", "window_start", "packet_count", "byte_count", F.col("event_date").cast("string").alias("day"))
+
+
+@query
+def write_alerts(spark, sf_dir):
+    path = fresh(spark, "alerts")
+    sk.write_alerts(tt.alerts(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("day"), "severity").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query
+def format_cef(spark, sf_dir):
+    return sk.format_cef(al.alert_text(tt.alerts(spark, sf_dir))).select("event_id", "value")
+
+
+@query
+def format_notification(spark, sf_dir):
+    return sk.format_notification(al.alert_text(tt.alerts(spark, sf_dir))).select(
+        "event_id", "text", "ticket_id")

@@ -168,9 +168,11 @@ def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearby access points seen by each scanning host, one observation per customer."""
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     return c.join(n, c.c_nationkey == n.n_nationkey).selectExpr(
-        "c_custkey", "n_name AS host_id", "CAST(c_custkey % 4 AS BIGINT) AS scan_ts",
+        "c_custkey", "concat('h', CAST(c_custkey % 10 AS STRING)) AS host_id",
+        "CAST(c_custkey % 4 AS BIGINT) AS scan_ts",
         "concat(c_mktsegment, IF(c_custkey % 11 = 0, ' Free WiFi', '')) AS ssid",
-        "concat('00:13:37:aa:bb:', lpad(CAST(c_custkey % 40 + 10 AS STRING), 2, '0')) AS bssid",
+        "concat('00:13:', CAST(30 + c_custkey % 40 % 9 AS STRING), ':aa:bb:', "
+        "CAST(c_custkey % 40 + 10 AS STRING)) AS bssid",
         "CASE c_nationkey % 3 WHEN 0 THEN 'Open' WHEN 1 THEN 'WPA2-Personal' ELSE 'WPA3' END "
         "AS authentication",
         "CASE c_custkey % 3 WHEN 0 THEN 'CCMP' WHEN 1 THEN 'None' ELSE 'GCMP' END AS encryption",
@@ -180,10 +182,14 @@ def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The network each supplier's host is joined to, one row per host and scan."""
     return table(spark, sf_dir, "supplier").selectExpr(
-        "s_name AS host_id", "CAST(s_suppkey % 4 AS BIGINT) AS scan_ts",
+        "concat('h', CAST(s_suppkey % 10 AS STRING)) AS host_id",
+        "CAST(s_suppkey % 4 AS BIGINT) AS scan_ts",
         "CASE s_nationkey % 5 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' WHEN 2 THEN 'AUTOMOBILE' "
         "WHEN 3 THEN 'HOUSEHOLD' ELSE '' END AS ssid",
-        "concat('00-13-37-AA-BB-', CAST(s_suppkey % 40 + 10 AS STRING)) AS bssid",
+        "IF(s_suppkey % 2 = 0, "
+        "concat('00-13-', CAST(30 + s_suppkey % 40 % 9 AS STRING), '-AA-BB-', CAST(s_suppkey % 40 + 10 AS STRING)), "
+        "concat('00:13:', CAST(30 + s_suppkey % 40 % 9 AS STRING), ':aa:BB:', CAST(s_suppkey % 40 + 10 AS STRING))) "
+        "AS bssid",
         "CASE s_suppkey % 3 WHEN 0 THEN 'Open' WHEN 1 THEN 'WPA2-Personal' ELSE '' END "
         "AS authentication",
         "'CCMP' AS cipher")
@@ -210,7 +216,24 @@ def ip_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(p_partkey % 4 AS BIGINT) AS scan_ts",
         "concat('ETHERNET ', CAST(p_partkey AS STRING)) AS InterfaceAlias",
         "concat('{\"IPv4\":\"172.16.', CAST(40 + p_partkey % 8 AS STRING), '.2\"}') AS ip_text",
-    ).where("right(ip_text, 5) IS NOT NULL")
+    )
+
+
+def trusted_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted names with their known access points, from the customer table."""
+    return table(spark, sf_dir, "customer").where(
+        "c_mktsegment IN ('BUILDING', 'MACHINERY')").selectExpr(
+        "c_mktsegment AS ssid",
+        "IF(c_mktsegment = 'BUILDING', concat('00:13:', CAST(30 + c_custkey % 20 % 9 AS STRING), ':AA:bb:', "
+        "CAST(c_custkey % 20 + 10 AS STRING)), NULL) AS bssid").distinct()
+
+
+def vendor_registry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry text in both line formats, one line per nation, with headers in between."""
+    return table(spark, sf_dir, "nation").selectExpr(
+        "CASE n_nationkey % 3 WHEN 0 THEN concat('0013', CAST(30 + n_nationkey AS STRING), ' ', n_name, ' Corp ') "
+        "WHEN 1 THEN concat('00-13-', CAST(30 + n_nationkey AS STRING), '   (hex)\t\t', n_name) "
+        "ELSE concat('0013', CAST(30 + n_nationkey AS STRING), '     (base 16)\t\t', n_name) END AS value")
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
