@@ -850,3 +850,25 @@ SQL["format_notification"] = f"""WITH {ALERTS} SELECT event_id, CASE severity WH
     WHEN 'critical' THEN '🔴' WHEN 'warning' THEN '🟡' ELSE '🔵' END || ' *DDoS Attack Detected: ' || {_TITLE}
   || '*' || chr(10) || 'Score: ' || printf('%.2f', anomaly_score) || ' | Type: ' || attack_type AS text,
   'SEC-' || alert_id AS ticket_id FROM alerts"""
+
+
+# --- streams: the windows that are closed ten seconds after the newest packet ---------------------
+
+def _closed(window: int, slide: int) -> str:
+    return f"""WITH {PACKETS}, spread AS (
+  SELECT p.*, unnest(generate_series(sec // {slide} * {slide} + {slide}, sec // {slide} * {slide} + {window}, {slide}))
+    AS window_end FROM packets p),
+r AS ({measures('sensor_id, window_end', 'spread', f'{window}.0')})
+SELECT *, window_end - {window} AS window_start FROM r
+WHERE window_end <= (SELECT max(us) / 1000000 - 10 FROM packets)"""
+
+
+SQL["stream_features_1s"] = _closed(1, 1)
+SQL["stream_features_5s"] = _closed(5, 1)
+SQL["stream_features_60s"] = _closed(60, 10)
+SQL["run_stream"] = f"""WITH {VECTORS} SELECT {FINGERPRINT} AS attack_type, count(*) AS windows,
+  CAST(sum(packet_count) AS BIGINT) AS packets FROM vectors
+WHERE window_start + 1 <= (SELECT max(us) / 1000000 - 10 FROM packets) GROUP BY 1"""
+SQL["stream_alert_dedup"] = f"""WITH RECURSIVE {ALERTS}, {greedy(_KEY, 7200)}
+SELECT sensor_id, t, event_id, attack_type, severity
+FROM alerts JOIN firsts USING (event_id, t) JOIN kept USING (k, t)"""

@@ -816,3 +816,57 @@ def format_cef(spark, sf_dir):
 def format_notification(spark, sf_dir):
     return sk.format_notification(al.alert_text(tt.alerts(spark, sf_dir))).select(
         "event_id", "text", "ticket_id")
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+from netwatch.streaming import dedup as sd  # noqa: E402
+from netwatch.streaming import features as sf  # noqa: E402
+from netwatch.streaming import run as sr  # noqa: E402
+
+
+def stream_of(spark, sf_dir, name):
+    """A table's file as a stream source."""
+    schema = tt.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _stream_features(window, slide):
+    def run(spark, sf_dir):
+        packets = tt.packets_from(stream_of(spark, sf_dir, "lineitem"))
+        path = fresh(spark, "stream")
+        sr.run_to_table(sf.stream_features(packets, window, slide), path)
+        return rounded(spark.read.parquet(path))
+    return run
+
+
+QUERIES["stream_features_1s"] = _stream_features(1, 1)
+QUERIES["stream_features_5s"] = _stream_features(5, 1)
+QUERIES["stream_features_60s"] = _stream_features(60, 10)
+
+
+@query
+def run_stream(spark, sf_dir):
+    """Functions in order, then two handlers per batch: a table and CEF text."""
+    path = fresh(spark, "handled")
+    q = sr.run_stream(
+        tt.packets_from(stream_of(spark, sf_dir, "lineitem")),
+        [sf.stream_features, ru.fingerprint, lambda d: d.withColumnRenamed("fingerprint", "attack_type")],
+        [lambda b, i: sk.write_batch(b, i, f"{path}/table"),
+         lambda b, i: sk.write_batch(sk.format_cef(b.withColumns({
+             "severity": F.lit("info"), "title": F.lit("T"), "anomaly_score": F.lit(0.5),
+             "source_ips": F.array().cast("array<string>")})).select("value"), i, f"{path}/cef")],
+        checkpoint=f"{path}/checkpoint", available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/table").groupBy("attack_type").agg(
+        F.count(F.lit(1)).alias("windows"), F.sum("packet_count").alias("packets"))
+
+
+@query
+def stream_alert_dedup(spark, sf_dir):
+    sd.use_rocksdb(spark)
+    rows = tt.alerts_from(stream_of(spark, sf_dir, "events")).select(
+        "sensor_id", "event_id", "t", "ts", "attack_type", "severity", "is_anomaly")
+    path = fresh(spark, "deduplicated")
+    sr.run_to_table(sd.stream_alert_dedup(rows, 7200, ties=["event_id"]), path)
+    return spark.read.parquet(path).select("sensor_id", "t", "event_id", "attack_type", "severity")

@@ -114,8 +114,12 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts_from(table(spark, sf_dir, "events"))
+
+
+def alerts_from(events: DataFrame) -> DataFrame:
     """One detection-like alert per event."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return events.selectExpr(
         "CAST(event_id AS STRING) AS alert_id",
         "event_id",
         "unix_seconds(CAST(ts AS TIMESTAMP)) AS t",
