@@ -834,6 +834,7 @@ LABELLED = """lab AS (SELECT l_orderkey * 100000000 + l_partkey * 1000 + l_suppk
   CAST(l_orderkey AS VARCHAR) AS "Flow ID", CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS "Total Packets",
   CASE WHEN l_partkey % 20 = 0 THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS "Flow Duration",
   CASE WHEN l_suppkey % 4 = 0 THEN 'n/a' ELSE CAST(l_suppkey AS VARCHAR) END AS "Flow Code", l_linestatus AS "Status",
+  CASE WHEN l_partkey % 4 = 0 THEN 'tcp' ELSE CAST(l_linenumber AS VARCHAR) END AS "Service",
   CAST(l_linenumber AS VARCHAR) AS "Hop Count", 'x' || CAST(l_partkey AS VARCHAR) AS "Endpoint",
   NULL::VARCHAR AS "Empty", CASE l_returnflag WHEN 'N' THEN ' BENIGN' WHEN 'A' THEN 'Syn ' ELSE 'DrDoS_DNS' END AS "Label"
   FROM lineitem)"""
@@ -872,3 +873,25 @@ WHERE window_start + 1 <= (SELECT max(us) / 1000000 - 10 FROM packets) GROUP BY
 SQL["stream_alert_dedup"] = f"""WITH RECURSIVE {ALERTS}, {greedy(_KEY, 7200)}
 SELECT sensor_id, t, event_id, attack_type, severity
 FROM alerts JOIN firsts USING (event_id, t) JOIN kept USING (k, t)"""
+
+
+# --- models: the parts that are plain SQL ---------------------------------------------------------
+
+_SAMPLED = f"""{LABELLED}, samp AS (SELECT row_id, trim("Label") AS k, row_number() OVER (
+  PARTITION BY trim("Label") ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id) AS rn FROM lab)"""
+SQL["balanced_weights"] = f"""WITH {LABELLED}, c AS (SELECT trim("Label") AS k, count(*) AS n FROM lab GROUP BY 1)
+SELECT row_id, k AS label, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 6) AS weight
+FROM lab JOIN c ON trim(lab."Label") = k"""
+SQL["sample_per_class"] = f"WITH {_SAMPLED} SELECT row_id, k AS label FROM samp WHERE rn <= 3000"
+SQL["stratified_split"] = f"""WITH {LABELLED} SELECT row_id, trim("Label") AS label, percent_rank() OVER (
+  PARTITION BY trim("Label") ORDER BY md5('7:' || CAST(row_id AS VARCHAR)), row_id) < 0.2 AS is_test FROM lab"""
+_PROFILED = ["Total Packets", "Flow Duration", "Flow Code", "Status", "Service", "Hop Count", "Endpoint", "Empty"]
+SQL["profile_columns"] = f"WITH {LABELLED}, p AS (" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(x) AS non_empty, count(TRY_CAST(x AS DOUBLE)) AS numeric_cells,
+      count(DISTINCT x) + CAST(bool_or(x IS NULL) AS INTEGER) AS d, count(*) AS n
+    FROM (SELECT CASE WHEN "{c}" NOT IN ('n/a') THEN "{c}" END AS x FROM lab)""" for c in _PROFILED) + """)
+SELECT "column", CASE WHEN non_empty = 0 THEN 'dropped' WHEN numeric_cells / non_empty >= 0.9 THEN 'numeric'
+  WHEN d > least(1000, greatest(100, n // 2)) THEN 'dropped' ELSE 'categorical' END AS kind, non_empty, numeric_cells FROM p"""
+SQL["typed_columns"] = f"""WITH {LABELLED} SELECT row_id, trim("Label") AS label,
+  CAST("Total Packets" AS DOUBLE) AS "Total Packets", CAST("Flow Duration" AS DOUBLE) AS "Flow Duration",
+  TRY_CAST("Flow Code" AS DOUBLE) AS "Flow Code", CAST("Hop Count" AS DOUBLE) AS "Hop Count", "Status", "Service" FROM lab"""

@@ -870,3 +870,138 @@ def stream_alert_dedup(spark, sf_dir):
     path = fresh(spark, "deduplicated")
     sr.run_to_table(sd.stream_alert_dedup(rows, 7200, ties=["event_id"]), path)
     return spark.read.parquet(path).select("sensor_id", "t", "event_id", "attack_type", "severity")
+
+
+# --- models --------------------------------------------------------------------------------------
+
+from netwatch.ml import detectors as md  # noqa: E402
+from netwatch.ml import isolation_forest as mf  # noqa: E402
+from netwatch.ml import knn as mk  # noqa: E402
+from netwatch.ml import tabular as tb  # noqa: E402
+
+
+def training_rows(spark, sf_dir):
+    """Feature rows labelled by their fingerprint: 0 unknown, 1 attack."""
+    return ru.fingerprint(tt.feature_rows(spark, sf_dir)).withColumn(
+        "label", (F.col("fingerprint") != "unknown").cast("int"))
+
+
+@query
+def robust_scale(spark, sf_dir):
+    rows = training_rows(spark, sf_dir)
+    out = md.scaled(md.robust_scale(rows), rows)
+    return out.select("row_id", F.round(F.col("_array")[0], 3).alias("packet_rate"))
+
+
+@query
+def isolation_forest(spark, sf_dir):
+    ready = md.scaled(md.robust_scale(training_rows(spark, sf_dir)), training_rows(spark, sf_dir))
+    model = mf.fit_isolation_forest(ready.where("label = 0"), "_array", "row_id", trees=60)
+    return model.transform(ready, "_array").groupBy("label").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.avg("isolation_forest_score"), 4).alias("mean_score"))
+
+
+@query
+def gbt_detector(spark, sf_dir):
+    ready = md.scaled(md.robust_scale(training_rows(spark, sf_dir)), training_rows(spark, sf_dir))
+    scored = md.gbt_detector(ready, iterations=10, depth=4).transform(ready)
+    return rounded(rp.binary_metrics(scored, "label", "_gb_pred"))
+
+
+@query
+def reconstruction_detector(spark, sf_dir):
+    ready = md.scaled(md.robust_scale(training_rows(spark, sf_dir)), training_rows(spark, sf_dir))
+    scored = md.reconstruction_detector(ready.where("label = 0")).transform(ready)
+    return scored.groupBy("label").agg(F.count(F.lit(1)).alias("rows"),
+                                       F.round(F.avg("autoencoder_score"), 4).alias("mean_score"))
+
+
+@query
+def rf_detector(spark, sf_dir):
+    ready = md.scaled(md.robust_scale(training_rows(spark, sf_dir)), training_rows(spark, sf_dir))
+    model, _ = md.rf_detector(ready, trees=20, depth=8)
+    return rounded(md.feature_importances(spark, model))
+
+
+def bundle(spark, sf_dir):
+    return md.train_detectors(training_rows(spark, sf_dir), "row_id", trees=40, iterations=8)
+
+
+@query
+def stacker(spark, sf_dir):
+    scored = bundle(spark, sf_dir).scores(training_rows(spark, sf_dir))
+    return rounded(rp.binary_metrics(
+        scored.withColumn("p", (F.col("stacked_score") >= 0.5).cast("int")), "label", "p"))
+
+
+@query
+def score_features(spark, sf_dir):
+    found = md.score_features(bundle(spark, sf_dir), tt.feature_rows(spark, sf_dir), seconds="sec",
+                              ties=["row_id"])
+    return found.groupBy("attack_type", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def balanced_weights(spark, sf_dir):
+    rows = tt.labelled(spark, sf_dir).select("row_id", F.trim("Label").alias("label"))
+    return rounded(tb.balanced_weights(rows))
+
+
+def labelled_sample(spark, sf_dir, n=100_000):
+    rows = tt.labelled(spark, sf_dir)
+    label, features = tb.choose_columns([c for c in rows.columns if c != "row_id"])
+    return tb.sample_per_class(rows, label, features, "row_id", n), features
+
+
+@query
+def sample_per_class(spark, sf_dir):
+    return labelled_sample(spark, sf_dir, 3000)[0].select("row_id", "label")
+
+
+@query
+def profile_columns(spark, sf_dir):
+    return tb.profile_columns(*labelled_sample(spark, sf_dir))
+
+
+@query
+def stratified_split(spark, sf_dir):
+    return tb.stratified_split(labelled_sample(spark, sf_dir)[0].select("row_id", "label"), "row_id")
+
+
+def prepared(spark, sf_dir):
+    sample, features = labelled_sample(spark, sf_dir)
+    shape = tb.shape_of(tb.profile_columns(sample, features))
+    return tb.typed_columns(sample, shape, ["row_id", "label"]), shape
+
+
+@query
+def typed_columns(spark, sf_dir):
+    table, _ = prepared(spark, sf_dir)
+    return table
+
+
+@query
+def prep_stages(spark, sf_dir):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    table, shape = prepared(spark, sf_dir)
+    ready = Pipeline(stages=tb.prep_stages(shape, True)).fit(table).transform(table)
+    return ready.select("label", F.size(vector_to_array("features")).alias("width")).groupBy("label", "width").count()
+
+
+@query
+def train_candidates(spark, sf_dir):
+    table, shape = prepared(spark, sf_dir)
+    size = tb.TrainingSize(gbt_iterations=5, gbt_depth=4, trees=20, tree_depth=8, linear_iterations=30)
+    return tb.train_candidates(table, shape, "row_id", "auto", size).metrics
+
+
+@query
+def knn_classify(spark, sf_dir):
+    from pyspark.ml import Pipeline
+    table, shape = prepared(spark, sf_dir)
+    split = tb.stratified_split(table, "row_id")
+    prep = Pipeline(stages=tb.prep_stages(shape, True)).fit(split.where("NOT is_test"))
+    found = mk.knn_classify(prep.transform(split.where("NOT is_test")), prep.transform(split.where("is_test")),
+                            "row_id")
+    return rp.confusion(found)

@@ -261,6 +261,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
         "IF(l_partkey % 20 = 0, '', CAST(l_partkey AS STRING)) AS `Flow Duration`",
         "IF(l_suppkey % 4 = 0, 'n/a', CAST(l_suppkey AS STRING)) AS `Flow Code`",
         "l_linestatus AS `Status`",
+        "IF(l_partkey % 4 = 0, 'tcp', CAST(l_linenumber AS STRING)) AS `Service`",
         "CAST(l_linenumber AS STRING) AS `Hop Count`",
         "concat('x', CAST(l_partkey AS STRING)) AS `Endpoint`",
         "CAST(NULL AS STRING) AS `Empty`",
