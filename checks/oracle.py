@@ -36,48 +36,52 @@ packets AS (
 """
 
 
-def measures(group: str, source: str, seconds: str) -> str:
+def measures(group: str, source: str, seconds: str, digits: int = 6) -> str:
     """All measures straight from packet rows, with DuckDB's own distinct and entropy."""
     return f"""
 SELECT {group}, count(*) AS packet_count, CAST(sum(packet_size) AS BIGINT) AS byte_count,
-  round(count(*) / {seconds}, 6) AS packet_rate, round(sum(packet_size) / {seconds}, 6) AS byte_rate,
-  round(count(*) FILTER (protocol = 6) / count(*), 6) AS tcp_ratio,
-  round(count(*) FILTER (protocol = 17) / count(*), 6) AS udp_ratio,
-  round(count(*) FILTER (protocol IN (1, 58)) / count(*), 6) AS icmp_ratio,
-  round(count(*) FILTER (protocol = 53 OR src_port = 53 OR dst_port = 53) / count(*), 6) AS dns_ratio,
+  round(count(*) / {seconds}, {digits}) AS packet_rate, round(sum(packet_size) / {seconds}, {digits}) AS byte_rate,
+  round(count(*) FILTER (protocol = 6) / count(*), {digits}) AS tcp_ratio,
+  round(count(*) FILTER (protocol = 17) / count(*), {digits}) AS udp_ratio,
+  round(count(*) FILTER (protocol IN (1, 58)) / count(*), {digits}) AS icmp_ratio,
+  round(count(*) FILTER (protocol = 53 OR src_port = 53 OR dst_port = 53) / count(*), {digits}) AS dns_ratio,
   round(count(*) FILTER (flags & 2 <> 0 AND flags & 16 = 0)
-    / greatest(count(*) FILTER (protocol = 6), 1), 6) AS syn_ratio,
-  round(count(*) FILTER (flags = 18) / greatest(count(*) FILTER (protocol = 6), 1), 6) AS syn_ack_ratio,
+    / greatest(count(*) FILTER (protocol = 6), 1), {digits}) AS syn_ratio,
+  round(count(*) FILTER (flags = 18) / greatest(count(*) FILTER (protocol = 6), 1), {digits}) AS syn_ack_ratio,
   round(count(*) FILTER (flags & 16 <> 0 AND flags & 2 = 0)
-    / greatest(count(*) FILTER (protocol = 6), 1), 6) AS ack_ratio,
-  round(count(*) FILTER (flags & 4 <> 0) / greatest(count(*) FILTER (protocol = 6), 1), 6) AS rst_ratio,
-  round(count(*) FILTER (flags & 1 <> 0) / greatest(count(*) FILTER (protocol = 6), 1), 6) AS fin_ratio,
+    / greatest(count(*) FILTER (protocol = 6), 1), {digits}) AS ack_ratio,
+  round(count(*) FILTER (flags & 4 <> 0) / greatest(count(*) FILTER (protocol = 6), 1), {digits}) AS rst_ratio,
+  round(count(*) FILTER (flags & 1 <> 0) / greatest(count(*) FILTER (protocol = 6), 1), {digits}) AS fin_ratio,
   round(count(*) FILTER (flags & 2 <> 0 AND flags & 16 = 0)
-    / greatest(count(*) FILTER (flags & 16 <> 0 AND flags & 2 = 0), 1), 6) AS syn_to_ack_ratio,
-  round(entropy(src_ip), 6) AS src_ip_entropy, round(entropy(dst_ip), 6) AS dst_ip_entropy,
-  round(entropy(src_port), 6) AS src_port_entropy, round(entropy(dst_port), 6) AS dst_port_entropy,
-  round(avg(packet_size), 6) AS avg_packet_size, round(stddev_pop(packet_size), 6) AS std_packet_size,
+    / greatest(count(*) FILTER (flags & 16 <> 0 AND flags & 2 = 0), 1), {digits}) AS syn_to_ack_ratio,
+  round(entropy(src_ip), {digits}) AS src_ip_entropy, round(entropy(dst_ip), {digits}) AS dst_ip_entropy,
+  round(entropy(src_port), {digits}) AS src_port_entropy, round(entropy(dst_port), {digits}) AS dst_port_entropy,
+  round(avg(packet_size), {digits}) AS avg_packet_size, round(stddev_pop(packet_size), {digits}) AS std_packet_size,
   CAST(min(packet_size) AS BIGINT) AS min_packet_size,
   CAST(max(packet_size) AS BIGINT) AS max_packet_size,
   count(DISTINCT src_ip) AS unique_src_ips, count(DISTINCT dst_ip) AS unique_dst_ips,
   count(DISTINCT src_port) AS unique_src_ports, count(DISTINCT dst_port) AS unique_dst_ports,
   count(DISTINCT (src_ip, dst_ip)) AS unique_ip_pairs,
-  round(avg(ttl), 6) AS avg_ttl, count(DISTINCT ttl) AS ttl_diversity,
-  round(avg(payload_size), 6) AS avg_payload_size,
-  round(count(*) FILTER (payload_size = 0) / count(*), 6) AS zero_payload_ratio,
-  round(avg(window_size), 6) AS avg_window_size,
-  round(count(*) FILTER (window_size < 4096) / count(*), 6) AS small_window_ratio,
-  round(count(*) FILTER (fragment_offset > 0) / count(*), 6) AS fragmentation_ratio,
+  round(avg(ttl), {digits}) AS avg_ttl, count(DISTINCT ttl) AS ttl_diversity,
+  round(avg(payload_size), {digits}) AS avg_payload_size,
+  round(count(*) FILTER (payload_size = 0) / count(*), {digits}) AS zero_payload_ratio,
+  round(avg(window_size), {digits}) AS avg_window_size,
+  round(count(*) FILTER (window_size < 4096) / count(*), {digits}) AS small_window_ratio,
+  round(count(*) FILTER (fragment_offset > 0) / count(*), {digits}) AS fragmentation_ratio,
   round(count(*) FILTER (src_port = 53)
-    / greatest(count(*) FILTER (protocol = 53 OR src_port = 53 OR dst_port = 53), 1), 6)
+    / greatest(count(*) FILTER (protocol = 53 OR src_port = 53 OR dst_port = 53), 1), {digits})
     AS dns_response_ratio,
-  round(count(*) FILTER (packet_size > 1400) / count(*), 6) AS large_packet_ratio
+  round(count(*) FILTER (packet_size > 1400) / count(*), {digits}) AS large_packet_ratio
 FROM {source} GROUP BY {group}"""
 
 
 VECTORS = f"""
 {PACKETS}, vectors AS ({measures('sensor_id, window_start', '(SELECT *, sec AS window_start FROM packets)', '1.0')})
 """
+# The same with practically unrounded measures, for results computed from them.
+FINE_VECTORS = f"""
+{PACKETS}, vectors AS ({measures('sensor_id, window_start', '(SELECT *, sec AS window_start FROM packets)', '1.0', 12)})
+"""
 
 from .queries import FEATURE_GROUPS  # noqa: E402  (names of the column groups only)
 
@@ -424,7 +428,7 @@ sk AS (SELECT *, CAST(a >= 0.45 AS INTEGER) + CAST(b >= 0.45 AS INTEGER) + CAST(
 
 
 _VOTE = DETECTED[len(SCORED):]
-WINDOW_DETECTED = f"""{VECTORS}, wv AS (SELECT *, sensor_id || '@' || CAST(window_start AS VARCHAR) AS row_id,
+WINDOW_DETECTED = f"""{FINE_VECTORS}, wv AS (SELECT *, sensor_id || '@' || CAST(window_start AS VARCHAR) AS row_id,
   window_start AS sec FROM vectors), {heuristics('wv')} {_VOTE}"""
 SQL["detections_with_context"] = f"""
 WITH {WINDOW_DETECTED}, {ENDPOINTS}
@@ -895,3 +899,33 @@ SELECT "column", CASE WHEN non_empty = 0 THEN 'dropped' WHEN numeric_cells / non
 SQL["typed_columns"] = f"""WITH {LABELLED} SELECT row_id, trim("Label") AS label,
   CAST("Total Packets" AS DOUBLE) AS "Total Packets", CAST("Flow Duration" AS DOUBLE) AS "Flow Duration",
   TRY_CAST("Flow Code" AS DOUBLE) AS "Flow Code", CAST("Hop Count" AS DOUBLE) AS "Hop Count", "Status", "Service" FROM lab"""
+
+# --- whole plans ---------------------------------------------------------------------------------
+
+_GATE_CTES = GATED[len(DETECTED):]
+_MULTI = f"""{PACKETS}, sizes(window_name, w) AS (VALUES ('1s', 1), ('5s', 5), ('60s', 60)),
+spread AS (SELECT p.*, window_name, w, unnest(generate_series(sec + 1, sec + w)) AS window_end FROM packets p, sizes),
+multi AS (SELECT * RENAME (sensor_id AS sensor), sensor_id || window_name AS sensor_id, window_end AS sec,
+  sensor_id || window_name || CAST(window_end AS VARCHAR) AS row_id
+  FROM ({measures('sensor_id, window_name, w, window_end', 'spread', 'w', 12)}))"""
+SQL["flagship"] = f"""WITH {_MULTI}, {heuristics('multi')} {_VOTE} {_GATE_CTES}
+SELECT sensor AS sensor_id, window_name, window_end, round(packet_rate, 6) AS packet_rate, fingerprint,
+  CAST(k AS BIGINT) AS models_agreeing,
+  round(CASE WHEN is_anomaly AND NOT allowed THEN least(score, 0.44) ELSE score END, 6) AS anomaly_score,
+  is_anomaly AND allowed AS is_anomaly,
+  CASE WHEN is_anomaly AND NOT allowed THEN 'none' ELSE attack_type END AS attack_type,
+  CASE WHEN is_anomaly AND NOT allowed THEN 'info' ELSE severity END AS severity,
+  CASE WHEN is_anomaly AND NOT allowed THEN reason END AS suppression_reason,
+  CASE WHEN is_anomaly AND allowed THEN reason END AS gate_reason FROM g"""
+_KEEP10 = greedy("sensor_id || '|' || attack_type || ':' || severity", 10).replace(
+    "min(event_id) AS event_id FROM alerts", "count(*) AS c FROM anomalies")
+SQL["alert_flow"] = f"""WITH RECURSIVE {WINDOW_DETECTED} {_GATE_CTES}, {ENDPOINTS},
+anomalies AS (SELECT g.sensor_id, g.window_start AS t, attack_type, severity, score, string_split(source_ips, '|') AS ips
+  FROM g JOIN ctx ON g.sensor_id = ctx.sensor_id AND g.window_start = ctx.window_start WHERE is_anomaly AND allowed),
+{_KEEP10},
+al AS (SELECT a.*, CASE WHEN severity IN ('critical', 'emergency') THEN 'critical_alert_policy'
+    ELSE 'severity_below_auto_block_threshold' END AS decision_reason
+  FROM anomalies a JOIN kept ON kept.k = a.sensor_id || '|' || attack_type || ':' || severity AND kept.t = a.t)
+SELECT sensor_id, t, attack_type, severity, unnest(CASE WHEN decision_reason = 'critical_alert_policy' THEN ips[1:5]
+    ELSE [NULL] END) AS target_ip, decision_reason,
+  CASE WHEN decision_reason = 'critical_alert_policy' THEN 'monitor_only' END AS action_status FROM al"""

@@ -1005,3 +1005,22 @@ def knn_classify(spark, sf_dir):
     found = mk.knn_classify(prep.transform(split.where("NOT is_test")), prep.transform(split.where("is_test")),
                             "row_id")
     return rp.confusion(found)
+
+
+# --- whole plans ---------------------------------------------------------------------------------
+
+from netwatch.plans import detection as pd_  # noqa: E402
+
+
+@query
+def flagship(spark, sf_dir):
+    """Sliding windows of three sizes, fingerprint, vote and evidence gate over all packets."""
+    return rounded(pd_.window_detections(tt.packets(spark, sf_dir)).select(
+        "sensor_id", "window_name", "window_end", "packet_rate", "fingerprint", "models_agreeing",
+        "anomaly_score", "is_anomaly", "attack_type", "severity", "suppression_reason", "gate_reason"))
+
+
+@query
+def alert_flow(spark, sf_dir):
+    return rounded(pd_.alert_flow(tt.packets(spark, sf_dir), gap=10).select(
+        "sensor_id", "t", "attack_type", "severity", "target_ip", "decision_reason", "action_status"))

@@ -72,14 +72,14 @@ def round_binary(x: str, digits: int) -> str:
     """SQL text rounding a double to a few decimals, for up to 2 of them by its exact binary value.
 
     ``round``/``bround`` look at the shortest decimal form, so 16.275 (stored slightly below) would
-    round up; here the mantissa is scaled to an integer and compared exactly, ties to even.
+    round up. Only such apparent ties need care: the distance to the tie is summed from two exact
+    products (the value split at float precision), so its sign is right.
     """
     if digits not in (1, 2):
         return f"bround({x}, {digits})"
-    shift = f"(52 - CAST(floor(log2(abs({x}))) AS INT))"
-    units = f"(CAST(abs({x}) * pow(2.0D, {shift}) AS BIGINT) * {10 ** digits})"
-    unit = f"shiftleft(1L, {shift})"
-    rest = f"({units} % {unit}) * 2"
-    up = f"IF({rest} > {unit} OR ({rest} = {unit} AND ({units} DIV {unit}) % 2 = 1), 1, 0)"
-    return (f"CASE WHEN abs({x}) < 0.001D THEN 0.0D WHEN abs({x}) >= 1e9 THEN bround({x}, {digits}) "
-            f"ELSE sign({x}) * (({units} DIV {unit}) + {up}) / {10 ** digits} END")
+    unit = 10 ** (digits + 1)
+    tie = f"rint({x} * {unit})"
+    coarse = f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
+    off = f"sign(({coarse} * {unit} - {tie}) + ({x} - {coarse}) * {unit})"
+    return (f"IF(abs({tie}) % 10 = 5 AND {tie} / {unit} = {x} AND {off} <> 0, "
+            f"({tie} + 5 * {off}) / {unit}, bround({x}, {digits}))")
