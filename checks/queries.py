@@ -23,14 +23,13 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles so that two engines agree on the last digits; integers become bigint."""
     out = []
     for name, kind in df.dtypes:
-        col = F.col(name)
         if kind == "double":
-            out.append(F.round(col, digits).alias(name))
+            out.append(f"round(`{name}`, {digits}) AS `{name}`")
         elif kind in ("int", "smallint", "tinyint"):
-            out.append(col.cast("bigint").alias(name))
+            out.append(f"CAST(`{name}` AS BIGINT) AS `{name}`")
         else:
-            out.append(col)
-    return df.select(*out)
+            out.append(f"`{name}`")
+    return df.selectExpr(*out)
 
 
 def _features(names):

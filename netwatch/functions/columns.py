@@ -28,11 +28,10 @@ def lookup(values: Mapping[str, object], key: Column, default: Column) -> Column
 
 def fill_features(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """Missing or null features count as zero."""
-    present = set(df.columns)
-    return df.withColumns({
-        name: F.coalesce(F.col(name), F.lit(0)) if name in present else F.lit(0.0)
-        for name in names
-    })
+    present, wanted = set(df.columns), list(names)
+    return df.selectExpr(
+        *[f"coalesce(`{c}`, 0) AS `{c}`" if c in wanted else f"`{c}`" for c in df.columns],
+        *[f"0.0D AS `{n}`" for n in wanted if n not in present])
 
 
 def sigmoid(x: Column) -> Column:

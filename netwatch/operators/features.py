@@ -37,55 +37,42 @@ ENTROPY_DIMENSIONS = ("src_ip", "dst_ip", "src_port", "dst_port")
 _DIM_COLUMNS = ("src_ip", "dst_ip", "src_port", "dst_port", "ttl")
 
 
-def packet_flag_columns() -> dict[str, Column]:
-    """Boolean packet properties (all JVM-side)."""
-    proto, flags = F.col("protocol"), F.col("flags")
-    syn, ack = flags.bitwiseAND(SYN) != 0, flags.bitwiseAND(ACK) != 0
-    return {
-        "is_tcp": proto == 6,
-        "is_udp": proto == 17,
-        "is_icmp": proto.isin(1, 58),
-        "is_dns": (proto == 53) | (F.col("src_port") == 53) | (F.col("dst_port") == 53),
-        "is_syn": syn & ~ack,
-        "is_syn_ack": flags == (SYN | ACK),
-        "is_ack": ack & ~syn,
-        "is_rst": flags.bitwiseAND(RST) != 0,
-        "is_fin": flags.bitwiseAND(FIN) != 0,
-        "is_zero_payload": F.coalesce(F.col("payload_size"), F.lit(0)) == 0,
-        "is_small_window": F.coalesce(F.col("window_size"), F.lit(65535)) < SMALL_WINDOW,
-        "is_fragment": F.coalesce(F.col("fragment_offset"), F.lit(0)) > 0,
-        "is_large": F.col("packet_size") > LARGE_PACKET,
-    }
+# Packet properties as SQL, one parsed expression each.
+PACKET_FLAGS = {
+    "is_tcp": "protocol = 6",
+    "is_udp": "protocol = 17",
+    "is_icmp": "protocol IN (1, 58)",
+    "is_dns": "protocol = 53 OR src_port = 53 OR dst_port = 53",
+    "is_syn": f"flags & {SYN} <> 0 AND flags & {ACK} = 0",
+    "is_syn_ack": f"flags = {SYN | ACK}",
+    "is_ack": f"flags & {ACK} <> 0 AND flags & {SYN} = 0",
+    "is_rst": f"flags & {RST} <> 0",
+    "is_fin": f"flags & {FIN} <> 0",
+    "is_zero_payload": "coalesce(payload_size, 0) = 0",
+    "is_small_window": f"coalesce(window_size, 65535) < {SMALL_WINDOW}",
+    "is_fragment": "coalesce(fragment_offset, 0) > 0",
+    "is_large": f"packet_size > {LARGE_PACKET}",
+}
 
 
 def packet_flags(packets: DataFrame) -> DataFrame:
-    return packets.select("*", *[c.alias(n) for n, c in packet_flag_columns().items()])
-
-
-def additive_measures() -> dict[str, Column]:
-    """Integer sums from which every ratio and mean is computed with one division."""
-    size = F.col("packet_size").cast("long")
-    sums = {
-        "n": F.count(F.lit(1)),
-        "bytes": F.sum(size),
-        "bytes_sq": F.sum(size * size),
-        "ttl_sum": F.sum("ttl"),
-        "payload_sum": F.sum(F.coalesce(F.col("payload_size"), F.lit(0))),
-        "window_sum": F.sum(F.coalesce(F.col("window_size"), F.lit(65535))),
-        "from_port_53": F.count_if(F.col("src_port") == 53),
-        "size_min": F.min("packet_size"),
-        "size_max": F.max("packet_size"),
-    }
-    for name, flag in packet_flag_columns().items():
-        sums[name[3:] + "_n"] = F.count_if(flag)
-    return sums
-
-
-ADDITIVE_NAMES = (
-    "n", "bytes", "bytes_sq", "ttl_sum", "payload_sum", "window_sum", "from_port_53",
-    "tcp_n", "udp_n", "icmp_n", "dns_n", "syn_n", "syn_ack_n", "ack_n", "rst_n", "fin_n",
-    "zero_payload_n", "small_window_n", "fragment_n", "large_n",
-)
+    """Packets with one boolean column per property (all JVM-side)."""
+    return packets.selectExpr("*", *[f"({sql}) AS {name}" for name, sql in PACKET_FLAGS.items()])
+
+
+# Integer sums from which every ratio and mean is computed with one division.
+ADDITIVE = {
+    "n": "count(1)",
+    "bytes": "sum(CAST(packet_size AS BIGINT))",
+    "bytes_sq": "sum(CAST(packet_size AS BIGINT) * packet_size)",
+    "ttl_sum": "sum(ttl)",
+    "payload_sum": "sum(coalesce(payload_size, 0))",
+    "window_sum": "sum(coalesce(window_size, 65535))",
+    "from_port_53": "count_if(src_port = 53)",
+    "size_min": "min(packet_size)",
+    "size_max": "max(packet_size)",
+    **{name[3:] + "_n": f"count_if({sql})" for name, sql in PACKET_FLAGS.items()},
+}
 
 
 def value_counts(
@@ -99,93 +86,80 @@ def value_counts(
                   for i, c in enumerate(_DIM_COLUMNS) if c not in cols)
         for name, cols in DIMENSIONS.items() if name in dims
     }
-    gid = F.grouping_id()
-    dim = reduce(lambda acc, item: acc.when(F.col("_gid") == item[1], F.lit(item[0])),
-                 masks.items(), F.when(F.lit(False), F.lit("")))
+    whens = " ".join(f"WHEN {mask} THEN '{name}'" for name, mask in masks.items())
     return (
         packets.select(*group, *_DIM_COLUMNS)
         .groupingSets(sets, *group, *_DIM_COLUMNS)
-        .agg(gid.alias("_gid"), F.count(F.lit(1)).alias("c"))
-        .select(*group, dim.alias("dim"), *_DIM_COLUMNS, "c")
+        .agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("c"))
+        .select(*group, F.expr(f"CASE _gid {whens} END AS dim"), *_DIM_COLUMNS, "c")
     )
 
 
-def _c_log_c(c: Column) -> Column:
-    return F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
+def _c_log_c(c: str) -> str:
+    return f"IF({c} > 0, {c} * log2({c}), 0.0D)"
 
 
-def _spread_measures(distinct: Column, c_log_c: Column,
-                     dims: Sequence[str] = tuple(DIMENSIONS)) -> dict[str, Column]:
-    out = {f"u_{d}": F.sum(F.when(F.col("dim") == d, distinct)) for d in dims}
-    out |= {f"g_{d}": F.sum(F.when(F.col("dim") == d, c_log_c))
-            for d in ENTROPY_DIMENSIONS if d in dims}
+def _spread_measures(distinct: str, c_log_c: str, dims: Sequence[str] = tuple(DIMENSIONS)) -> dict[str, str]:
+    """Per dimension the sum of distinct values (``u_``) and of c*log2(c) (``g_``)."""
+    out = {f"u_{d}": f"sum(IF(dim = '{d}', {distinct}, NULL))" for d in dims}
+    out |= {f"g_{d}": f"sum(IF(dim = '{d}', {c_log_c}, NULL))" for d in ENTROPY_DIMENSIONS if d in dims}
     return out
 
 
-def _named(measures: dict[str, Column]) -> list[Column]:
-    return [c.alias(n) for n, c in measures.items()]
-
-
-def _ratio(num: str, den: Column) -> Column:
-    return F.col(num) / den
+def _named(measures: dict[str, str]) -> list[Column]:
+    return [F.expr(f"{sql} AS {name}") for name, sql in measures.items()]
 
 
-def measure_columns(seconds: float | Column) -> dict[str, Column]:
-    """The 36 measures from additive sums, distinct counts and sums of c*log2(c)."""
-    seconds = seconds if isinstance(seconds, Column) else F.lit(float(seconds))
-    n = F.col("n")
-    some = F.greatest(n, F.lit(1))
-    tcp, ack, dns = (F.greatest(F.col(c), F.lit(1)) for c in ("tcp_n", "ack_n", "dns_n"))
+def measure_columns(seconds: float | str) -> dict[str, str]:
+    """SQL of the 36 measures from additive sums, distinct counts and sums of c*log2(c)."""
+    some = "greatest(n, 1)"
+    tcp, ack, dns = (f"greatest({c}, 1)" for c in ("tcp_n", "ack_n", "dns_n"))
+    seconds = seconds if isinstance(seconds, str) else f"{float(seconds)}D"
 
-    def entropy(dim: str) -> Column:
-        bits = F.log2(some) - F.col(f"g_{dim}") / some
+    def entropy(dim: str) -> str:
         # Rounding noise around zero is not entropy.
-        return F.when(bits > 1e-9, bits).otherwise(F.lit(0.0))
+        bits = f"(log2({some}) - g_{dim} / {some})"
+        return f"IF({bits} > 1e-9, {bits}, 0.0D)"
+
+    def product(a: str, b: str) -> str:
+        return f"CAST({a} AS DECIMAL(19,0)) * CAST({b} AS DECIMAL(18,0))"
 
-    wide = "CAST({} AS DECIMAL(19,0)) * CAST({} AS DECIMAL(18,0))"
-    spread = F.expr(
-        f"sqrt(CAST({wide.format('bytes_sq', 'n')} - {wide.format('bytes', 'bytes')} AS DOUBLE))")
     return {
-        "packet_count": n,
-        "byte_count": F.coalesce(F.col("bytes"), F.lit(0)),
-        "packet_rate": n / seconds,
-        "byte_rate": F.col("bytes") / seconds,
-        "tcp_ratio": _ratio("tcp_n", some),
-        "udp_ratio": _ratio("udp_n", some),
-        "icmp_ratio": _ratio("icmp_n", some),
-        "dns_ratio": _ratio("dns_n", some),
-        "syn_ratio": _ratio("syn_n", tcp),
-        "syn_ack_ratio": _ratio("syn_ack_n", tcp),
-        "ack_ratio": _ratio("ack_n", tcp),
-        "rst_ratio": _ratio("rst_n", tcp),
-        "fin_ratio": _ratio("fin_n", tcp),
-        "syn_to_ack_ratio": _ratio("syn_n", ack),
+        "packet_count": "n",
+        "byte_count": "bytes",
+        "packet_rate": f"n / {seconds}",
+        "byte_rate": f"bytes / {seconds}",
+        **{f"{p}_ratio": f"{p}_n / {some}" for p in ("tcp", "udp", "icmp", "dns")},
+        **{f"{p}_ratio": f"{p}_n / {tcp}" for p in ("syn", "syn_ack", "ack", "rst", "fin")},
+        "syn_to_ack_ratio": f"syn_n / {ack}",
         **{f"{d}_entropy": entropy(d) for d in ENTROPY_DIMENSIONS},
-        "avg_packet_size": _ratio("bytes", some),
-        "std_packet_size": spread / some,
-        "min_packet_size": F.col("size_min"),
-        "max_packet_size": F.col("size_max"),
-        "unique_src_ips": F.col("u_src_ip"),
-        "unique_dst_ips": F.col("u_dst_ip"),
-        "unique_src_ports": F.col("u_src_port"),
-        "unique_dst_ports": F.col("u_dst_port"),
-        "unique_ip_pairs": F.col("u_pair"),
-        "avg_ttl": _ratio("ttl_sum", some),
-        "ttl_diversity": F.col("u_ttl"),
-        "avg_payload_size": _ratio("payload_sum", some),
-        "zero_payload_ratio": _ratio("zero_payload_n", some),
-        "avg_window_size": _ratio("window_sum", some),
-        "small_window_ratio": _ratio("small_window_n", some),
-        "fragmentation_ratio": _ratio("fragment_n", some),
-        "dns_response_ratio": _ratio("from_port_53", dns),
-        "large_packet_ratio": _ratio("large_n", some),
+        "avg_packet_size": f"bytes / {some}",
+        "std_packet_size":
+            f"sqrt(CAST({product('bytes_sq', 'n')} - {product('bytes', 'bytes')} AS DOUBLE)) / {some}",
+        "min_packet_size": "size_min",
+        "max_packet_size": "size_max",
+        "unique_src_ips": "u_src_ip",
+        "unique_dst_ips": "u_dst_ip",
+        "unique_src_ports": "u_src_port",
+        "unique_dst_ports": "u_dst_port",
+        "unique_ip_pairs": "u_pair",
+        "avg_ttl": f"ttl_sum / {some}",
+        "ttl_diversity": "u_ttl",
+        "avg_payload_size": f"payload_sum / {some}",
+        "zero_payload_ratio": f"zero_payload_n / {some}",
+        "avg_window_size": f"window_sum / {some}",
+        "small_window_ratio": f"small_window_n / {some}",
+        "fragmentation_ratio": f"fragment_n / {some}",
+        "dns_response_ratio": f"from_port_53 / {dns}",
+        "large_packet_ratio": f"large_n / {some}",
     }
 
 
-def _finish(sums: DataFrame, keys: Sequence[str], seconds: float | Column,
-            measures: Sequence[str] = MEASURES) -> DataFrame:
-    cols = measure_columns(seconds)
-    return sums.select(*keys, *[F.coalesce(cols[m], F.lit(0)).alias(m) for m in measures])
+def finish(sums: DataFrame, keys: Sequence[str], seconds: float | str,
+           measures: Sequence[str] = MEASURES) -> DataFrame:
+    """Measures from sums; without packets all of them are zero."""
+    sql = measure_columns(seconds)
+    return sums.selectExpr(*keys, *[f"coalesce({sql[m]}, 0) AS {m}" for m in measures])
 
 
 # The dimension a measure needs counted; every other measure is additive.
@@ -202,6 +176,17 @@ def _pane(seconds: int) -> Column:
     return s - F.pmod(s, F.lit(seconds)) if seconds > 1 else s
 
 
+def _with_spread(sums: DataFrame, counts: DataFrame, group: Sequence[str],
+                 dims: Sequence[str] = tuple(DIMENSIONS)) -> DataFrame:
+    """Additive sums and spread measures side by side. Both have at most one row per group and share
+    its hash partitioning, so they meet without another shuffle."""
+    steps = _spread_measures("1L", _c_log_c("c"), dims)
+    spread = counts.groupBy(*group).agg(*_named(steps))
+    return (
+        sums.unionByName(spread, allowMissingColumns=True).groupBy(*group)
+        .agg(*[F.expr(f"max({c}) AS {c}") for c in [*ADDITIVE, *steps]]))
+
+
 def feature_vector(
     packets: DataFrame,
     window: int | None = 1,
@@ -222,18 +207,11 @@ def feature_vector(
     if window is not None:
         packets = packets.withColumn("window_start", _pane(window))
         group.append("window_start")
-    additive = additive_measures()
-    sums = packets.groupBy(*group).agg(*_named(additive))
+    sums = packets.groupBy(*group).agg(*_named(ADDITIVE))
     dims = [d for d in DIMENSIONS if any(_SPREAD_OF.get(m) == d for m in measures)]
     if dims:
-        steps = _spread_measures(F.lit(1), _c_log_c(F.col("c")), dims)
-        spread = value_counts(packets, group, dims).groupBy(*group).agg(*_named(steps))
-        # Both sides hold at most one row per window and share the hash partitioning on it.
-        sums = (
-            sums.unionByName(spread, allowMissingColumns=True).groupBy(*group)
-            .agg(*[F.max(c).alias(c) for c in [*additive, *steps]])
-        )
-    out = _finish(sums, group, float(window or duration), measures)
+        sums = _with_spread(sums, value_counts(packets, group, dims), group, dims)
+    out = finish(sums, group, float(window or duration), measures)
     return out.withColumn("window_end", F.col("window_start") + window) if window else out
 
 
@@ -258,62 +236,72 @@ def multi_window_features(
         raise ValueError("window sizes must be multiples of the slide")
     keys = list(keys)
     block = max(block // slide, 4 * max(windows.values()) // slide)
-    panes = packets.withColumn("p", F.expr(f"CAST(floor(unix_seconds(ts) / {slide}) AS BIGINT)"))
     group = [*keys, "p"]
-    additive = additive_measures()
-    pane_sums = panes.groupBy(*group).agg(*_named(additive))
+    panes = packets.withColumn("p", F.expr(f"CAST(floor(unix_seconds(ts) / {slide}) AS BIGINT)"))
+    pane_sums = panes.groupBy(*group).agg(*_named(ADDITIVE))
     pane_values = value_counts(panes, group)
-
-    sizes = F.array(*[
-        F.struct(F.lit(name).alias("window_name"), F.lit(size // slide).cast("long").alias("w"))
-        for name, size in windows.items()])
-    spans = F.explode(sizes).alias("s")
-
-    # Change points of every value, per window size and block.
+    out_keys = [*keys, "window_name", "window_start", "window_end"]
+
+    frames = []
+    for name, size in windows.items():
+        if size == slide:  # a pane is a window
+            frames.append(finish(
+                _with_spread(pane_sums, pane_values, group).withColumns({
+                    "window_name": F.lit(name), "window_start": F.col("p") * slide,
+                    "window_end": (F.col("p") + 1) * slide}), out_keys, float(size)))
+    sliding = {name: size // slide for name, size in windows.items() if size != slide}
+    if not sliding:
+        return reduce(DataFrame.unionByName, frames)
+
+    spans = F.explode(F.expr("array(" + ", ".join(f"{w}L" for w in sorted(set(sliding.values()))) + ")"))
+    # Change points of every value, per window length and block.
     changes = (
-        pane_values.select("*", spans).select("*", "s.*").drop("s")
+        pane_values.withColumn("w", spans)
         .withColumn("b", F.explode(F.expr(
             f"array_distinct(array(CAST(floor(p / {block}) AS BIGINT), "
             f"CAST(floor((p + w - 1) / {block}) AS BIGINT)))")))
         .withColumn("e", F.explode(F.expr(
             f"filter(array(struct(greatest(p, b * {block}) AS t, c AS d), "
             f"struct(p + w AS t, -c AS d)), x -> x.t < (b + 1) * {block})")))
-        .select(*keys, "window_name", "w", "b", "dim", *_DIM_COLUMNS, "e.t", "e.d")
+        .select(*keys, "w", "b", "dim", *_DIM_COLUMNS, "e.t", "e.d")
+        # Sorted by a hash first: nearly every comparison is decided by its eight bytes.
+        .withColumn("_h", F.xxhash64(*keys, "w", "b", "dim", *_DIM_COLUMNS))
     )
-    per_value = W.partitionBy(*keys, "window_name", "w", "b", "dim", *_DIM_COLUMNS).orderBy("t")
+    per_value = W.partitionBy("_h", *keys, "w", "b", "dim", *_DIM_COLUMNS).orderBy("t")
     count_now = F.sum("d").over(per_value.rangeBetween(W.unboundedPreceding, W.currentRow))
     stepped = (
         changes.withColumn("now", count_now)
         .withColumn("before", F.coalesce(F.lag("now").over(per_value), F.lit(0)))
     )
-    steps = _spread_measures(
-        (F.col("now") > 0).cast("long") - (F.col("before") > 0).cast("long"),
-        _c_log_c(F.col("now")) - _c_log_c(F.col("before")))
+    steps = _spread_measures("CAST(now > 0 AS BIGINT) - CAST(before > 0 AS BIGINT)",
+                             f"{_c_log_c('now')} - {_c_log_c('before')}")
 
     # Additive measures: one row per pane, so plain expansion to its windows stays small.
     covered = (
-        pane_sums.select("*", spans).select("*", "s.*").drop("s")
+        pane_sums.withColumn("w", spans)
         .withColumn("t", F.explode(F.expr("sequence(p, p + w - 1)")))
         .withColumn("b", F.expr(f"CAST(floor(t / {block}) AS BIGINT)")).drop("p")
     )
-    at = [*keys, "window_name", "w", "b", "t"]
-    totals = {c: F.sum(c) for c in ADDITIVE_NAMES} | {
-        "size_min": F.min("size_min"), "size_max": F.max("size_max")}
+    at = [*keys, "w", "b", "t"]
+    totals = {c: f"sum({c})" for c in ADDITIVE} | {
+        "size_min": "min(size_min)", "size_max": "max(size_max)"}
     merged = (
         covered.groupBy(*at).agg(*_named(totals))
         .unionByName(stepped.groupBy(*at).agg(*_named(steps)), allowMissingColumns=True)
-        .groupBy(*at)
-        .agg(*[F.max(c).alias(c) for c in totals], *[F.max(c).alias(c) for c in steps])
+        .groupBy(*at).agg(*_named({c: f"max({c})" for c in [*totals, *steps]}))
     )
-    running = W.partitionBy(*keys, "window_name", "w", "b").orderBy("t").rowsBetween(
+    running = W.partitionBy(*keys, "w", "b").orderBy("t").rowsBetween(
         W.unboundedPreceding, W.currentRow)
     windowed = merged.withColumns({c: F.sum(c).over(running) for c in steps}).where("n IS NOT NULL")
-    ends = (F.col("t") + 1) * slide
-    seconds = (F.col("w") * slide).cast("double")
-    return _finish(
-        windowed.withColumns({"window_end": ends, "window_start": ends - F.col("w") * slide,
-                              "seconds": seconds}),
-        [*keys, "window_name", "window_start", "window_end"], F.col("seconds"))
+    names = "map(" + ", ".join(f"{w}L, array({', '.join(repr(n) for n, x in sliding.items() if x == w)})"
+                               for w in sorted(set(sliding.values()))) + ")"
+    frames.append(finish(
+        windowed.withColumns({
+            "window_name": F.explode(F.expr(f"{names}[w]")),
+            "window_end": F.expr(f"(t + 1) * {slide}"),
+            "window_start": F.expr(f"(t + 1 - w) * {slide}")}),
+        out_keys, f"CAST(w * {slide} AS DOUBLE)"))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def with_model_array(features: DataFrame, name: str = "feature_array") -> DataFrame:

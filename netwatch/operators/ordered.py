@@ -29,18 +29,22 @@ def lagged(
     ``seconds`` orders the rows, ``ties`` makes the order total.
     """
     order = [seconds, *ties]
-    rows = with_block(df, F.col(seconds), block_seconds).withColumn(
-        "_now", F.struct(*[c.alias(n) for n, c in values.items()]))
     at = [*keys, "_block"]
-    ends = rows.groupBy(*at).agg(F.max_by("_now", F.struct(*order)).alias("_end"))
-    before = ends.select(
-        *at, F.lag("_end").over(W.partitionBy(*keys).orderBy("_block")).alias("_carry"))
-    inside = W.partitionBy(*at).orderBy(*order)
+    rows = with_block(df, F.col(seconds), block_seconds).withColumn(
+        "_lag_now", F.struct(*[c.alias(n) for n, c in values.items()]))
+    inside, whole = W.partitionBy(*at).orderBy(*order), W.partitionBy(*at)
+    rows = rows.withColumns({
+        "_lag_before": F.lag("_lag_now").over(inside),
+        "_lag_first": F.lag(F.lit(True)).over(inside).isNull(),
+        "_lag_end": F.max_by("_lag_now", F.struct(*order)).over(whole)})
+    # Only the first rows of blocks look further back, so only they are ordered per key; all other
+    # rows stay spread by block. The input is read once.
+    across = W.partitionBy(*keys, F.when(F.col("_lag_first"), F.lit(None)).otherwise(F.col("_block"))).orderBy(
+        "_block")
     return (
-        rows.join(before, at)
-        .withColumn("_prev", F.coalesce(F.lag("_now").over(inside), F.col("_carry")))
-        .withColumns({n: F.col(f"_prev.{n}") for n in values})
-        .drop("_block", "_now", "_carry", "_prev")
+        rows.withColumn("_lag_prev", F.when(F.col("_lag_first"), F.lag("_lag_end").over(across)).otherwise(F.col("_lag_before")))
+        .withColumns({n: F.col(f"_lag_prev.{n}") for n in values})
+        .drop("_block", "_lag_now", "_lag_before", "_lag_first", "_lag_end", "_lag_prev")
     )
 
 

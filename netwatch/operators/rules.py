@@ -175,15 +175,12 @@ def detect_all(features: DataFrame) -> DataFrame:
 
 def _explanations() -> Column:
     """Per-feature deviation from normal, largest first; equal deviations keep model order."""
-    items = F.array(*[
-        F.struct(
-            F.abs((F.col(name) - normal) / abs(normal)).alias("contribution"),
-            (-F.lit(i)).alias("back"),
-            F.lit(name).alias("name"), F.lit(text).alias("description"),
-            F.col(name).cast("double").alias("value"), F.lit(normal).alias("baseline"),
-            F.when(F.col(name) > normal, F.lit("high")).otherwise(F.lit("low")).alias("direction"))
-        for i, (name, normal, _, text) in enumerate(K.MODEL_FEATURES)])
-    return F.sort_array(items, asc=False)
+    items = ", ".join(
+        f"named_struct('contribution', abs(({name} - {normal}D) / {normal}D), 'back', {-i}, "
+        f"'name', '{name}', 'description', '{text}', 'value', CAST({name} AS DOUBLE), "
+        f"'baseline', {normal}D, 'direction', IF({name} > {normal}D, 'high', 'low'))"
+        for i, (name, normal, _, text) in enumerate(K.MODEL_FEATURES))
+    return F.expr(f"sort_array(array({items}), false)")
 
 
 def explain_features(features: DataFrame, keys: list[str]) -> DataFrame:
@@ -222,7 +219,8 @@ def top_features(features: DataFrame, limit: int = 6) -> DataFrame:
 # --- fallback scores ----------------------------------------------------------------------------
 
 def _z_array() -> Column:
-    return F.array(*[F.abs((F.col(n) - mean) / std) for n, mean, std, _ in K.MODEL_FEATURES])
+    return F.expr("array(" + ", ".join(
+        f"abs(({n} - {mean}D) / {std}D)" for n, mean, std, _ in K.MODEL_FEATURES) + ")")
 
 
 def heuristic_if(features: DataFrame, name: str = "isolation_forest_score") -> DataFrame:

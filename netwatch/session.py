@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # No call-site lookup for every column that is built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

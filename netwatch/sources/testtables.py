@@ -13,8 +13,16 @@ EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 ORDERS_PER_SECOND = 300
 
 
+# Tables large enough that computing on them should use every core.
+_LARGE = ("lineitem", "orders", "events", "documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A generated table. A large one that comes as fewer files than there are cores (one row group is
+    one task) is spread once; a table of many files is read as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in _LARGE and len(df.inputFiles()) < cores else df
 
 
 def packets_from(lineitem: DataFrame) -> DataFrame:
