@@ -806,6 +806,7 @@ SQL["read_packets"] = f"""WITH {PACKETS} SELECT us AS ts, src_ip, dst_ip, {_BIG}
 SQL["decode_json_packets"] = f"""WITH {PACKETS} SELECT round(us / 1000000, 6) AS "timestamp", src_ip, dst_ip, {_BIG},
   sequence_number, ack_number, CAST(window_size AS BIGINT) AS window_size, 0::BIGINT AS checksum,
   NULL::VARCHAR AS _corrupt FROM packets"""
+SQL["packet_topic_source"] = SQL["decode_json_packets"]
 SQL["encode_json_packets"] = f"""WITH {PACKETS} SELECT '{{"schema_version":1,"schema_id":1,"data":{{"timestamp":' ||
   CASE WHEN us % 1000000 = 0 THEN '1.' || regexp_replace(CAST(us // 1000000 - 1000000000 AS VARCHAR), '0+$', '')
     ELSE '1.' || regexp_replace(CAST(us // 1000000 - 1000000000 AS VARCHAR)

@@ -782,6 +782,21 @@ def encode_binary_packets(spark, sf_dir):
     return cd.encode_binary_packets(tt.packets(spark, sf_dir)).select(F.hex("value").alias("value"))
 
 
+@query
+def packet_topic_source(spark, sf_dir):
+    """Packets through a file topic: encoded, keyed, streamed back and decoded."""
+    path = fresh(spark, "topic")
+    pk.file_topic_sink(cd.encode_json_packets(tt.packets(spark, sf_dir)), path, "raw-packets")
+    stream = cd.decode_json_packets(pk.file_topic_source(spark, f"{path}/raw-packets"))
+    sr.run_to_table(stream, f"{path}/decoded")
+    return rounded(spark.read.parquet(f"{path}/decoded"))
+
+
+@query
+def feat_cardinality_approx(spark, sf_dir):
+    return ft.approximate_cardinality(tt.packets(spark, sf_dir))
+
+
 @query
 def read_labelled_csv(spark, sf_dir):
     path = fresh(spark, "labelled") + ".csv.gz"
@@ -980,7 +995,7 @@ def typed_columns(spark, sf_dir):
 
 
 @query
-def prep_stages(spark, sf_dir):
+def prep_pipeline(spark, sf_dir):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
     table, shape = prepared(spark, sf_dir)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.columns import normalise_severity, round_binary
+from ..session import written
 from .ordered import with_overlap
 from .rules import expert_lookup, fixed
 from .sequential import emissions, fold_sessions
@@ -42,11 +43,15 @@ def alert_text(detections: DataFrame) -> DataFrame:
 
 def _emit(rows: DataFrame, keys: Sequence[str], ties: Sequence[str], gap: int,
           block_seconds: int) -> DataFrame:
-    """The first row of each emitted second of each key."""
+    """The first row of each emitted second of each key.
+
+    Those first rows are read three times, and what detects anomalies may be costly, so they are
+    written to the shared folder once (this runs a job).
+    """
     keys = list(keys)
     others = [c for c in rows.columns if c not in (*keys, "t")]
-    firsts = rows.groupBy(*keys, "t").agg(
-        F.min_by(F.struct(*others), F.struct(*ties)).alias("_row"))
+    firsts = written(rows.groupBy(*keys, "t").agg(
+        F.min_by(F.struct(*others), F.struct(*ties)).alias("_row")), "alert-candidates")
     emitted = emissions(firsts.select(*keys, "t"), keys, "t", gap, block_seconds)
     alerts = firsts.join(emitted, [*keys, "t"], "left_semi").select(*keys, "t", "_row.*")
     return alerts.withColumn("alert_id", F.substring(

@@ -34,9 +34,9 @@ def _wire(packets: DataFrame) -> DataFrame:
 
 
 def encode_json_packets(packets: DataFrame) -> DataFrame:
-    """Packets as UTF-8 JSON envelopes in column ``value``."""
+    """Packets as UTF-8 JSON envelopes in column ``value``, keyed by source address."""
     body = F.struct(*[F.col(f.name) for f in WIRE_PACKET.fields])
-    return _wire(packets).select(F.to_json(F.struct(
+    return _wire(packets).select(F.col("src_ip").cast("binary").alias("key"), F.to_json(F.struct(
         F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(SCHEMA_ID).alias("schema_id"),
         body.alias("data"))).cast("binary").alias("value"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import FIELD_DUMP_COLUMNS, MAX_RECORDS_PER_TRIGGER
+from ..functions.constants import FIELD_DUMP_COLUMNS, MAX_RECORDS_PER_TRIGGER, TOPICS
 from ..functions.schemas import PACKET, PACKET_DEFAULTS, WIRE_PACKET
 
 
@@ -124,3 +124,15 @@ def file_topic_source(spark: SparkSession, path: str, max_files: int = 12) -> Da
     """The same ``key, value`` rows from a folder of parquet files, for sites without a broker."""
     return (spark.readStream.schema("key binary, value binary").option("maxFilesPerTrigger", max_files)
             .parquet(path))
+
+
+def topic_sink(df: DataFrame, servers: str, topic: str, checkpoint: str):
+    """Writer of ``key, value`` rows to a topic (needs the Kafka connector); call ``start()``."""
+    return (df.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+            .option("checkpointLocation", checkpoint))
+
+
+def file_topic_sink(df: DataFrame, path: str, topic: str, partitions: int | None = None) -> None:
+    """``key, value`` rows as a folder of parquet files, one per topic partition; a key stays in one."""
+    count = partitions or TOPICS[topic][0]
+    df.repartition(count, "key").select("key", "value").write.mode("append").parquet(f"{path}/{topic}")
