@@ -38,10 +38,6 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-def clamp01(x: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-
-
 def normalise_severity(severity: Column) -> Column:
     return lookup(SEVERITY_ALIASES, F.lower(severity), F.lit("warning"))
 
@@ -51,11 +47,6 @@ def title_case(text: Column) -> Column:
     return F.initcap(F.lower(text))
 
 
-def epoch_seconds(ts: Column) -> Column:
-    """Whole event-time seconds of a timestamp."""
-    return F.unix_seconds(ts)
-
-
 def contains_any(text: Column, words: Iterable[str]) -> Column:
     hit = F.lit(False)
     for word in words:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.columns import (
-    clamp01, fill_features, literal_map, lookup, round_binary, sigmoid, sql_quote, title_case)
+    fill_features, literal_map, lookup, round_binary, sigmoid, sql_quote, title_case)
 from .ordered import lagged
 
 FINGERPRINT_INPUTS = [
@@ -355,7 +355,3 @@ def response_actions_for(df: DataFrame, severity: str = "severity") -> DataFrame
     return df.withColumn("actions", F.coalesce(
         F.try_element_at(literal_map(K.RESPONSE_ACTIONS), F.col(severity)),
         F.array(*[F.lit(a) for a in K.RESPONSE_ACTIONS_DEFAULT])))
-
-
-def clamp_score(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, clamp01(F.col(name)))
