@@ -88,3 +88,21 @@ def with_overlap(
         .withColumn("_own", F.col("_b") == F.col("_block"))
         .drop("_b")
     )
+
+
+def first_per_key(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each key, for any ``n``, without ranking a whole key in one task.
+
+    ``bucket`` is a coarse number that follows the order. Rows are counted per (key, bucket); buckets
+    past the wanted rows are dropped before the shuffle that ranks, and each bucket is ranked on its
+    own. (Spark's own early rank filter covers only small ``n``.)
+    """
+    at = [*keys, "_bucket"]
+    rows = df.withColumn("_bucket", bucket)
+    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("_m"))
+    wanted = counts.select(
+        *at, (F.lit(n) - F.coalesce(F.sum("_m").over(earlier), F.lit(0))).alias("_left")).where("_left > 0")
+    rank = F.row_number().over(W.partitionBy(*at).orderBy(*order))
+    return (rows.join(wanted, at).withColumn("_rank", rank).where("_rank <= _left")
+            .drop("_bucket", "_left", "_rank"))

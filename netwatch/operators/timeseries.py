@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from .ordered import BLOCK_SECONDS, lagged, running, with_overlap
+from .ordered import BLOCK_SECONDS, first_per_key, lagged, running, with_overlap
 
 # Observations kept by a baseline, fewest that allow a verdict, z limit.
 BASELINE_LENGTH = 86400
@@ -83,9 +83,10 @@ def _profile(samples: DataFrame, keys: list[str], ties: Sequence[str], length: i
     ever = samples.groupBy(*keys).agg(
         F.round(F.min("value"), 4).alias("min"), F.round(F.max("value"), 4).alias("max"),
         F.count(F.lit(1)).alias("count"))
-    newest = W.partitionBy(*keys).orderBy(F.desc("sec"), *[F.desc(t) for t in ties])
+    newest = [F.desc("sec"), *[F.desc(t) for t in ties]]
+    hours_back = -F.floor(F.col("sec") / 3600)
     recent = (
-        samples.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= length)
+        first_per_key(samples, keys, hours_back, newest, length)
         .groupBy(*keys).agg(F.round(F.avg("value"), 4).alias("mean"),
                             F.round(F.stddev_pop("value"), 4).alias("std")))
     return ever.join(recent, keys)

@@ -10,7 +10,7 @@ from netwatch.operators import alerts as al
 from netwatch.operators import reports as rp
 from netwatch.operators import response as rs
 from netwatch.operators import timeseries as ts
-from netwatch.operators.ordered import lagged, running
+from netwatch.operators.ordered import first_per_key, lagged, running
 from netwatch.operators.sequential import emissions
 
 
@@ -143,3 +143,12 @@ def test_escalation_levels(spark):
     df = spark.createDataFrame([(0, "active"), (701, "active"), (999, "active"), (5, "resolved")], "t long, status string")
     got = [r.level for r in al.escalation_state(df, 1000).orderBy("t").collect()]
     assert got == ["L3 - CISO", "L1 - SOC Analyst", "L1 - SOC Analyst"]
+
+
+@pytest.mark.parametrize("n", [1, 37, 200, 5000])
+def test_first_per_key(spark, n):
+    pdf = samples(400)
+    got = first_per_key(spark.createDataFrame(pdf), ["metric"], F.floor(F.col("sec") / 500),
+                        [F.col("sec"), F.col("sample_id")], n).toPandas()
+    want = pdf.sort_values(["sec", "sample_id"]).groupby("metric").head(n)
+    assert sorted(got.sample_id) == sorted(want.sample_id) and list(got.columns) == list(pdf.columns)
