@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from netwatch.llm.common import read_table
+from netwatch.llm.decontaminate import drop_contaminated
+from netwatch.llm.near_dedup import drop_near_duplicates
 from netwatch.llm.quality_rules import quality_filter
 from netwatch.session import written
 
@@ -14,7 +16,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_filter(docs, read_table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality rules", quality)]
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the smallest id."""
+    return drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+STAGES = [("quality rules", quality), ("near dedup", dedup), ("decontamination", decontaminate)]
 
 #: Cutoffs, sketches and byte-level codes are not expressible as SQL over the tables; see tests/llm.
 ORACLE_SQL = None

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netwatch.llm.common import read_table
+from netwatch.llm.decontaminate import contaminated_pairs
+from netwatch.llm.near_dedup import near_duplicates
 from netwatch.llm.quality_rules import MEASURES, SIGNALS, quality_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,3 +27,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the base measures, base_failed, kept, then the rule signals."""
     verdicts = quality_verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return verdicts.select("doc_id", *MEASURES, "base_failed", "kept", *SIGNALS)
+
+
+@query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item it holds: doc_id, item_id, n_covered, n_item_words, n_changed."""
+    return contaminated_pairs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
