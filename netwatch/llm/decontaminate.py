@@ -131,8 +131,7 @@ _ROW = "id long, at long, hash long, fillers array<long>, n_words long"
 
 def _bitmap(hashes: DataFrame) -> bytes:
     """Bitmap of the hashes modulo its fixed size; the driver gets at most its 8 MB."""
-    place = F.pmod(F.col("hash").cast("decimal(20,0)") + F.when(F.col("hash") < 0, F.lit(2**64)).otherwise(0),
-                   F.lit(BITMAP_BITS)).cast("long") + 1
+    place = F.col("hash").bitwiseAND(F.lit(BITMAP_BITS - 1)) + 1
     parts = hashes.select(place.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
     out = bytearray(BITMAP_BITS // 8)

@@ -151,10 +151,9 @@ def certify_cutoffs(measures: DataFrame, labels: DataFrame, stratum: str = "stra
           for i in range(1, depth + 1)])
     proposed = steps.where(F.col(f"bad_{depth}") > 0).select(
         "*", F.count("*").over(Window.partitionBy("stratum")).alias("rules_here"))
-    every = proposed.agg(F.count("*").alias("rules_in_all")).select("rules_in_all", F.lit(1).alias("one"))
     table = F.create_map(*[x for name, cuts in rules.items()
                            for x in (F.lit(name), F.array(*[F.lit(float(c)) for c in cuts]))])
-    tested = (proposed.withColumn("one", F.lit(1)).join(every, "one")
+    tested = (proposed.withColumn("rules_in_all", F.count("*").over(Window.partitionBy()))
               .select("stratum", "signal", "n_good", "rules_here", "rules_in_all",
                       F.posexplode(F.array(*[F.struct(F.col(f"good_{i}").alias("n_rejected"),
                                                       F.col(f"bad_{i}").alias("n_bad"))
