@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,6 +13,8 @@ from netwatch.llm.common import read_table
 from netwatch.llm.decontaminate import contaminated_pairs
 from netwatch.llm.near_dedup import near_duplicates
 from netwatch.llm.quality_rules import MEASURES, SIGNALS, quality_verdicts
+from netwatch.llm.token_files import token_file_checks, write_token_files
+from netwatch.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,3 +50,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return encoding_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                             public_tokenizers.PATTERN)
+
+
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, all read back from the files."""
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_token_files(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_file_checks(spark, folder)
