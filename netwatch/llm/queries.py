@@ -14,6 +14,7 @@ from netwatch.llm.common import read_table
 from netwatch.llm.decontaminate import contaminated_pairs
 from netwatch.llm.near_dedup import near_duplicates
 from netwatch.llm.quality_rules import MEASURES, SIGNALS, quality_verdicts
+from netwatch.llm.secret_scan import secret_report
 from netwatch.llm.token_files import token_file_checks, write_token_files
 from netwatch.session import shared_folder
 
@@ -34,6 +35,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", *MEASURES, "base_failed", "kept", *SIGNALS)
 
 
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
+    return secret_report(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
