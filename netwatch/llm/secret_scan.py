@@ -6,14 +6,13 @@ alphabet, and three tests ask whether they look drawn at random: chi-squared uni
 test about the middle of the alphabet, and the lag-1 serial correlation. The three deviates are combined into one
 score; random strings score low.
 
-Whether a low score means anything depends on length, since short ordinary words can look random. So scores are compared with
-the scores of the corpus' own ordinary words (letters of one case, with or without a capital) of the same length band or
-shorter, which gives each candidate a p-value, and the Benjamini-Hochberg rule sets one score cutoff for each length band that
-keeps the expected share of false findings below ``rate``. All texts count for this; the counts are a histogram of
-fixed size.
+Whether a low score means anything depends on length, since short stretches of words can look random. So scores are
+compared with those of ordinary text of the same length band: every document gives one passage of letters, of
+a length and from a place that its hash picks. That gives each candidate a p-value, and the Benjamini-Hochberg rule sets one score cutoff for each band that keeps the
+expected share of false findings below ``rate``. All texts count for this; the counts are a histogram of fixed size.
 
 Positions are code points, ends exclusive. Findings of the battery that overlap a pattern's finding are left out.
-Defined results: a null text is empty; an empty corpus, or one without ordinary long words, gives no battery findings.
+Defined results: a null text is empty; an empty corpus, or one without running text, gives no battery findings.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from netwatch.llm.common import let, running_totals
-from netwatch.session import written
 
 ASSIGN = (r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -91,8 +89,11 @@ def _battery(token: Column) -> Column:
     def tests(given: Column) -> Column:
         x, k = given["x"], given["k"].cast("double")
         n = F.size(x).cast("double")
-        squares = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda acc, v: acc + F.pow(
-            F.size(F.filter(x, lambda y: y == v)).cast("double"), F.lit(2.0)))
+        # The i-th equal value in sorted order adds 2 i - 1, which sums up to the square of each count.
+        squares = F.aggregate(
+            F.sort_array(x), F.struct(F.lit(-1.0).alias("value"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")),
+            lambda acc, v: let(F.when(acc["value"] == v, acc["run"] + 1).otherwise(F.lit(1.0)), lambda run: F.struct(
+                v.alias("value"), run.alias("run"), (acc["sum"] + 2 * run - 1).alias("sum"))))["sum"]
         freedom = k - 1
         chi = (F.pow((squares * k / n - n) / freedom, F.lit(1 / 3)) - (1 - 2 / (9 * freedom))) / F.sqrt(2 / (9 * freedom))
         half = (k - 1) / 2
@@ -113,8 +114,14 @@ def _battery(token: Column) -> Column:
     return F.when(F.length(F.regexp_replace(token, "=+$", "")) > 2, let(given, tests)).otherwise(F.lit(float(_TOP)))
 
 
-def _is_word(token: Column) -> Column:
-    return token.rlike("^[A-Z]?[a-z]+$") | token.rlike("^[A-Z]+$")
+def _passage(text: Column) -> Column:
+    """Letters of running text from a place in the text, and as many as a length band asks, both picked by the text's hash;
+    null where there are too few."""
+    picked = F.xxhash64(text)
+    length = F.get(F.array(*[F.lit(b) for b in BANDS]), F.pmod(picked, F.lit(len(BANDS))).cast("int"))
+    start = F.pmod(F.xxhash64(picked), F.length(text) + 1).cast("int") + 1
+    letters = F.regexp_replace(F.substr(text, start, 4 * length), "[^A-Za-z]", "")
+    return F.when(F.length(letters) >= length, F.lower(F.substr(letters, F.lit(1), length)))
 
 
 def _is_candidate(token: Column) -> Column:
@@ -134,26 +141,20 @@ def _bucket(score: Column) -> Column:
 def calibrate(docs: DataFrame, text: str = "text", rate: float = 0.05) -> DataFrame:
     """(band, cutoff): score buckets up to the cutoff are findings of that length band. At most one row per band."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    tokens = docs.select(F.explode(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))).alias("token"))
-    counted = (tokens.select(_is_word(F.col("token")).alias("word"), _is_candidate(F.col("token")).alias("candidate"),
-                             _band(F.length("token")).alias("band"), _bucket(_battery(F.col("token"))).alias("bucket"))
-               .where("word OR candidate").groupBy("band", "bucket").agg(
-                   F.sum(F.when(F.col("word"), 1).otherwise(0)).alias("words"),
-                   F.sum(F.when(F.col("candidate"), 1).otherwise(0)).alias("candidates")))
-    counted = written(counted, "scores")
-    # Words of shorter bands stand in for longer ones too: they look more random, so p-values only grow.
-    bands = counted.sparkSession.range(len(BANDS)).select(F.col("id").cast("int").alias("band"))
-    nulls = (counted.select(F.explode(F.sequence("band", F.lit(len(BANDS) - 1))).alias("band"), "bucket", "words")
-             .groupBy("band", "bucket").agg(F.sum("words").alias("words")))
-    both = nulls.join(counted.select("band", "bucket", "candidates"), ["band", "bucket"], "full").join(bands, "band")
+    tokens = F.transform(F.filter(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)), _is_candidate),
+                         lambda t: F.struct(t.alias("token"), F.lit(False).alias("plain")))
+    passage = F.array(F.struct(_passage(body).alias("token"), F.lit(True).alias("plain")))
+    counted = (docs.select(F.explode(F.concat(tokens, passage)).alias("x"))
+               .where(F.col("x.token").isNotNull())
+               .select("x.plain", _band(F.length("x.token")).alias("band"), _bucket(_battery(F.col("x.token"))).alias("bucket"))
+               .groupBy("band", "bucket").agg(
+                   F.sum(F.when(F.col("plain"), 1).otherwise(0)).alias("plain"),
+                   F.sum(F.when(F.col("plain"), 0).otherwise(1)).alias("candidates")))
     along = Window.partitionBy("band").orderBy("bucket")
     whole = Window.partitionBy("band")
-    ranked = both.select(
-        "band", "bucket", F.coalesce("candidates", F.lit(0)).alias("candidates"),
-        F.coalesce(F.sum("words").over(along), F.lit(0)).alias("nulls"),
-        F.coalesce(F.sum("words").over(whole), F.lit(0)).alias("all_nulls"),
-        F.coalesce(F.sum("candidates").over(along), F.lit(0)).alias("found"),
-        F.coalesce(F.sum("candidates").over(whole), F.lit(0)).alias("tested"))
+    ranked = counted.select(
+        "band", "bucket", F.sum("plain").over(along).alias("nulls"), F.sum("plain").over(whole).alias("all_nulls"),
+        F.sum("candidates").over(along).alias("found"), F.sum("candidates").over(whole).alias("tested"))
     # p-value (nulls + 1) / (all_nulls + 1) against rate * found / tested, without divisions.
     passes = (F.col("nulls") + 1) * F.col("tested") <= rate * F.col("found") * (F.col("all_nulls") + 1)
     return (ranked.where(passes & (F.col("all_nulls") > 0) & (F.col("found") > 0))
