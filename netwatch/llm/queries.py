@@ -12,10 +12,12 @@ from netwatch.llm.byte_bpe import encoding_digests
 from netwatch.llm.chat_format import conversation_digests, format_conversations
 from netwatch.llm.common import read_table
 from netwatch.llm.decontaminate import contaminated_pairs
+from netwatch.llm.html_extract import extract_pages
 from netwatch.llm.near_dedup import near_duplicates
 from netwatch.llm.quality_rules import MEASURES, SIGNALS, quality_verdicts
 from netwatch.llm.secret_scan import secret_report
 from netwatch.llm.token_files import token_file_checks, write_token_files
+from netwatch.llm.url_filter import url_verdicts
 from netwatch.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +43,23 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read_table(spark, sf_dir, "documents"))
 
 
+#: Fixed rules of the query: verdict, host, path prefix.
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, block_score."""
+    return url_verdicts(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
