@@ -5,14 +5,18 @@
 2. Each set gets 250 MinHash samples. Bands of five samples are bucket keys; the samples are also folded into a
    2,048-bit parity bitmap (an odd sketch). The population count of the XOR of two sketches estimates a high
    similarity far more precisely than the few bands do, so it rejects false candidates before texts move.
-3. In each bucket every member is a candidate of the bucket's smallest class, never of all others. The best
-   candidate of each class is confirmed on the full sets. Only buckets that still span several components
-   are then expanded into pairs between different components, so that a large group costs its size, not its square.
-4. Components of confirmed links come from alternating star contractions.
+3. In each bucket every member is a candidate of one lead, never of all others. The lead is the member that shares most
+   buckets with others, which is near the middle of its group. The best candidate of each class is confirmed on the full
+   sets, so that a large group costs its size, not its square.
+4. Buckets that still span several components hold texts that share a passage, or the outskirts of a group. Their members
+   meet once more in an exact prefix join: shingles are ordered from rare to frequent among these texts, and two sets
+   of similarity 0.75 must share one of their first few. What many texts share comes last in that order, so frequent
+   passages make no candidates; the place of a shared shingle bounds the overlap and drops most others.
+5. Components of confirmed links come from alternating star contractions.
 
 Links are confirmed exactly; a link is missed only if no band agrees, which at the limit similarity 0.75 has
 probability (1 - 0.75^5)^50 = 1.3e-6 and less above. A candidate is rejected by its sketch only when the estimate is under
-0.55, more than six standard deviations below the limit.
+0.58, five standard deviations below the limit.
 
 Defined results: a null or wordless text has an empty set, is linked with nothing and is its own component; a text of fewer
 than five words is one shingle of all its words. A null doc_id gives a null component and is kept. Rows that
@@ -29,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from netwatch.llm.components import connected_components
 from netwatch.session import written
@@ -36,7 +41,7 @@ from netwatch.session import written
 WIDTH = 5
 BANDS, ROWS = 50, 5
 SKETCH_BITS = 2048
-FLOOR = 0.55
+FLOOR = 0.58
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _PLACE = np.array([0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
@@ -151,6 +156,40 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["u", "v"])
 
 
+def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a text: id, component, set size, shingle."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [shingle_set(t.as_py()) for t in part.column(2).cast("binary")]
+            sizes = np.array([len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(part.column(c).to_numpy(), sizes)) for c in (0, 1)]
+                + [pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))],
+                ["id", "component", "n", "shingle"])
+
+
+def _prefix_pairs(open_texts: DataFrame) -> DataFrame:
+    """(a, b) of different components (id, component, text) that may reach the limit. No such pair is missed.
+
+    With overlap o >= 3/7 (n + m) for sizes n <= m, the smaller set must share one of its first n/7 + 1 shingles with
+    the first m/4 + 1 of the larger. A shingle of one text alone can't be shared; it only takes a place."""
+    rows = written(open_texts.mapInArrow(_explode_sets, "id long, component long, n long, shingle long"), "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy("id")
+    placed = (rows.join(often, "shingle")
+              .withColumn("place", F.row_number().over(own.orderBy("often", "shingle")) + F.col("n") - F.count("*").over(own))
+              .where("place <= n div 4 + 1"))
+    small = placed.where("place <= n div 7 + 1").select(
+        "shingle", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    large = placed.select(
+        "shingle", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    return small.join(large, "shingle").where(
+        "cx <> cy AND (nx < ny OR (nx = ny AND x < y)) AND 4 * nx >= 3 * ny "
+        "AND 7 * (least(nx - px, ny - py) + 1) >= 3 * (nx + ny)").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b, estimate) of the pairs that their sketches don't rule out."""
     one, two = (classes.select(F.col("id").alias(s), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
@@ -172,23 +211,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = written(described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("print").agg(
         F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     members = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    shared = written(members.join(buckets.select("band", "key", "lead"), ["band", "key"]), "buckets")
-    stars = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    best = (_likely(stars, classes).groupBy("b")
-            .agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")))
+    buckets = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(members.join(buckets, ["band", "key"]), "buckets")
+    middle = shared.groupBy("id").agg(F.sum(F.log2("n")).alias("middle"))
+    leads = shared.join(middle, "id").groupBy("band", "key").agg(
+        F.max_by("id", F.struct("middle", -F.col("id"))).alias("lead"))
+    stars = (shared.join(leads, ["band", "key"]).where("id <> lead")
+             .select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"), "id", "lead").distinct())
+    near = _likely(stars.select("a", "b").distinct(), classes)
+    best = (stars.join(near, ["a", "b"]).groupBy("id")
+            .agg(F.max_by("lead", F.struct("estimate", -F.col("lead"))).alias("lead"))
+            .select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct())
     first = written(_confirmed(best, texts), "links")
     component = connected_components(first)
     placed = shared.join(component, shared["id"] == component["node"], "left").select(
         "band", "key", "id", F.coalesce("component", "id").alias("component"))
     split = (placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low <> high").select("band", "key"))
-    open_rows = written(placed.join(split, ["band", "key"]), "open")
-    left = open_rows.select("band", "key", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = open_rows.select("band", "key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = left.join(right, ["band", "key"]).where("ca < cb").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = written(_confirmed(written(_likely(rest, classes), "likely"), texts), "links")
+    open_ids = written(placed.join(split, ["band", "key"]).select("id", "component").distinct(), "open")
+    open_texts = texts.join(open_ids, texts["doc_id"] == open_ids["id"]).select("id", "component", "text")
+    second = written(_confirmed(written(_likely(_prefix_pairs(open_texts), classes), "likely"), texts), "links")
     copies = (described.where("n_shingles > 0 AND doc_id IS NOT NULL")
               .join(classes.select("print", "id"), "print").where("doc_id <> id")
               .select(F.col("doc_id").alias("u"), F.col("id").alias("v")))
