@@ -20,18 +20,18 @@ from __future__ import annotations
 
 import base64
 import re
-import sys
 from collections.abc import Iterable, Iterator
 from functools import partial
 from hashlib import sha256
 from itertools import chain
-from types import ModuleType
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netwatch.llm.common import worker_store
+
 #: The characters that the pattern's \s matches.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -217,11 +217,6 @@ class StreamDecoder:
         return "�" if rest else ""
 
 
-def worker_store() -> dict:
-    """A dict that lives as long as the Python worker, so that tables built by one task serve the next."""
-    return sys.modules.setdefault("_worker_store", ModuleType("_worker_store")).__dict__
-
-
 def codec(content: bytes, pattern: str) -> tuple[Pieces, dict[int, bytes]]:
     key = sha256(content + pattern.encode()).hexdigest()
     store = worker_store()

@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from netwatch.llm.common import worker_store
+
 BLOCK = 4096
 SEGMENT = 1 << 16
 #: Selector -> (ids in a word, bits of each). Selector 0 is the escape: one id, whole, in the next word.
@@ -110,47 +113,52 @@ def unpack(words: np.ndarray, blocks: np.ndarray, n: int) -> np.ndarray:
 class WordIds(dict):
     """Piece between spaces -> its ids; a full table becomes the older half and is refilled from it."""
 
-    LIMIT = 250_000
+    LIMIT = 400_000
     CUT = re.compile("[ \n]+")
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.older = tokenizer, {}
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encodes the unknown pieces of a few texts with one call of the library."""
-        new = [p for p in set(chain.from_iterable(texts)) if p not in self]
-        if len(self) + len(new) > self.LIMIT:
+    def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of pieces that the table lacks; what the older half lacks too takes one call of the library."""
+        found = {p: self.older[p] for p in pieces if p in self.older}
+        new = [p for p in pieces if p not in found]
+        if new:
+            one = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+            ids = one.ids
+            ends = np.searchsorted(np.array(one.word_ids, np.int64), np.arange(len(new) + 1)).tolist()
+            found |= {p: tuple(ids[a:b]) for p, a, b in zip(new, ends, ends[1:])}
+        if len(self) + len(found) > self.LIMIT:
             self.older = dict(self)
             self.clear()
-            new = list(set(chain.from_iterable(texts)))
-        found = {p: self.older[p] for p in new if p in self.older}
-        self.update(found)
-        new = [p for p in new if p not in found]
-        if not new:
-            return
-        one = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(one.ids, np.uint32)
-        ends = np.searchsorted(np.array(one.word_ids, np.int64), np.arange(len(new) + 1))
-        for i, p in enumerate(new):
-            self[p] = tuple(ids[ends[i]:ends[i + 1]].tolist())
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        self.update((p, i) for p, i in found.items() if len(p) <= 100)
+        return found
+
+    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        """Ids of each text with the end id."""
         cut = [self.CUT.split(t) for t in texts]
-        self.learn(cut)
-        return [list(chain.from_iterable(map(self.__getitem__, c))) for c in cut]
+        known = [list(map(self.get, c)) for c in cut]
+        open_ = [i for i, k in enumerate(known) if None in k]
+        if open_:
+            found = self.learn({p for i in open_ for p, k in zip(cut[i], known[i]) if k is None})
+            for i in open_:
+                known[i] = [found[p] if k is None else k for p, k in zip(cut[i], known[i])]
+        return [np.fromiter(chain(chain.from_iterable(k), (end_id,)), np.uint64) for k in known]
 
 
 def _write(batches: Iterator[pa.RecordBatch], vocabulary, end_id: int) -> Iterator[pa.RecordBatch]:
     from tokenizers import Tokenizer
 
-    known = WordIds(Tokenizer.from_buffer(vocabulary.value))
+    store, key = worker_store(), ("word ids", sha256(vocabulary.value).hexdigest())
+    if key not in store:
+        store[key] = WordIds(Tokenizer.from_buffer(vocabulary.value))
+    known = store[key]
     part, start = TaskContext.get().partitionId(), 0
     docs, sizes, ids, held = [], [], [], 0
 
     def segment() -> pa.RecordBatch:
-        flat = np.fromiter(chain.from_iterable(ids), np.uint64, held)
-        words, blocks = pack(flat)
+        words, blocks = pack(np.concatenate(ids))
         return pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.int64()),
              pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
@@ -161,8 +169,7 @@ def _write(batches: Iterator[pa.RecordBatch], vocabulary, end_id: int) -> Iterat
         for at in range(0, batch.num_rows, 64):
             some = batch.slice(at, 64)
             for doc, found in zip(some.column(0).to_pylist(),
-                                  known.encode([t or "" for t in some.column(1).to_pylist()])):
-                found.append(end_id)
+                                  known.encode([t or "" for t in some.column(1).to_pylist()], end_id)):
                 docs.append(doc)
                 sizes.append(len(found))
                 ids.append(found)
