@@ -43,18 +43,19 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    index = np.arange(n)
-    ends = np.minimum((index // BLOCK + 1) * BLOCK, n)
+    index = np.arange(n, dtype=np.int32)
+    ends = np.minimum((index // BLOCK + 1) * BLOCK, n).astype(np.int32)
     left = ends - index
+    width = np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), ids, side="right").astype(np.uint8)
     selector = np.zeros(n, np.int8)
-    open_ = np.ones(n, bool)
-    for mode in range(1, len(MODES)):
+    for mode in range(len(MODES) - 1, 0, -1):  # from few wide ids to many narrow ones, so the fullest word stays
         count, bits = MODES[mode]
-        wide = np.where(ids >> np.uint64(bits) != 0, index, n)
+        wide = np.where(width > bits, index, np.int32(n))
         run = np.minimum.accumulate(wide[::-1])[::-1] - index
-        fits = open_ & (run >= np.minimum(count, left))
+        fits = run >= np.minimum(np.int32(count), left)
+        if not fits.any():
+            break
         selector[fits] = mode
-        open_ &= ~fits
     take = np.minimum(np.array([c for c, _ in MODES])[selector], left).tolist()
     starts, at = [], 0
     while at < n:  # a jump per word; everything else is vectorised
@@ -121,14 +122,29 @@ class WordIds(dict):
         self.tokenizer, self.older = tokenizer, {}
 
     def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of pieces that the table lacks; what the older half lacks too takes one call of the library."""
-        found = {p: self.older[p] for p in pieces if p in self.older}
-        new = [p for p in pieces if p not in found]
+        """Ids of pieces that the table lacks. Those that the older half lacks too are reduced to their roots, and the new roots
+        take one call of the library, joined by spaces; offsets tell which ids are whose."""
+        found, roots = {}, {}
+        for p in pieces:
+            ids = self.older.get(p)
+            if ids is not None:
+                found[p] = ids
+                continue
+            # The tokenizer lower-cases, and cuts between letters and a last comma or full stop.
+            root = p.lower() if p.isascii() else p
+            if root[-1:] in (",", ".") and root[:-1].isalpha():
+                root = root[:-1]
+            roots[p] = root
+        new = [r for r in {*roots.values(), ",", "."} if r not in self]
         if new:
-            one = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids = one.ids
-            ends = np.searchsorted(np.array(one.word_ids, np.int64), np.arange(len(new) + 1)).tolist()
-            found |= {p: tuple(ids[a:b]) for p, a, b in zip(new, ends, ends[1:])}
+            starts = np.cumsum([0] + [len(r) + 1 for r in new])
+            one = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+            places = np.fromiter(chain.from_iterable(one.offsets), np.int64, 2 * len(one)).reshape(-1, 2)[:, 0]
+            ids, ends = one.ids, np.searchsorted(places, starts).tolist()
+            self.update((r, tuple(ids[a:b])) for r, a, b in zip(new, ends, ends[1:]))
+        for p, root in roots.items():
+            cut = p[-1:] if p[-1:] in (",", ".") and p[:-1].isalpha() else ""
+            found[p] = self[root] + self[cut] if cut else self[root]
         if len(self) + len(found) > self.LIMIT:
             self.older = dict(self)
             self.clear()
