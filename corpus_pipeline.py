@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from netwatch.llm.byte_bpe import encoding_digests
 from netwatch.llm.common import read_table
 from netwatch.llm.decontaminate import drop_contaminated
 from netwatch.llm.near_dedup import drop_near_duplicates
 from netwatch.llm.quality_rules import quality_filter
+from netwatch.llm.secret_scan import redact_documents
 from netwatch.session import written
 
 
@@ -26,7 +30,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality rules", quality), ("near dedup", dedup), ("decontamination", decontaminate)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are redacted; n_chars follows the text."""
+    return redact_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become byte-level BPE ids, checked by decoding: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return encoding_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality rules", quality), ("near dedup", dedup), ("decontamination", decontaminate),
+          ("secret scan", secrets), ("byte bpe", tokens)]
 
 #: Cutoffs, sketches and byte-level codes are not expressible as SQL over the tables; see tests/llm.
 ORACLE_SQL = None
