@@ -72,8 +72,8 @@ def text_measures(docs: DataFrame, text: str = "text", keep: dict[str, Column] |
         F.when(F.size(w) > 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(
             F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
         .alias("_hashes"))
-    counted = hashed.select(
-        *names,
+    # A generated row, so that a later filter on the measures can't be pushed into (and repeat) their expressions.
+    counted = hashed.select(*names, F.inline(F.array(F.struct(
         F.size("_words").cast("bigint").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
@@ -81,7 +81,7 @@ def text_measures(docs: DataFrame, text: str = "text", keep: dict[str, Column] |
         _repeat_words(w, F.col("_hashes")).alias("n_repeat_words"),
         F.size("_lines").alias("_n_lines"),
         F.size(F.array_distinct("_words")).alias("_n_distinct"),
-        F.regexp_count("_text", F.lit("[A-Z]")).alias("_n_upper"))
+        F.regexp_count("_text", F.lit("[A-Z]")).alias("_n_upper")))))
     n = F.col("n_words")
     return counted.select(
         *names, *MEASURES,
