@@ -51,7 +51,7 @@ class Transducer:
     """Deterministic byte transducer over the ranks. ``states`` bounds the transitions kept; beyond it the table is
     emptied and built anew."""
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 350_000):
+    def __init__(self, ranks: dict[bytes, int], states: int = 450_000):
         self.ranks, self.limit = ranks, states
         self.bytes = {r: t for t, r in ranks.items()}
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
@@ -81,13 +81,15 @@ class Transducer:
         return self.whole[token]
 
     def adjacent(self, left: int, right: int) -> bool:
-        key = (left, right)
-        if key not in self.pairs:
-            if len(self.pairs) > 4 * self.limit:
-                self.pairs.clear()
+        """Whether two tokens stand side by side in the BPE result of their bytes; left is negative at the start of a text."""
+        if len(self.pairs) > 4 * self.limit:
+            self.pairs.clear()
+        fits = self.reachable(right)
+        if fits and left >= 0:
             a, b = self.bytes[left], self.bytes[right]
-            self.pairs[key] = self.merged(a + b) == [a, b]
-        return self.pairs[key]
+            fits = self.merged(a + b) == [a, b]
+        self.pairs[left, right] = fits
+        return fits
 
     def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Works out one transition: the next state and the tokens it emits."""
@@ -98,19 +100,22 @@ class Transducer:
             rest = text[start:]
             if found is None:
                 token = self.ranks.get(rest)
-                if token is not None and self.reachable(token):
+                if token is not None:
                     before = tokens[-1] if tokens else last
-                    if before < 0 or self.adjacent(before, token):
+                    fits = self.pairs.get((before, token))
+                    if self.adjacent(before, token) if fits is None else fits:
                         found = (*tokens, token)
             if rest in self.prefixes:
                 live.append((start, tokens))
-        live.append((len(text), found))
-        # Tokens that all usable starts agree on are final.
-        shared = 0
-        for column in zip(*(tokens for _, tokens in live)):
-            if len(set(column)) > 1:
+        # Tokens that all usable starts agree on are final; a start that stands for itself agrees on none.
+        shared = len(found)
+        for _, tokens in live:
+            shared = min(shared, len(tokens))
+            while tokens[:shared] != found[:shared]:
+                shared -= 1
+            if not shared:
                 break
-            shared += 1
+        live.append((len(text), found))
         out = found[:shared]
         if shared:
             last, cut = out[-1], sum(len(self.bytes[t]) for t in out)
@@ -130,30 +135,47 @@ class Transducer:
             return (self.ranks[piece],)
         if len(self.nodes) > self.limit:
             self.reset()
-        state, out, known = 0, [], self.moves.get
+        state, out, moves = 0, (), self.moves
         for byte in piece:
-            state, emitted = known(state << 8 | byte) or self.move(state, byte)
+            try:
+                state, emitted = moves[state << 8 | byte]
+            except KeyError:
+                state, emitted = self.move(state, byte)
             if emitted:
                 out += emitted
-        return (*out, *self.nodes[state][2][-1][1])
+        return out + self.nodes[state][2][-1][1]
 
 
 class Pieces(dict):
     """White-space-led piece of text -> ids. When full, the table becomes the older half and is refilled from it, so
-    memory is bounded and frequent pieces stay."""
+    memory is bounded and frequent pieces stay. Pre-tokens that pieces share, such as a word with and without a comma, have a table
+    of their own."""
 
-    LIMIT = 250_000
+    LIMIT = 300_000
 
     def __init__(self, transducer: Transducer, pattern: str):
         super().__init__()
-        self.transducer, self.pattern, self.older = transducer, regex.compile(pattern), {}
+        self.transducer, self.pattern = transducer, regex.compile(pattern)
+        self.older, self.tokens, self.older_tokens = {}, {}, {}
+
+    def _token(self, token: str) -> tuple[int, ...]:
+        ids = self.older_tokens.get(token)
+        if ids is None:
+            ids = self.transducer.encode(token.encode())
+        if len(self.tokens) >= self.LIMIT:
+            self.older_tokens, self.tokens = self.tokens, {}
+        self.tokens[token] = ids
+        return ids
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.older.get(piece)
         if ids is None:
-            ids = tuple(chain.from_iterable(self.transducer.encode(t.encode()) for t in self.pattern.findall(piece)))
-        if len(piece) > 200:
-            return ids
+            if len(piece) > 200:
+                return tuple(chain.from_iterable(self.transducer.encode(t.encode()) for t in self.pattern.findall(piece)))
+            parts = self.pattern.findall(piece)
+            known = self.tokens.get
+            ids = (known(parts[0]) or self._token(parts[0])) if len(parts) == 1 else tuple(
+                chain.from_iterable(known(t) or self._token(t) for t in parts))
         if len(self) >= self.LIMIT:
             self.older = dict(self)
             self.clear()
@@ -244,6 +266,7 @@ def _digest(batches: Iterator[pa.RecordBatch], content, pattern: str) -> Iterato
     """Digests of the ids and of what the streaming decoder makes of them, slice by slice."""
     pieces, table = codec(content.value, pattern)
     decoder = worker_store().setdefault(("decoder", id(table)), StreamDecoder(table))
+    names = worker_store().setdefault(("names", id(table)), {i: str(i) for i in table})
     for batch in batches:
         counts, of_ids, of_bytes = [], [], []
         for text in batch.column(1):
@@ -254,7 +277,7 @@ def _digest(batches: Iterator[pa.RecordBatch], content, pattern: str) -> Iterato
                 back.update(decoder.feed(ids[at:at + 4096]).encode())
             back.update(decoder.close().encode())
             counts.append(len(ids))
-            of_ids.append(sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            of_ids.append(sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
             of_bytes.append(back.hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()),
                                           pa.array(of_bytes, pa.string())],
