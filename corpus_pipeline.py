@@ -37,7 +37,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become byte-level BPE ids, checked by decoding: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return encoding_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encoding_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                            tables=160_000)  # beside stages that fill the heap, smaller tables
 
 
 STAGES = [("quality rules", quality), ("near dedup", dedup), ("decontamination", decontaminate),

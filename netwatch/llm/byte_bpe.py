@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from netwatch.llm.common import worker_store
 
+#: States a worker keeps by default; a worker needs about 1.2 KB a state with the other tables.
+TABLES = 450_000
 #: The characters that the pattern's \s matches.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -151,10 +153,9 @@ class Pieces(dict):
     memory is bounded and frequent pieces stay. Pre-tokens that pieces share, such as a word with and without a comma, have a table
     of their own."""
 
-    LIMIT = 300_000
-
-    def __init__(self, transducer: Transducer, pattern: str):
+    def __init__(self, transducer: Transducer, pattern: str, limit: int):
         super().__init__()
+        self.limit = limit
         self.transducer, self.pattern = transducer, regex.compile(pattern)
         self.older, self.tokens, self.older_tokens = {}, {}, {}
 
@@ -162,7 +163,7 @@ class Pieces(dict):
         ids = self.older_tokens.get(token)
         if ids is None:
             ids = self.transducer.encode(token.encode())
-        if len(self.tokens) >= self.LIMIT:
+        if len(self.tokens) >= self.limit:
             self.older_tokens, self.tokens = self.tokens, {}
         self.tokens[token] = ids
         return ids
@@ -176,7 +177,7 @@ class Pieces(dict):
             known = self.tokens.get
             ids = (known(parts[0]) or self._token(parts[0])) if len(parts) == 1 else tuple(
                 chain.from_iterable(known(t) or self._token(t) for t in parts))
-        if len(self) >= self.LIMIT:
+        if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
         self[piece] = ids
@@ -239,12 +240,13 @@ class StreamDecoder:
         return "�" if rest else ""
 
 
-def codec(content: bytes, pattern: str) -> tuple[Pieces, dict[int, bytes]]:
-    key = sha256(content + pattern.encode()).hexdigest()
+def codec(content: bytes, pattern: str, tables: int = TABLES) -> tuple[Pieces, dict[int, bytes]]:
+    """Tables of a worker: ``tables`` bounds the states kept, and two thirds of it the pieces and pre-tokens."""
+    key = sha256(content + f"{pattern} {tables}".encode()).hexdigest()
     store = worker_store()
     if key not in store:
-        transducer = Transducer(parse_ranks(content))
-        store[key] = (Pieces(transducer, pattern), transducer.bytes)
+        transducer = Transducer(parse_ranks(content), tables)
+        store[key] = (Pieces(transducer, pattern, tables * 2 // 3), transducer.bytes)
     return store[key]
 
 
@@ -252,9 +254,9 @@ def encode(text: str, pieces: Pieces) -> list[int]:
     return list(chain.from_iterable(map(pieces.__getitem__, _PIECE.findall(text))))
 
 
-def _encode(batches: Iterator[pa.RecordBatch], content, pattern: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], content, pattern: str, tables: int) -> Iterator[pa.RecordBatch]:
     """(id, ids): the ids of each text."""
-    pieces, _ = codec(content.value, pattern)
+    pieces, _ = codec(content.value, pattern, tables)
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
@@ -262,9 +264,9 @@ def _encode(batches: Iterator[pa.RecordBatch], content, pattern: str) -> Iterato
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
-def _digest(batches: Iterator[pa.RecordBatch], content, pattern: str) -> Iterator[pa.RecordBatch]:
+def _digest(batches: Iterator[pa.RecordBatch], content, pattern: str, tables: int) -> Iterator[pa.RecordBatch]:
     """Digests of the ids and of what the streaming decoder makes of them, slice by slice."""
-    pieces, table = codec(content.value, pattern)
+    pieces, table = codec(content.value, pattern, tables)
     decoder = worker_store().setdefault(("decoder", id(table)), StreamDecoder(table))
     names = worker_store().setdefault(("names", id(table)), {i: str(i) for i in table})
     for batch in batches:
@@ -284,17 +286,18 @@ def _digest(batches: Iterator[pa.RecordBatch], content, pattern: str) -> Iterato
                                          ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text",
+                     tables: int = TABLES) -> DataFrame:
     """(doc_id, ids) by the rank file at ``path``; texts stay where they are, nothing is shuffled."""
     content = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(
-        partial(_encode, content=content, pattern=pattern), "doc_id long, ids array<int>")
+        partial(_encode, content=content, pattern=pattern, tables=tables), "doc_id long, ids array<int>")
 
 
 def encoding_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
-                     text: str = "text") -> DataFrame:
+                     text: str = "text", tables: int = TABLES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, then decoded as a stream."""
     content = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(
-        partial(_digest, content=content, pattern=pattern),
+        partial(_digest, content=content, pattern=pattern, tables=tables),
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

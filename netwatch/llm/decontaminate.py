@@ -108,7 +108,7 @@ def _scan(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...], bitmap=Non
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast("binary")):
             if key is None or not text.is_valid:
                 continue
-            words = text.as_buffer().to_pybytes().split()
+            words = text.as_py().split()
             for width in widths:
                 if bits is None and width != min(WIDTH, len(words)):
                     continue

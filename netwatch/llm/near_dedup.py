@@ -104,7 +104,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            sets = [shingle_set(None if t is None else t.as_buffer().to_pybytes()) for t in part.column(1).cast("binary")]
+            sets = [shingle_set(t.as_py()) for t in part.column(1).cast("binary")]
             sizes = np.array([len(s) for s in sets], np.int64)
             some = np.flatnonzero(sizes)
             keys = sketches = prints = None
