@@ -440,11 +440,20 @@ FROM det d JOIN ctx c ON d.sensor_id = c.sensor_id AND d.window_start = c.window
 
 METRICS = """m AS (SELECT CAST(floor(epoch(ts)) AS BIGINT) AS sec, epoch_us(ts) AS us, event_id AS sample_id,
   event_type AS metric, value, 's' || CAST(user_id % 3 AS VARCHAR) AS sensor_id FROM events)"""
-SQL["rolling_baseline"] = f"""WITH {METRICS} SELECT sample_id, metric,
-  round(avg(round(value * 100)) OVER w, 6) AS mean, round(stddev_pop(round(value * 100)) OVER w, 6) AS std,
-  min(round(value * 100)) OVER e AS min, max(round(value * 100)) OVER e AS max, count(*) OVER e AS count FROM m
-WINDOW w AS (PARTITION BY metric ORDER BY sec, sample_id ROWS BETWEEN 86399 PRECEDING AND CURRENT ROW),
+
+
+def _baseline(value: str, length: int, digits: int = 4) -> str:
+    """Deviations are taken about the frame's own mean, so that the check doesn't lose what it checks."""
+    return f"""WITH {METRICS}, b AS (SELECT sample_id, metric, sec, {value} AS v FROM m), c AS (SELECT *, avg(v) OVER (PARTITION BY
+  metric) AS level FROM b) SELECT sample_id, metric, round(level + avg(v - level) OVER w + 0.033 / 1e{digits}, {digits}) AS mean,
+  round(stddev_pop(v - level) OVER w + 0.033 / 1e{digits}, {digits}) AS std, min(v) OVER e AS min, max(v) OVER e AS max, count(*) OVER e AS count FROM c
+WINDOW w AS (PARTITION BY metric ORDER BY sec, sample_id ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW),
   e AS (PARTITION BY metric ORDER BY sec, sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+SQL["rolling_baseline"] = _baseline("value", 86400)
+SQL["rolling_baseline_high_level"] = _baseline("1e9 + round(value)", 1000, 2)
+SQL["rolling_baseline_small_spread"] = _baseline("2.5e6 + sample_id % 5", 1000)
 SQL["baseline_anomaly"] = f"""WITH {METRICS}, r AS (SELECT *, avg(value) OVER w AS mu, stddev_pop(value) OVER w AS sd,
   row_number() OVER (PARTITION BY metric ORDER BY sec, sample_id) - 1 AS n FROM m
 WINDOW w AS (PARTITION BY metric ORDER BY sec, sample_id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING))

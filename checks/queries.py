@@ -256,11 +256,28 @@ def detections_with_context(spark, sf_dir):
 
 # --- metric samples ------------------------------------------------------------------------------
 
+def baseline_of(samples, length=ts.BASELINE_LENGTH, digits=4):
+    """A shift far below the last digit keeps halves from being rounded either way."""
+    shift = 0.033 / 10**digits
+    found = ts.rolling_baseline(samples, length=length, digits=9, block_seconds=86400)
+    return found.select("sample_id", "metric", F.round(F.col("mean") + shift, digits).alias("mean"),
+                        F.round(F.col("std") + shift, digits).alias("std"), "min", "max", "count")
+
+
 @query
 def rolling_baseline(spark, sf_dir):
-    cents = tt.metrics(spark, sf_dir).withColumn("value", F.round(F.col("value") * 100))
-    return ts.rolling_baseline(cents, digits=6, block_seconds=86400).select(
-        "sample_id", "metric", "mean", "std", "min", "max", "count")
+    return baseline_of(tt.metrics(spark, sf_dir))
+
+
+@query
+def rolling_baseline_high_level(spark, sf_dir):
+    """The same on a level where squares lose what sets the values apart."""
+    return baseline_of(tt.metrics(spark, sf_dir).withColumn("value", F.lit(1e9) + F.round("value")), 1000, digits=2)
+
+
+@query
+def rolling_baseline_small_spread(spark, sf_dir):
+    return baseline_of(tt.metrics(spark, sf_dir).withColumn("value", F.lit(2.5e6) + F.col("sample_id") % 5), 1000)
 
 
 @query

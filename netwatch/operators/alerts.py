@@ -71,11 +71,14 @@ def create_alerts(
     keyed = detections.where("is_anomaly").withColumn(
         "dedup_key", F.md5(F.concat(kind, F.lit(":"), F.coalesce("severity", F.lit("")))))
     alerts = _emit(keyed, [*keys, "dedup_key"], list(ties) or ["t"], gap, block_seconds)
+    # A detection's own interval and sources stay; the event second and the default source stand in where it has none.
+    given = lambda name, default: (
+        F.coalesce(F.col(name).cast("long"), default) if name in alerts.columns else default)
     return expert_lookup(alert_text(alerts)).withColumns({
         "severity": normalise_severity(F.col("severity")),
         "status": F.lit("active"),
         "recommended_response": F.col("mitigation"),
-        "first_seen": F.col("t"), "last_seen": F.col("t"),
+        "first_seen": given("first_seen", F.col("t")), "last_seen": given("last_seen", F.col("t")),
     }).drop("mitigation")
 
 
@@ -83,8 +86,11 @@ def create_security_alerts(
     events: DataFrame, gap: int = DEDUP_SECONDS, keys: Sequence[str] = ("sensor_id",),
     ties: Sequence[str] = (), block_seconds: int = 86400,
 ) -> DataFrame:
-    """Alerts of inventory findings, deduplicated by (dedup key, type, severity, title)."""
+    """Alerts of inventory findings, deduplicated by (dedup key, type, severity, title). Events marked as no anomaly
+    make none; a missing mark counts as anomaly."""
     parts = [F.coalesce(c, F.lit("")) for c in ("dedup_key", "attack_type", "severity", "title")]
+    if "is_anomaly" in events.columns:
+        events = events.where(F.coalesce("is_anomaly", F.lit(True)))
     keyed = events.withColumn(
         "security_key", F.md5(F.concat(F.lit("security:"), F.concat_ws(":", *parts))))
     alerts = _emit(keyed, [*keys, "security_key"], list(ties) or ["t"], gap, block_seconds)

@@ -38,9 +38,19 @@ def _hide(node):
     return [_hide(x) for x in node] if isinstance(node, list) else node
 
 
+def _masked_json(text: str | None) -> str | None:
+    """The text with sensitive keys masked; a text that is no JSON may hold anything, so it is masked whole."""
+    if text is None:
+        return None
+    try:
+        return json.dumps(_hide(json.loads(text)), ensure_ascii=False)
+    except ValueError:
+        return MASK
+
+
 @F.pandas_udf(T.StringType())
 def _mask_json(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else json.dumps(_hide(json.loads(t)), ensure_ascii=False))
+    return texts.map(_masked_json)
 
 
 def redact(df: DataFrame, json_columns: Sequence[str] = ()) -> DataFrame:

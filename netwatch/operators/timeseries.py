@@ -27,28 +27,43 @@ def _trailing(
     """Mean and population deviation of the last ``length`` observations per row.
 
     A sliding frame of 86,400 rows would cost that many steps per row and one task per metric.
-    Prefix sums make it one subtraction: the prefix ``length`` rows earlier is found by an equi-join
-    on the row number, which spreads evenly over tasks.
+    Prefix sums make it one subtraction: the first row of the frame is found by an equi-join
+    on the row number, which spreads evenly over tasks. The sums are exact decimals of values that are
+    centred and scaled per key, so neither the level of the values nor the length of the history costs
+    precision. A frame is flat if no value in it differs from the one before, which is counted, not estimated.
     """
     keys = list(keys)
     v = F.col("value").cast("double")
+    scale = samples.groupBy(*keys).agg(F.avg(v).alias("_centre"), F.stddev_pop(v).alias("_unit"))
+    scale = scale.withColumn("_unit", F.when(F.col("_unit") > 0, F.col("_unit")).otherwise(F.lit(1.0)))
+    exact = lambda c: c.cast("decimal(38,20)")
+    z = F.col("_z")
+    ready = lagged(samples, keys, "sec", ties, {"_last": v}, block_seconds).join(scale, keys).withColumns({
+        "_z": (v - F.col("_centre")) / F.col("_unit"),
+        "_turn": F.when(v != F.col("_last"), 1).otherwise(0).cast("long")})
     rows = running(
-        samples, keys, "sec", ties,
-        sums={"_rn": F.lit(1).cast("long"), "_s": v, "_q": v * v},
+        ready, keys, "sec", ties,
+        sums={"_rn": F.lit(1).cast("long"), "_s": exact(z), "_q": exact(z * z), "_turns": F.col("_turn")},
         maxes={"_hi": v, "_lo": -v}, block_seconds=block_seconds)
+    head = rows.select(
+        *keys, F.col("_rn").alias("_head"), (F.col("_s") - exact(z)).alias("_s0"),
+        (F.col("_q") - exact(z * z)).alias("_q0"), F.col("_turns").alias("_turns0"))
     if prior:
-        rows = rows.withColumns({"_rn": F.col("_rn") - 1, "_s": F.col("_s") - v,
-                                 "_q": F.col("_q") - v * v})
-    older = rows.select(
-        *keys, (F.col("_rn") + length).alias("_rn"), F.col("_s").alias("_s0"), F.col("_q").alias("_q0"))
+        rows = rows.withColumns({"_rn": F.col("_rn") - 1, "_s": F.col("_s") - exact(z), "_q": F.col("_q") - exact(z * z),
+                                 "_turns": F.col("_turns") - F.col("_turn")})
     n = F.least(F.col("_rn"), F.lit(length))
-    s = F.col("_s") - F.coalesce("_s0", F.lit(0.0))
-    q = F.col("_q") - F.coalesce("_q0", F.lit(0.0))
-    mean, square = s / F.nullif(n, F.lit(0)), q / F.nullif(n, F.lit(0))
-    spread = square - mean * mean
-    # What is left after cancellation of equal values is noise, not spread.
-    std = F.when(spread > square * 1e-12, F.sqrt(spread)).otherwise(F.lit(0.0))
-    return rows.join(older, [*keys, "_rn"], "left").withColumns({"_mean": mean, "_std": std})
+    zero = F.lit(0).cast("decimal(38,20)")
+    total = (F.col("_s") - F.coalesce("_s0", zero)).cast("double")
+    square = (F.col("_q") - F.coalesce("_q0", zero)).cast("double")
+    mean = total / F.nullif(n, F.lit(0))
+    spread = F.greatest(square / F.nullif(n, F.lit(0)) - mean * mean, F.lit(0.0))
+    flat = F.col("_turns") - F.coalesce("_turns0", F.lit(0)) == 0
+    return (rows.withColumn("_head", F.col("_rn") - length + 1).join(head, [*keys, "_head"], "left")
+            .withColumns({"_mean": F.when(flat, F.when(F.lit(prior), F.col("_last")).otherwise(v))
+                          .otherwise(F.col("_centre") + F.col("_unit") * mean),
+                          "_std": F.when(flat, F.lit(0.0)).otherwise(F.col("_unit") * F.sqrt(spread))})
+            .withColumns({"_mean": F.when(F.col("_rn") > 0, F.col("_mean")),
+                          "_std": F.when(F.col("_rn") > 0, F.col("_std"))}))
 
 
 def rolling_baseline(
@@ -72,7 +87,7 @@ def baseline_anomaly(
     flat = F.col("_std") == 0
     z = F.when(flat | F.col("_std").isNull(), F.lit(0.0)).otherwise(
         (F.col("value") - F.col("_mean")) / F.col("_std"))
-    off_mean = F.abs(F.col("value") - F.col("_mean")) > F.abs(F.col("_mean")) * 1e-12
+    off_mean = F.col("value") != F.col("_mean")
     return rows.select(
         *samples.columns, F.col("_rn").alias("prior_count"), z.alias("z_score"),
         F.when(F.col("_rn") < MIN_OBSERVATIONS, F.lit(False)).when(flat, off_mean)

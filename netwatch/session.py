@@ -30,9 +30,12 @@ def build_session(cpus: int | str = "*", app: str = "netwatch", shuffle_partitio
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named (tests)."""
+    """The cluster's shared checkpoint folder. A temporary one stands in only on a local master (tests), where all
+    tasks share one disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
