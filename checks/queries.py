@@ -978,29 +978,31 @@ def balanced_weights(spark, sf_dir):
     return rounded(tb.balanced_weights(rows))
 
 
-def labelled_sample(spark, sf_dir, n=100_000):
+def labelled_rows(spark, sf_dir):
     rows = tt.labelled(spark, sf_dir)
     label, features = tb.choose_columns([c for c in rows.columns if c != "row_id"])
-    return tb.sample_per_class(rows, label, features, "row_id", n), features
+    return tb.usable_rows(rows, label, features, "row_id"), features
 
 
 @query
 def sample_per_class(spark, sf_dir):
-    return labelled_sample(spark, sf_dir, 3000)[0].select("row_id", "label")
+    rows = tt.labelled(spark, sf_dir)
+    label, features = tb.choose_columns([c for c in rows.columns if c != "row_id"])
+    return tb.sample_per_class(rows, label, features, "row_id", 3000).select("row_id", "label")
 
 
 @query
 def profile_columns(spark, sf_dir):
-    return tb.profile_columns(*labelled_sample(spark, sf_dir))
+    return tb.profile_columns(*labelled_rows(spark, sf_dir))
 
 
 @query
 def stratified_split(spark, sf_dir):
-    return tb.stratified_split(labelled_sample(spark, sf_dir)[0].select("row_id", "label"), "row_id")
+    return tb.stratified_split(labelled_rows(spark, sf_dir)[0].select("row_id", "label"), "row_id")
 
 
 def prepared(spark, sf_dir):
-    sample, features = labelled_sample(spark, sf_dir)
+    sample, features = labelled_rows(spark, sf_dir)
     shape = tb.shape_of(tb.profile_columns(sample, features))
     return tb.typed_columns(sample, shape, ["row_id", "label"]), shape
 
