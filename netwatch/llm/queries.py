@@ -16,6 +16,7 @@ from netwatch.llm.html_extract import extract_pages
 from netwatch.llm.near_dedup import near_duplicates
 from netwatch.llm.quality_rules import MEASURES, SIGNALS, quality_verdicts
 from netwatch.llm.secret_scan import secret_report
+from netwatch.llm.token_counts import count_flat_tokens, write_flat_tokens
 from netwatch.llm.token_files import token_file_checks, write_token_files
 from netwatch.llm.url_filter import url_verdicts
 from netwatch.session import shared_folder
@@ -37,6 +38,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", *MEASURES, "base_failed", "kept", *SIGNALS)
 
 
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_no, doc_no, start, n_tokens, ended of the documents in flat files written from the table."""
+    folder = f"{shared_folder(spark)}/flat-{uuid.uuid4().hex}"
+    write_flat_tokens(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return count_flat_tokens(spark, folder)
+
+
 @query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""

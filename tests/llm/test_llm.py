@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netwatch.llm import byte_bpe, chat_format, decontaminate, html_extract, near_dedup, quality_rules, secret_scan
-from netwatch.llm import token_files, url_filter
+from netwatch.llm import token_counts, token_files, url_filter
 from netwatch.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, doc string, words string"
@@ -283,6 +283,30 @@ def test_token_files(docs, nothing, spark, tmp_path):
     assert token_files.token_file_checks(spark, f"{tmp_path}/none").count() == 0
 
 
+@pytest.mark.parametrize("block", [7, 64, 1 << 19])
+def test_separator_scan(docs, nothing, spark, tmp_path, monkeypatch, block):
+    """Documents of all lengths over small and large blocks; a file without a last separator, and one with a partial id."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "BLOCK_IDS", block)
+    some = docs.where("text IS NULL OR length(text) < 3000").coalesce(2)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    token_counts.write_flat_tokens(some, f"{tmp_path}/flat", path)
+    own = Tokenizer.from_file(path)
+    sizes = [len(own.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in some.collect()]
+    got = [tuple(r)[1:] for r in token_counts.count_flat_tokens(spark, f"{tmp_path}/flat").orderBy("doc_no").collect()]
+    assert got == [(i, sum(sizes[:i]), n, True) for i, n in enumerate(sizes)]
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "part-1").write_bytes(np.array([5, 1, 1, 7, 8], "<u4").tobytes() + b"x")
+    (tmp_path / "odd" / "part-2").write_bytes(b"")
+    (tmp_path / "odd" / "part-3").write_bytes(np.array([9] * 20 + [1], "<u4").tobytes())
+    odd = token_counts.count_flat_tokens(spark, f"{tmp_path}/odd", width=4).orderBy("doc_no").collect()
+    assert [tuple(r)[1:] for r in odd] == [(0, 0, 2, True), (1, 2, 1, True), (2, 3, 2, False), (3, 5, 21, True)]
+    token_counts.write_flat_tokens(nothing, f"{tmp_path}/none", path)
+    assert token_counts.count_flat_tokens(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_byte_bpe(docs, nothing):
     import public_tokenizers as public
     import tiktoken
