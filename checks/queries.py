@@ -856,10 +856,25 @@ from netwatch.streaming import features as sf  # noqa: E402
 from netwatch.streaming import run as sr  # noqa: E402
 
 
+# State partitions of the streams below. A stream keeps its number for life, so it is set per stream, in a session of its
+# own; the caller's settings stay as they are.
+STATE_PARTITIONS = 8
+
+
+def stream_session(spark):
+    own = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.streaming.stateStore.providerClass"):
+        value = spark.conf.get(key, None)
+        if value:
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.shuffle.partitions", str(STATE_PARTITIONS))
+    return own
+
+
 def stream_of(spark, sf_dir, name):
     """A table's file as a stream source."""
     schema = tt.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return stream_session(spark).readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def _stream_features(window, slide):

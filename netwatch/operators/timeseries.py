@@ -222,13 +222,17 @@ def idle_periods(packets: DataFrame, idle_seconds: int = 10, keys: Sequence[str]
 
 def latest_features(entries: DataFrame, as_of: Column | int, ttl_seconds: float | None = None,
                     prefix: str = "", order: Sequence[str] = ("sec",)) -> DataFrame:
-    """Newest unexpired row per key. An entry is expired when older than its time to live."""
+    """Newest unexpired row per key. An entry is expired when older than its time to live.
+
+    If a key's newest entry is expired, so are all others; so expired rows go before the grouping, where the filter
+    reaches the scan. ``order`` starts with the entry's second."""
     ttl = F.lit(float(ttl_seconds or 3600))
     rows = entries.where(F.col("key").startswith(prefix)) if prefix else entries
     others = [c for c in entries.columns if c != "key"]
     return (
-        rows.groupBy("key").agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_e"))
-        .select("key", "_e.*").where(as_of - F.col("sec") <= ttl))
+        rows.where(as_of - F.col("sec") <= ttl)
+        .groupBy("key").agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_e"))
+        .select("key", "_e.*"))
 
 
 def feature_history(entries: DataFrame, limit: int = 60, kept: int = 100,

@@ -29,15 +29,22 @@ def build_session(cpus: int | str = "*", app: str = "netwatch", shuffle_partitio
     return builder.getOrCreate()
 
 
+# Folder of each local application that names none; a running session can't be given the setting.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder. A temporary one stands in only on a local master (tests), where all
     tasks share one disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local["):
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        name = spark.sparkContext.applicationId
+        if name not in _LOCAL:
+            _LOCAL[name] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = _LOCAL[name]
     return folder
 
 
