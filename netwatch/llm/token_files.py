@@ -114,7 +114,7 @@ def unpack(words: np.ndarray, blocks: np.ndarray, n: int) -> np.ndarray:
 class WordIds(dict):
     """Piece between spaces -> its ids; a full table becomes the older half and is refilled from it."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
     CUT = re.compile("[ \n]+")
 
     def __init__(self, tokenizer):
