@@ -279,8 +279,12 @@ def viterbi(model: Field, rows: list[list[str]]) -> list[bool]:
 
 def fit(pages: DataFrame, sample: int = 300, page_id: str = "page_id", html: str = "html") -> Field:
     """The field learnt from the bounded sample of pages that mark their main text."""
-    marked = pages.where(F.col(html).rlike("(?i)<(?:article|main)[ >]")).select(F.col(html).alias("html"))
-    rows = marked.orderBy(F.xxhash64("html")).limit(sample).collect()
+    marked = pages.where(F.col(html).rlike("(?i)<(?:article|main)[ >]")).select(
+        F.col(html).alias("html"), F.xxhash64(html).alias("hash"))
+    # Hashes alone are ordered; then only the sampled pages travel, copies of a page once.
+    last = marked.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    chosen = marked.where(F.col("hash") <= last) if last is not None else marked.limit(0)
+    rows = sorted(chosen.groupBy("hash").agg(F.first("html").alias("html")).collect())
     rng = np.random.default_rng(11)
     labelled = []
     for row in rows:
