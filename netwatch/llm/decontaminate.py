@@ -2,9 +2,11 @@
 
 Words become templates: numbers, names (capitalised words) and units turn into typed placeholders, all other
 words are lower-cased without outer punctuation. Windows of eight template words are hashed and
-hash-joined with those of the benchmark. Matches on one diagonal (same shift between document and item) must fill
-their slots consistently: one benchmark filler always meets the same document filler and the other way round.
-So a question with other numbers and names is caught, and a text that only shares a phrase pattern is not.
+hash-joined with those of the benchmark. Windows that count together on one diagonal (same shift between a text and an
+item) fill their slots consistently: one benchmark filler always meets the same document filler, and two names stay two
+(numbers and units may become equal). Literal words take no part in this. So a question with other numbers and names is
+caught, and a text that only shares a phrase pattern is not. Where fillers clash, those that more than half of a filler's
+places agree on hold, and only windows with others are dropped; windows without any changed filler always count.
 
 A pair (document, item) is reported when consistent windows cover at least 13 words of the item, or the whole item if it
 is shorter. Windows need five literal words of eight, so runs of placeholders match nothing. Items of fewer than eight words
@@ -20,6 +22,7 @@ reported; repeated rows of a document or item count once.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -94,21 +97,53 @@ def windows(words: list[bytes], known: Templates, width: int) -> np.ndarray:
 
 
 def _fillers(words: list[bytes]) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(canonical(w.decode("utf-8", "replace"))[1]) - 2**63 for w in words]
+    """Hash of each word's form, with its kind in the two lowest bits."""
+    forms = [canonical(w.decode("utf-8", "replace")) for w in words]
+    return [((xxhash.xxh3_64_intdigest(form) & ~3) | kind) - 2**63 for kind, form in forms]
+
+
+def consistent_places(found: dict[int, tuple[list[int], list[int]]]) -> dict[int, int]:
+    """Covered place of the item -> 1 where its filler is changed, for the windows of one diagonal (place of the window ->
+    fillers of the item and of the text)."""
+    met: dict[int, tuple[int, int, int]] = {}  # place -> kind, filler of the item, filler of the text
+    for at, (theirs, ours) in found.items():
+        met.update((at + i, (a & 3, a >> 2, b >> 2)) for i, (a, b) in enumerate(zip(theirs, ours)))
+    slots = [m for m in met.values() if m[0] != LITERAL]
+    pairs, one_way = Counter(slots), Counter(m[:2] for m in slots)
+    back = Counter(m[2] for m in slots if m[0] == NAME)
+    agreed = {m for m, n in pairs.items() if 2 * n > one_way[m[:2]] and (m[0] != NAME or 2 * n > back[m[2]])}
+    out = {}
+    for at, (theirs, _) in found.items():
+        own = [met[at + i] for i in range(len(theirs))]
+        if all(a == b for _, a, b in own) or all(m[0] == LITERAL or m in agreed for m in own):
+            out.update((at + i, int(a != b)) for i, (_, a, b) in enumerate(own))
+    return out
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = pa.list_(pa.struct([("place", pa.int64()), ("changed", pa.int64())]))
+    for batch in batches:
+        places = []
+        for diagonal in batch.column(3):
+            own = consistent_places({w["item_at"]: (w["theirs"], w["ours"]) for w in diagonal.as_py()})
+            places.append([{"place": p, "changed": c} for p, c in own.items()])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, kept)],
+                                         ["doc_id", "item_id", "n_item_words", "places"])
 
 
 def _scan(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...], bitmap=None) -> Iterator[pa.RecordBatch]:
-    """(id, at, hash, fillers, n_words) of the windows, or of those that the bitmap may hold."""
+    """(id, copy, at, hash, fillers, n_words) of the windows, or of those that the bitmap may hold; ``copy`` is the text's hash."""
     known = Templates()
     bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
-    schema = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("hash", pa.int64()),
+    schema = pa.schema([("id", pa.int64()), ("copy", pa.int64()), ("at", pa.int64()), ("hash", pa.int64()),
                         ("fillers", pa.list_(pa.int64())), ("n_words", pa.int64())])
     for batch in batches:
         rows = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast("binary")):
             if key is None or not text.is_valid:
                 continue
-            words = text.as_py().split()
+            whole = text.as_py()
+            words, copy = whole.split(), xxhash.xxh3_64_intdigest(whole) - 2**63
             for width in widths:
                 if bits is None and width != min(WIDTH, len(words)):
                     continue
@@ -118,7 +153,8 @@ def _scan(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...], bitmap=Non
                     place = hashes % np.uint64(BITMAP_BITS)
                     found &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 for at in np.flatnonzero(found).tolist():
-                    rows.append((key, at, int(hashes[at].view(np.int64)), _fillers(words[at:at + width]), len(words)))
+                    rows.append((key, copy, at, int(hashes[at].view(np.int64)), _fillers(words[at:at + width]),
+                                 len(words)))
             if len(rows) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                 rows = []
@@ -126,7 +162,7 @@ def _scan(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...], bitmap=Non
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-_ROW = "id long, at long, hash long, fillers array<long>, n_words long"
+_ROW = "id long, copy long, at long, hash long, fillers array<long>, n_words long"
 
 
 def _bitmap(hashes: DataFrame) -> bytes:
@@ -149,25 +185,22 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     items = benchmark.select(F.col(item_id).cast("long"), F.col(item_text).cast("string"))
     every = tuple(range(1, WIDTH + 1))
     asked = written(items.mapInArrow(partial(_scan, widths=every), _ROW).select(
-        F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("fillers").alias("item_fillers"),
+        F.col("id").alias("item_id"), F.col("copy").alias("item_copy"), F.col("at").alias("item_at"), "hash", F.col("fillers").alias("item_fillers"),
         F.col("n_words").alias("n_item_words")).distinct(), "asked")
     widths = tuple(r[0] for r in asked.select(F.size("item_fillers")).distinct().collect())  # WIDTH values at most
     bitmap = spark.sparkContext.broadcast(_bitmap(asked))
     found = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(
         partial(_scan, widths=widths, bitmap=bitmap), _ROW)
-    matched = written(found.select(F.col("id").alias("doc_id"), "at", "hash", "fillers").join(asked, "hash").select(
-        "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "n_item_words",
-        F.posexplode(F.arrays_zip("item_fillers", "fillers")).alias("i", "pair"), "item_at").select(
-        "doc_id", "item_id", "shift", "n_item_words", (F.col("item_at") + F.col("i")).alias("place"),
-        F.col("pair.item_fillers").alias("theirs"), F.col("pair.fillers").alias("ours")).distinct(), "matched")
-    line = ["doc_id", "item_id", "shift"]
-    clash = (matched.groupBy(*line, "theirs").agg((F.min("ours") != F.max("ours")).alias("bad"))
-             .where("bad").select(*line)
-             .union(matched.groupBy(*line, "ours").agg((F.min("theirs") != F.max("theirs")).alias("bad"))
-                    .where("bad").select(*line)).distinct())
-    consistent = matched.join(clash, line, "left_anti")
-    return (consistent.groupBy("doc_id", "item_id", "n_item_words", "place")
-            .agg(F.min(F.when(F.col("theirs") != F.col("ours"), 1).otherwise(0)).alias("changed"))
+    line = ["doc_id", "copy", "item_id", "item_copy", "shift", "n_item_words"]
+    matched = found.select(F.col("id").alias("doc_id"), "copy", "at", "hash", "fillers").join(asked, "hash").select(
+        "doc_id", "copy", "item_id", "item_copy", (F.col("at") - F.col("item_at")).alias("shift"), "n_item_words", "item_at",
+        F.col("item_fillers").alias("theirs"), F.col("fillers").alias("ours")).distinct()
+    diagonals = matched.groupBy(*line).agg(F.collect_list(F.struct("item_at", "theirs", "ours")).alias("found"))
+    consistent = diagonals.select("doc_id", "item_id", "n_item_words", "found").mapInArrow(
+        _judge, "doc_id long, item_id long, n_item_words long, places array<struct<place:long,changed:long>>")
+    return (consistent.select("doc_id", "item_id", "n_item_words", F.explode("places").alias("x"))
+            .groupBy("doc_id", "item_id", "n_item_words", F.col("x.place").alias("place"))
+            .agg(F.min("x.changed").alias("changed"))
             .groupBy("doc_id", "item_id").agg(
                 F.count("*").alias("n_covered"), F.max("n_item_words").alias("n_item_words"),
                 F.sum("changed").alias("n_changed"))

@@ -207,6 +207,20 @@ def test_slots_must_be_filled_consistently(spark):
     assert [(r["doc_id"], r["n_changed"]) for r in got] == [(1, 4)]
 
 
+def test_a_clash_drops_its_own_windows_only(spark):
+    items = [(1, "then Tom read one old book about ships and boats while all others slept in their warm beds until "
+                 "early light came over the hills and after that old Tom walked slowly home again"),
+             (2, "The cat sat near the door and the dog sat near the wall until rain came"),
+             (3, "she bought 5 red pens and then she bought 7 blue pens for her own small shop"),
+             (4, "then Anna gave the red book to Ben and later Anna took it back from Ben again today")]
+    texts = [(1, items[0][1].replace("old Tom", "old Ann")), (2, items[1][1].replace("The", "A")),
+             (3, items[2][1].replace("5", "6").replace("7", "6")),
+             (4, items[3][1].replace("Anna", "Cleo").replace("Ben", "Cleo"))]
+    got = decontaminate.contaminated_pairs(spark.createDataFrame(texts, "doc_id long, text string"),
+                                           spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_changed"]) for r in got) == [(1, 1, 0), (2, 2, 1), (3, 3, 2)]
+
+
 ASSIGN = re.compile(r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"
                     r"[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
