@@ -9,7 +9,8 @@ caught, and a text that only shares a phrase pattern is not. Where fillers clash
 places agree on hold, and only windows with others are dropped; windows without any changed filler always count.
 
 A pair (document, item) is reported when consistent windows cover at least 13 words of the item, or the whole item if it
-is shorter. Windows need five literal words of eight, so runs of placeholders match nothing. Items of fewer than eight words
+is shorter. Placeholders need five literal words of eight, so runs of them match nothing; a window with fewer literals is
+exact: it is hashed with its fillers, and matches its copies only. Items of fewer than eight words
 are one window of their own length.
 
 The scan of all documents drops nearly all windows early: a bitmap of fixed size (8 MB) holds the hashes of the
@@ -49,6 +50,7 @@ watt watts volt volts meter meters metre metres
 LITERAL, NUMBER, NAME, UNIT = range(4)
 _NUMBER = re.compile(r"[+\-]?[$€£¥]?\d")
 _EDGE = re.compile(r"^[^\w$€£¥+\-]+|[^\w%]+$")
+_EXACT = 0x2545F4914F6CDD1D
 _PLACE = np.array([0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
                    0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9E6C63D0876A9A47], np.uint64)
 
@@ -66,26 +68,20 @@ def canonical(word: str) -> tuple[int, str]:
 
 
 class Templates(dict):
-    """Word (bytes) -> template hash with the kind in its two lowest bits; emptied at a fixed size."""
+    """Word (bytes) -> hash of its form with the kind in its two lowest bits; emptied at a fixed size."""
 
     LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
         kind, form = canonical(word.decode("utf-8", "replace"))
-        value = (xxhash.xxh3_64_intdigest(form) & ~3) if kind == LITERAL else kind
+        value = (xxhash.xxh3_64_intdigest(form) & ~3) | kind
         if len(self) >= self.LIMIT:
             self.clear()
         self[word] = value
         return value
 
 
-def windows(words: list[bytes], known: Templates, width: int) -> np.ndarray:
-    """Template hash of each window of ``width`` words; 0 where it has too few literal words."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    values = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    literal = np.concatenate([[0], np.cumsum((values & np.uint64(3)) == LITERAL)])
+def _rolled(values: np.ndarray, width: int, n: int) -> np.ndarray:
     total = np.full(n, width, np.uint64)
     for i in range(width):
         part = values[i:i + n] * _PLACE[i]
@@ -93,7 +89,22 @@ def windows(words: list[bytes], known: Templates, width: int) -> np.ndarray:
     total = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     total ^= total >> np.uint64(32)
     total[total == 0] = 1
-    return np.where((literal[width:] - literal[:-width]) * WIDTH >= LITERALS * width, total, np.uint64(0))
+    return total
+
+
+def windows(forms: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each window of ``width`` words, given by the hashes of their forms: of its template, or of its forms where
+    it has too few literal words."""
+    n = len(forms) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    kinds = forms & np.uint64(3)
+    literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
+    total = _rolled(np.where(kinds == LITERAL, forms, kinds), width, n)
+    weak = np.flatnonzero((literal[width:] - literal[:-width]) * WIDTH < LITERALS * width)
+    if len(weak):
+        total[weak] = _rolled(forms, width, n)[weak] ^ np.uint64(_EXACT)
+    return total
 
 
 def _fillers(words: list[bytes]) -> list[int]:
@@ -144,14 +155,15 @@ def _scan(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...], bitmap=Non
                 continue
             whole = text.as_py()
             words, copy = whole.split(), xxhash.xxh3_64_intdigest(whole) - 2**63
+            forms = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
             for width in widths:
                 if bits is None and width != min(WIDTH, len(words)):
                     continue
-                hashes = windows(words, known, width)
-                found = hashes != 0
+                hashes = windows(forms, width)
+                found = np.ones(len(hashes), bool)
                 if bits is not None:
                     place = hashes % np.uint64(BITMAP_BITS)
-                    found &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    found = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 for at in np.flatnonzero(found).tolist():
                     rows.append((key, copy, at, int(hashes[at].view(np.int64)), _fillers(words[at:at + width]),
                                  len(words)))

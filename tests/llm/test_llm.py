@@ -221,6 +221,16 @@ def test_a_clash_drops_its_own_windows_only(spark):
     assert sorted((r["doc_id"], r["item_id"], r["n_changed"]) for r in got) == [(1, 1, 0), (2, 2, 1), (3, 3, 2)]
 
 
+def test_windows_with_few_literals_match_exactly(spark):
+    items = [(1, "What is 12 + 5 * 3 ?"), (2, "Anna Ben Carl Dora Emil Fred Gina Hans Ida Jan Kim Leo Mia"),
+             (3, "Please add the next two numbers at once : 12 5 7 9"), (4, "31 41 59")]
+    texts = [(i, f"some words before {t} and some after") for i, t in items]
+    texts += [(5, "What is 13 + 6 * 4 ?"), (6, "Olga Paul Rita Sam Tina Udo Vera Willi Xenia Yves Zoe Axel Bea"), (7, "31 41 58")]
+    got = decontaminate.contaminated_pairs(spark.createDataFrame(texts, "doc_id long, text string"),
+                                           spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_changed"]) for r in got) == [(i, i, 0) for i in range(1, 5)]
+
+
 ASSIGN = re.compile(r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"
                     r"[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
