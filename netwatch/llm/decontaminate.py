@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become templates: numbers, names (capitalised words) and units turn into typed placeholders, all other
-words are lower-cased without outer punctuation. Windows of eight template words are hashed and
+words are case-folded without outer punctuation. Windows of eight template words are hashed and
 hash-joined with those of the benchmark. Windows that count together on one diagonal (same shift between a text and an
 item) fill their slots consistently: one benchmark filler always meets the same document filler, and two names stay two
 (numbers and units may become equal). Literal words take no part in this. So a question with other numbers and names is
@@ -13,6 +13,9 @@ is shorter. Placeholders need five literal words of eight, so runs of them match
 exact: it is hashed with its fillers, and matches its copies only. Items of fewer than eight words
 are one window of their own length.
 
+Capitals tell names from literals, so templates alone miss copies in another case. With ``any_case`` each window is hashed
+once more with its names as literals and all words case-folded; the query and the pipeline do so.
+
 The scan of all documents drops nearly all windows early: a bitmap of fixed size (8 MB) holds the hashes of the
 benchmark windows. It only saves work: what passes is joined exactly, at any benchmark size.
 
@@ -56,15 +59,15 @@ _PLACE = np.array([0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0
 
 
 def canonical(word: str) -> tuple[int, str]:
-    """(kind, form) of a word: kind LITERAL with its lower-cased form, or a slot kind with its filler."""
+    """(kind, form) of a word: kind LITERAL with its case-folded form, or a slot kind with its filler."""
     core = _EDGE.sub("", word) or word
     if _NUMBER.match(core):
-        return NUMBER, core
-    if core.lower() in UNITS:
-        return UNIT, core.lower()
+        return NUMBER, core.casefold()
+    if core.casefold() in UNITS:
+        return UNIT, core.casefold()
     if core[:1].isupper():
-        return NAME, core.lower()
-    return LITERAL, core.lower()
+        return NAME, core.casefold()
+    return LITERAL, core.casefold()
 
 
 class Templates(dict):
@@ -142,7 +145,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["doc_id", "item_id", "n_item_words", "places"])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...], bitmap=None) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...], bitmap=None, any_case: bool = False) -> Iterator[pa.RecordBatch]:
     """(id, copy, at, hash, fillers, n_words) of the windows, or of those that the bitmap may hold; ``copy`` is the text's hash."""
     known = Templates()
     bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
@@ -156,17 +159,22 @@ def _scan(batches: Iterator[pa.RecordBatch], widths: tuple[int, ...], bitmap=Non
             whole = text.as_py()
             words, copy = whole.split(), xxhash.xxh3_64_intdigest(whole) - 2**63
             forms = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            names = (forms & np.uint64(3) == NAME) & any_case
             for width in widths:
                 if bits is None and width != min(WIDTH, len(words)):
                     continue
-                hashes = windows(forms, width)
-                found = np.ones(len(hashes), bool)
-                if bits is not None:
-                    place = hashes % np.uint64(BITMAP_BITS)
-                    found = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                for at in np.flatnonzero(found).tolist():
-                    rows.append((key, copy, at, int(hashes[at].view(np.int64)), _fillers(words[at:at + width]),
-                                 len(words)))
+                typed = windows(forms, width)
+                folded = windows(np.where(names, forms & ~np.uint64(3), forms), width) if names.any() else typed
+                for hashes in (typed, folded):
+                    found = np.ones(len(hashes), bool) if hashes is typed else folded != typed
+                    if bits is not None:
+                        place = hashes % np.uint64(BITMAP_BITS)
+                        found &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    for at in np.flatnonzero(found).tolist():
+                        rows.append((key, copy, at, int(hashes[at].view(np.int64)), _fillers(words[at:at + width]),
+                                     len(words)))
+                    if folded is typed:
+                        break
             if len(rows) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                 rows = []
@@ -190,19 +198,19 @@ def _bitmap(hashes: DataFrame) -> bytes:
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                       item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+                       item_id: str = "item_id", item_text: str = "text", any_case: bool = False) -> DataFrame:
     """(doc_id, item_id, n_covered, n_item_words, n_changed): covered words of the item, and how many of its slot
-    fillers the document has replaced (0: a verbatim copy up to case and punctuation)."""
+    fillers the document has replaced (0: a verbatim copy up to punctuation, and with ``any_case`` up to case)."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long"), F.col(item_text).cast("string"))
     every = tuple(range(1, WIDTH + 1))
-    asked = written(items.mapInArrow(partial(_scan, widths=every), _ROW).select(
+    asked = written(items.mapInArrow(partial(_scan, widths=every, any_case=any_case), _ROW).select(
         F.col("id").alias("item_id"), F.col("copy").alias("item_copy"), F.col("at").alias("item_at"), "hash", F.col("fillers").alias("item_fillers"),
         F.col("n_words").alias("n_item_words")).distinct(), "asked")
     widths = tuple(r[0] for r in asked.select(F.size("item_fillers")).distinct().collect())  # WIDTH values at most
     bitmap = spark.sparkContext.broadcast(_bitmap(asked))
     found = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(
-        partial(_scan, widths=widths, bitmap=bitmap), _ROW)
+        partial(_scan, widths=widths, bitmap=bitmap, any_case=any_case), _ROW)
     line = ["doc_id", "copy", "item_id", "item_copy", "shift", "n_item_words"]
     matched = found.select(F.col("id").alias("doc_id"), "copy", "at", "hash", "fillers").join(asked, "hash").select(
         "doc_id", "copy", "item_id", "item_copy", (F.col("at") - F.col("item_at")).alias("shift"), "n_item_words", "item_at",
@@ -220,9 +228,9 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                      item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+                      item_id: str = "item_id", item_text: str = "text", any_case: bool = True) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    pairs = contaminated_pairs(docs, benchmark, doc_id, text, item_id, item_text)
+    pairs = contaminated_pairs(docs, benchmark, doc_id, text, item_id, item_text, any_case)
     gone = written(pairs.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     whole = docs.select(F.struct("*").alias("doc"), F.col(doc_id).cast("long").alias("_id"))
     return whole.join(gone, whole["_id"] == gone["_gone"], "left_anti").select("doc.*")

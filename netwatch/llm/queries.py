@@ -78,7 +78,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item it holds: doc_id, item_id, n_covered, n_item_words, n_changed."""
-    return contaminated_pairs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return contaminated_pairs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), any_case=True)
 
 
 @query

@@ -231,6 +231,16 @@ def test_windows_with_few_literals_match_exactly(spark):
     assert sorted((r["doc_id"], r["item_id"], r["n_changed"]) for r in got) == [(i, i, 0) for i in range(1, 5)]
 
 
+def test_copies_in_another_case(spark):
+    item = "Anna Maria Berg had 12 apples of about 5KM worth and Carl gave his brother Ben Strauß 3 before Lunch"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = spark.createDataFrame([(1, f"so {item.lower()} then"), (2, f"so {item.upper()} then"), (3, f"so {item.title()} then"),
+                                   (4, "nothing of that")], "doc_id long, text string")
+    got = decontaminate.contaminated_pairs(texts, bench, any_case=True).collect()
+    assert sorted((r["doc_id"], r["n_covered"], r["n_changed"]) for r in got) == [(i, 20, 0) for i in (1, 2, 3)]
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(texts, bench).collect()] == [4]
+
+
 ASSIGN = re.compile(r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"
                     r"[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
