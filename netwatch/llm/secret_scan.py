@@ -7,9 +7,10 @@ test about the middle of the alphabet, and the lag-1 serial correlation. The thr
 score; random strings score low.
 
 Whether a low score means anything depends on length, since short stretches of words can look random. So scores are
-compared with those of ordinary text of the same length band: every document gives one passage of letters, of
-a length and from a place that its hash picks. That gives each candidate a p-value, and the Benjamini-Hochberg rule sets one score cutoff for each band that keeps the
-expected share of false findings below ``rate``. All texts count for this; the counts are a histogram of fixed size.
+compared with those of ordinary text of the same length band: the letters of every text are cut end to end into
+stretches, whose lengths go round the bands from one that the text's hash picks. That gives each candidate a p-value, and
+the Benjamini-Hochberg rule sets one score cutoff for each band that keeps the expected share of false findings below
+``rate``. All texts count for this, equal stretches and equal tokens once; the counts are a histogram of fixed size.
 
 Positions are code points, ends exclusive. Findings of the battery that overlap a pattern's finding are left out.
 Defined results: a null text is empty; an empty corpus, or one without running text, gives no battery findings.
@@ -114,14 +115,20 @@ def _battery(token: Column) -> Column:
     return F.when(F.length(F.regexp_replace(token, "=+$", "")) > 2, let(given, tests)).otherwise(F.lit(float(_TOP)))
 
 
-def _passage(text: Column) -> Column:
-    """Letters of running text from a place in the text, and as many as a length band asks, both picked by the text's hash;
-    null where there are too few."""
-    picked = F.xxhash64(text)
-    length = F.get(F.array(*[F.lit(b) for b in BANDS]), F.pmod(picked, F.lit(len(BANDS))).cast("int"))
-    start = F.pmod(F.xxhash64(picked), F.length(text) + 1).cast("int") + 1
-    letters = F.regexp_replace(F.substr(text, start, 4 * length), "[^A-Za-z]", "")
-    return F.when(F.length(letters) >= length, F.lower(F.substr(letters, F.lit(1), length)))
+def _stretches(text: Column) -> Column:
+    """The letters of the text in consecutive stretches of the bands' lengths, null in place of those that the end cuts."""
+    rounds = []
+    for first in range(len(BANDS)):
+        lengths = BANDS[first:] + BANDS[:first]
+        rounds.append(F.array(*[F.struct(F.lit(sum(lengths[:i]) + 1).alias("start"), F.lit(n).alias("n"))
+                                for i, n in enumerate(lengths)]))
+
+    def cut(known: Column) -> Column:
+        return F.flatten(F.transform(known["pieces"], lambda piece: F.transform(known["round"], lambda r: F.when(
+            F.length(piece) >= r["start"] + r["n"] - 1, F.substr(piece, r["start"], r["n"])))))
+    return let(F.lower(F.regexp_replace(text, "[^A-Za-z]+", "")), lambda letters: let(F.struct(
+        F.regexp_extract_all(letters, F.lit(f".{{1,{sum(BANDS)}}}"), F.lit(0)).alias("pieces"),
+        F.get(F.array(*rounds), F.pmod(F.xxhash64(letters), F.lit(len(BANDS))).cast("int")).alias("round")), cut))
 
 
 def _is_candidate(token: Column) -> Column:
@@ -143,13 +150,15 @@ def calibrate(docs: DataFrame, text: str = "text", rate: float = 0.05) -> DataFr
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     tokens = F.transform(F.filter(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)), _is_candidate),
                          lambda t: F.struct(t.alias("token"), F.lit(False).alias("plain")))
-    passage = F.array(F.struct(_passage(body).alias("token"), F.lit(True).alias("plain")))
-    counted = (docs.select(F.explode(F.concat(tokens, passage)).alias("x"))
-               .where(F.col("x.token").isNotNull())
-               .select("x.plain", _band(F.length("x.token")).alias("band"), _bucket(_battery(F.col("x.token"))).alias("bucket"))
-               .groupBy("band", "bucket").agg(
-                   F.sum(F.when(F.col("plain"), 1).otherwise(0)).alias("plain"),
-                   F.sum(F.when(F.col("plain"), 0).otherwise(1)).alias("candidates")))
+    plain = F.transform(_stretches(body), lambda t: F.struct(t.alias("token"), F.lit(True).alias("plain")))
+    scored = (docs.select(F.explode(F.concat(tokens, plain)).alias("x"))
+              .where(F.col("x.token").isNotNull())
+              .select("x.plain", F.xxhash64("x.token").alias("hash"), _band(F.length("x.token")).alias("band"),
+                      _bucket(_battery(F.col("x.token"))).alias("bucket"))
+              .distinct())  # copies of a text, a passage or a token are no further evidence
+    counted = scored.groupBy("band", "bucket").agg(
+        F.sum(F.when(F.col("plain"), 1).otherwise(0)).alias("plain"),
+        F.sum(F.when(F.col("plain"), 0).otherwise(1)).alias("candidates"))
     along = Window.partitionBy("band").orderBy("bucket")
     whole = Window.partitionBy("band")
     ranked = counted.select(

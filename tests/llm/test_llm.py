@@ -288,6 +288,20 @@ def test_randomness_battery(spark):
     assert not found[2000] and not any(found[i] for i in range(600))
 
 
+def test_copies_do_not_move_the_cutoffs(spark):
+    """Copies of a text count once, whichever passage they give; secrets stay found, and few long texts are enough."""
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    syllables = "the ing ion ent her tha ere ati ter hat".split()
+    rows = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(900)) for _ in range(40)]
+    rows += [f"some value {''.join(rng.choice(letters) for _ in range(48))} here" for _ in range(10)]
+    copied = "".join(rng.choice(letters[26:52]) for _ in range(300)) + " " + "".join(rng.choice(letters) for _ in range(60))
+    once, often = (secret_scan.calibrate(spark.createDataFrame([(t,) for t in rows + [copied] * n], "text string")).collect()
+                   for n in (1, 60))
+    assert sorted(once) == sorted(often)
+    assert 4 in {r["band"] for r in once}
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(4)
     for bits in (0, 1, 5, 16, 20, 33, 60, 64):
