@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values of HTML: elements without end tag, with raw text, that never hold page text, and inline ones.
+#: Fixed values of HTML: elements without end tag, with raw text that is no page text, and inline ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
+RAW = frozenset("script style textarea title".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike
-strong sub sup time tt u var wbr""".split())
+strong sub sup time tt u var wbr noscript iframe object svg math mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded
+mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation""".split())
 #: A start tag closes an open element of its own kind.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",)}
@@ -90,7 +91,8 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[i:]
                     break
             continue
-        if name in RAW:
+        # Inside svg and math a slash closes any element.
+        if name in RAW and not (tag[3].endswith("/") and any(t in ("svg", "math") for t, _ in stack)):
             close = re.compile(f"</{re.escape(name)}[^>]*(?:>|\\Z)", re.I).search(page, at)
             at = close.end() if close else end
             continue

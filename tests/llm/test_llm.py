@@ -446,6 +446,14 @@ def test_html_blocks():
     assert blocks[0].names == {"ad", "box"} and blocks[1].tags == ("p",)
 
 
+def test_embedded_elements_drop_no_text():
+    texts = lambda page: [b.body for b in html_extract.blocks_of(page)]
+    for tag in ('<svg class="icon"/>', "<math/>", "<object>", "<iframe>", "<noscript>", "<template>", "<svg><title/><path/></svg>"):
+        assert texts(f"{tag}<p>One</p><p>Two</p>") == ["One", "Two"]
+    assert texts("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then <object>see</object> it</p>") == ["If x=2 then see it"]
+    assert texts("<script>a</script><style>b</style><textarea>c</textarea><title>d</title><p>One") == ["One"]
+
+
 def test_viterbi_is_best_sequence():
     from itertools import product
 
