@@ -9,6 +9,9 @@ Labelled pages are a bounded, documented sample: the ``sample`` pages with the s
 main text with ``article`` or ``main``; blocks inside it and outside menus, forms, comments and the like are main text. Each also
 serves once more with its blocks put into another page frame, so that no single mark-up decides.
 
+Where no page of the table marks any text, a fixed prior field stands in: blocks in menus, forms, comments and the like
+(``OFF_TAGS``, ``OFF_NAMES``), blocks of mostly links and very short ones are off, all others are main text.
+
 Defined results: null and empty pages, and pages without text, give the empty string. Unclosed and stray tags are closed as
 browsers do in the common cases; a tag that is cut off at the end of the page is dropped.
 """
@@ -279,9 +282,20 @@ def viterbi(model: Field, rows: list[list[str]]) -> list[bool]:
     return [bool(y) for y in reversed(out)]
 
 
+def prior() -> Field:
+    """The field for tables without any labelled page: weights of the marks of other text, of links and of length."""
+    off = {f"in={t}": 4.0 for t in OFF_TAGS} | {f"class={t}": 4.0 for t in OFF_NAMES} | {
+        "links=2": 2.0, "links=3": 3.0, "words=0": 1.0, "words=1": 0.5, "copyright": 4.0}
+    on = {"words=2": 0.5, "words=3": 1.0, "words=4": 2.0, "words=5": 3.0, "parent=p": 1.0, "parent=h1": 2.0, "parent=h2": 1.5,
+          "parent=h3": 1.5}
+    names = [*off, *on]
+    weights = np.array([[off.get(n, 0.0), on.get(n, 0.0)] for n in names])
+    return Field({n: i for i, n in enumerate(names)}, weights, np.array([[0.25, 0.0], [0.0, 0.25]]), np.zeros(2))
+
+
 def fit(pages: DataFrame, sample: int = 300, page_id: str = "page_id", html: str = "html") -> Field:
     """The field learnt from the bounded sample of pages that mark their main text."""
-    marked = pages.where(F.col(html).rlike("(?i)<(?:article|main)[ >]")).select(
+    marked = pages.where(F.col(html).rlike(r"(?i)<(?:article|main)[\s>]")).select(
         F.col(html).alias("html"), F.xxhash64(html).alias("hash"))
     # Hashes alone are ordered; then only the sampled pages travel, copies of a page once.
     last = marked.select("hash").distinct().orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
@@ -294,7 +308,7 @@ def fit(pages: DataFrame, sample: int = 300, page_id: str = "page_id", html: str
         labels = teacher_labels(blocks)
         for b, y in ((blocks, labels), reframed(blocks, labels, rng)):
             labelled.append((features(b), y))
-    return train(labelled)
+    return train(labelled) if any(any(y) for _, y in labelled) else prior()
 
 
 def main_text(model: Field, page: str | None) -> str:

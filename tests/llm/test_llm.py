@@ -454,6 +454,17 @@ def test_embedded_elements_drop_no_text():
     assert texts("<script>a</script><style>b</style><textarea>c</textarea><title>d</title><p>One") == ["One"]
 
 
+def test_pages_without_marks(spark):
+    body = ("<p>A long enough paragraph of plain text, with a comma and a good number of words in it.</p>"
+            "<p>Another one of the same kind, which says a little more about nothing at all.</p>")
+    page = f"<nav><a href=x>Home</a></nav><div>{body}</div><footer>Contact us</footer>"
+    table = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    text = html_extract.extract_pages(table).first()["text"]
+    assert text.count("\n") == 1 and text.startswith("A long") and "Another" in text
+    marked = spark.createDataFrame([(1, "u", f"<article\nclass='x'>{body}</article>")], "page_id long, url string, html string")
+    assert "in=article" in html_extract.fit(marked).index
+
+
 def test_viterbi_is_best_sequence():
     from itertools import product
 
