@@ -7,13 +7,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from netwatch.llm.best_fit_packing import pack_documents
 from netwatch.llm.byte_bpe import encoding_digests
 from netwatch.llm.chat_format import conversation_digests, format_conversations
 from netwatch.llm.common import read_table
 from netwatch.llm.decontaminate import contaminated_pairs
+from netwatch.llm.hard_negatives import hard_negatives
 from netwatch.llm.html_extract import extract_pages
 from netwatch.llm.near_dedup import near_duplicates
+from netwatch.llm.periodic_runs import run_digests
 from netwatch.llm.quality_rules import MEASURES, SIGNALS, quality_verdicts
 from netwatch.llm.secret_scan import secret_report
 from netwatch.llm.token_counts import count_flat_tokens, write_flat_tokens
@@ -96,6 +100,26 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_checks(spark, folder)
 
 
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256."""
+    return run_digests(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr(
+        "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label"))
+    return hard_negatives(rows, F.expr("vec_id % 50 = 0"))
+
+
 #: A conversation whose texts are control strings, formatted beside the table.
 CONTROL_TURNS = "VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')"
 
@@ -149,3 +173,26 @@ WITH RECURSIVE split AS (
 )
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN roots USING (doc_id)
 """
+
+
+SQL["op13_hard_negatives"] = r"""
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, id, score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)::INTEGER AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
