@@ -10,7 +10,7 @@ Files are written by Spark's text writer with the end id as line separator: a ro
 bytes between are exactly the flat format, committed file by file on any store. Ids 0 and 1 are reserved (padding, end), so a vocabulary's
 ids are shifted by two.
 
-Defined results: an empty document counts one token, its end id; ids after the last separator of a file form an unfinished
+Defined results: a null text is empty; an empty document counts one token, its end id; ids after the last separator of a file form an unfinished
 document (``ended`` false); empty files have no documents; a trailing partial id is ignored.
 """
 
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netwatch.llm.common import running_totals, worker_store
-from netwatch.llm.token_files import WordIds
+from netwatch.llm.common import running_totals
+from netwatch.llm.word_ids import word_ids
 
 END_ID, RESERVED = 1, 2
 BLOCK_IDS = 1 << 19
@@ -35,16 +34,15 @@ BLOCK_IDS = 1 << 19
 
 def _flat(batches: Iterator[pa.RecordBatch], vocabulary, width: int) -> Iterator[pa.RecordBatch]:
     """Each text's shifted ids as bytes, without the end id."""
-    from tokenizers import Tokenizer
-
-    store, key = worker_store(), ("word ids", sha256(vocabulary.value).hexdigest())
-    if key not in store:
-        store[key] = WordIds(Tokenizer.from_buffer(vocabulary.value))
-    known = store[key]
+    known, most = word_ids(vocabulary.value), (1 << 8 * width) - 1 - RESERVED
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            found = known.encode([t or "" for t in batch.column(0).slice(at, 64).to_pylist()], 0)
-            ids = [(x[:-1] + np.uint64(RESERVED)).astype(f"<u{width}").tobytes() for x in found]
+        for at in range(0, batch.num_rows, 128):
+            ids = []
+            for found in known.encode([t or "" for t in batch.column(0).slice(at, 128).to_pylist()]):
+                x = np.frombuffer(found, "<u4")
+                if x.max(initial=0) > most:
+                    raise ValueError(f"id {x.max()} does not fit {width} bytes; pass width=4")
+                ids.append((x + np.uint32(RESERVED)).astype(f"<u{width}").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
 

@@ -5,21 +5,15 @@ each block, so that any block can be decoded on its own and all words of one sel
 escape word as they are. Segments are rows of a Parquet table, one Spark file per range of doc_id: Spark's writer commits whole files
 or none, on any store, also when executors are lost.
 
-Texts are cut at spaces and line feeds, which no token of the tokenizer can span (its pre-tokenizer drops white space, and its
-normaliser acts within words), and each distinct piece of a task goes through the tokenizer once.
-
 Defined results: a null text is empty, so it has the end id alone; rows without doc_id come first; rows that repeat a doc_id are
 ordered by text and all kept.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
-from hashlib import sha256
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netwatch.llm.common import worker_store
+from netwatch.llm.word_ids import word_ids
 
 BLOCK = 4096
 SEGMENT = 1 << 16
@@ -111,70 +105,13 @@ def unpack(words: np.ndarray, blocks: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-class WordIds(dict):
-    """Piece between spaces -> its ids; a full table becomes the older half and is refilled from it."""
-
-    LIMIT = 200_000
-    CUT = re.compile("[ \n]+")
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.older = tokenizer, {}
-
-    def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of pieces that the table lacks. Those that the older half lacks too are reduced to their roots, and the new roots
-        take one call of the library, joined by spaces; offsets tell which ids are whose."""
-        found, roots = {}, {}
-        for p in pieces:
-            ids = self.older.get(p)
-            if ids is not None:
-                found[p] = ids
-                continue
-            # The tokenizer lower-cases, and cuts between letters and a last comma or full stop.
-            root = p.lower() if p.isascii() else p
-            if root[-1:] in (",", ".") and root[:-1].isalpha():
-                root = root[:-1]
-            roots[p] = root
-        new = [r for r in {*roots.values(), ",", "."} if r not in self]
-        if new:
-            starts = np.cumsum([0] + [len(r) + 1 for r in new])
-            one = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-            places = np.fromiter(chain.from_iterable(one.offsets), np.int64, 2 * len(one)).reshape(-1, 2)[:, 0]
-            ids, ends = one.ids, np.searchsorted(places, starts).tolist()
-            self.update((r, tuple(ids[a:b])) for r, a, b in zip(new, ends, ends[1:]))
-        for p, root in roots.items():
-            cut = p[-1:] if p[-1:] in (",", ".") and p[:-1].isalpha() else ""
-            found[p] = self[root] + self[cut] if cut else self[root]
-        if len(self) + len(found) > self.LIMIT:
-            self.older = dict(self)
-            self.clear()
-        self.update((p, i) for p, i in found.items() if len(p) <= 100)
-        return found
-
-    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        """Ids of each text with the end id."""
-        cut = [self.CUT.split(t) for t in texts]
-        known = [list(map(self.get, c)) for c in cut]
-        open_ = [i for i, k in enumerate(known) if None in k]
-        if open_:
-            found = self.learn({p for i in open_ for p, k in zip(cut[i], known[i]) if k is None})
-            for i in open_:
-                known[i] = [found[p] if k is None else k for p, k in zip(cut[i], known[i])]
-        return [np.fromiter(chain(chain.from_iterable(k), (end_id,)), np.uint64) for k in known]
-
-
 def _write(batches: Iterator[pa.RecordBatch], vocabulary, end_id: int) -> Iterator[pa.RecordBatch]:
-    from tokenizers import Tokenizer
-
-    store, key = worker_store(), ("word ids", sha256(vocabulary.value).hexdigest())
-    if key not in store:
-        store[key] = WordIds(Tokenizer.from_buffer(vocabulary.value))
-    known = store[key]
+    known, end = word_ids(vocabulary.value), end_id.to_bytes(4, "little")
     part, start = TaskContext.get().partitionId(), 0
     docs, sizes, ids, held = [], [], [], 0
 
     def segment() -> pa.RecordBatch:
-        words, blocks = pack(np.concatenate(ids))
+        words, blocks = pack(np.frombuffer(b"".join(ids), "<u4").astype(np.uint64))
         return pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.int64()),
              pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
@@ -182,14 +119,13 @@ def _write(batches: Iterator[pa.RecordBatch], vocabulary, end_id: int) -> Iterat
             ["part", "start", "n_ids", "doc_ids", "sizes", "blocks", "words"])
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            some = batch.slice(at, 64)
-            for doc, found in zip(some.column(0).to_pylist(),
-                                  known.encode([t or "" for t in some.column(1).to_pylist()], end_id)):
+        for at in range(0, batch.num_rows, 128):
+            some = batch.slice(at, 128)
+            for doc, found in zip(some.column(0).to_pylist(), known.encode([t or "" for t in some.column(1).to_pylist()])):
                 docs.append(doc)
-                sizes.append(len(found))
-                ids.append(found)
-                held += len(found)
+                sizes.append(len(found) // 4 + 1)
+                ids += found, end
+                held += sizes[-1]
                 if held >= SEGMENT:
                     yield segment()
                     start += held
