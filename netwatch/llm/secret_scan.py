@@ -4,20 +4,25 @@ Patterns find assignments, access keys and hex strings. Beyond them every run of
 tested. Its encoding is inferred (decimal, hex, base 32, base 62 or base 64), its characters become numbers of that
 alphabet, and three tests ask whether they look drawn at random: chi-squared uniformity over the alphabet, the runs
 test about the middle of the alphabet, and the lag-1 serial correlation. The three deviates are combined into one
-score; random strings score low.
+score; random strings score low. They look at the eighth, the
+half and the quarter of the alphabet that a letter lies in.
 
-Whether a low score means anything depends on length, since short stretches of words can look random. So scores are
-compared with those of ordinary text of the same length band: the letters of every text are cut end to end into
-stretches, whose lengths go round the bands from one that the text's hash picks. That gives each candidate a p-value, and
-the Benjamini-Hochberg rule sets one score cutoff for each band that keeps the expected share of false findings below
-``rate``. All texts count for this, equal stretches and equal tokens once; the counts are a histogram of fixed size.
+Whether a low score means anything depends on length and encoding, since short stretches of words, and most runs of digits, can look
+random. So scores are compared with those of ordinary text of the same length band in the same alphabet: the characters of
+every text that belong to an alphabet are cut end to end into stretches, whose lengths go round the bands from one that the
+text's hash picks. That gives each candidate a p-value, and the Benjamini-Hochberg rule sets one score cutoff for each band and
+encoding that keeps the expected share of false findings below ``rate``. All texts count for this, equal stretches and equal
+tokens once; the counts are a histogram of fixed size.
 
 Positions are code points, ends exclusive. Findings of the battery that overlap a pattern's finding are left out.
-Defined results: a null text is empty; an empty corpus, or one without running text, gives no battery findings.
+Defined results: a null text is empty; an empty corpus, or one without running text of an encoding, gives no battery findings there. Rows
+without an id and repeated rows each have their result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,54 +74,98 @@ def base_spans(text: Column) -> Column:
         _spans(text, HEX, 2, lambda f, i: F.length(F.get(f["hits"], i)) >= 24)))
 
 
-def _alphabet(token: Column) -> Column:
-    """Characters of the inferred encoding, in their order of value."""
-    return (F.when(token.rlike("^[0-9]+$"), _DIGITS)
-            .when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _DIGITS + "abcdef")
-            .when(token.rlike("^[A-Z2-7]+=*$"), _UPPER + "234567")
-            .when(token.rlike("^[A-Z]?[a-z]+$"), _LOWER)
-            .when(token.rlike("^[A-Za-z0-9]+$"), _UPPER + _LOWER + _DIGITS)
-            .otherwise(_UPPER + _LOWER + _DIGITS + "+/"))
-
-
-def _battery(token: Column) -> Column:
-    """The combined score of a token: sum of the squared deviates of the three tests."""
-    def values(known: Column) -> Column:
-        plain = F.when(F.length(known["letters"]) <= 26, F.lower(known["core"])).otherwise(
-            F.translate(known["core"], "-_", "+/"))
-        return F.transform(F.regexp_extract_all(plain, F.lit("."), F.lit(0)),
-                           lambda c: (F.instr(known["letters"], c) - 1).cast("double"))
-
-    def tests(given: Column) -> Column:
-        x, k = given["x"], given["k"].cast("double")
-        n = F.size(x).cast("double")
-        # The i-th equal value in sorted order adds 2 i - 1, which sums up to the square of each count.
-        squares = F.aggregate(
-            F.sort_array(x), F.struct(F.lit(-1.0).alias("value"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")),
-            lambda acc, v: let(F.when(acc["value"] == v, acc["run"] + 1).otherwise(F.lit(1.0)), lambda run: F.struct(
-                v.alias("value"), run.alias("run"), (acc["sum"] + 2 * run - 1).alias("sum"))))["sum"]
-        freedom = k - 1
-        chi = (F.pow((squares * k / n - n) / freedom, F.lit(1 / 3)) - (1 - 2 / (9 * freedom))) / F.sqrt(2 / (9 * freedom))
-        half = (k - 1) / 2
-        above = F.size(F.filter(x, lambda v: v > half)).cast("double")
-        runs = 1 + F.size(F.filter(x, lambda v, i: (i > 0) & ((v > half) != (F.get(x, i - 1) > half)))).cast("double")
-        mean = 2 * above * (n - above) / n + 1
-        spread = (mean - 1) * (mean - 2) / (n - 1)
-        by_runs = F.when(spread > 0, (runs - mean) / F.sqrt(spread)).otherwise(10.0)
-        centre = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v) / n
-        variance = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - centre) * (v - centre))
-        lagged = F.aggregate(F.transform(x, lambda v, i: F.when(
-            i > 0, (v - centre) * (F.get(x, i - 1) - centre)).otherwise(0.0)), F.lit(0.0), lambda acc, v: acc + v)
-        serial = F.when(variance > 0, (lagged / variance + 1 / n) * F.sqrt(n)).otherwise(10.0)
-        return F.pow(F.greatest(chi, F.lit(0.0)), F.lit(2.0)) + by_runs * by_runs + serial * serial
-
-    given = let(F.struct(_alphabet(token).alias("letters"), F.regexp_replace(token, "=+$", "").alias("core")),
-                lambda known: F.struct(values(known).alias("x"), F.length(known["letters"]).alias("k")))
-    return F.when(F.length(F.regexp_replace(token, "=+$", "")) > 2, let(given, tests)).otherwise(F.lit(float(_TOP)))
-
-
-def _stretches(text: Column) -> Column:
-    """The letters of the text in consecutive stretches of the bands' lengths, null in place of those that the end cuts."""
+#: Encodings of the battery, each with its characters in their order of value.
+ENCODINGS = ("decimal", "hex", "base32", "base62", "base64")
+_ALPHABETS = (_DIGITS, _DIGITS + "abcdef", _UPPER + "234567", _UPPER + _LOWER + _DIGITS, _UPPER + _LOWER + _DIGITS + "+/")
+_SIZES = tuple(len(x) for x in _ALPHABETS)
+#: The eighth of its alphabet that each value lies in, and the share of values in each eighth; base 64 has base 62's eighths. The 20 letters
+#: of a short token would leave less than one to a letter, too few for chi-squared.
+_CELLS = tuple("".join(str(min(8 * v // n, 7)) for v in range(len(x))) for x, n in zip(_ALPHABETS, (*_SIZES[:-1], _SIZES[-2])))
+_SHARES = tuple(tuple(cells.count(str(i)) / len(cells) for i in range(8)) for cells in _CELLS)
+#: Letters that are worked on at once: the octal digits of a long, the last of which the next ones begin with.
+_STEP_OF, _DIGIT = 20, int("1" * 21, 8)
+
+
+def _encoding(token: Column) -> Column:
+    """The inferred encoding's number."""
+    return (F.when(token.rlike("^[0-9]+=*$"), 0).when(token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)=*$"), 1)
+            .when(token.rlike("^[A-Z2-7]+=*$"), 2).when(token.rlike("^[A-Za-z0-9]+=*$"), 3).otherwise(4))
+
+
+def _sums(core: Column, encoding: Column) -> Column:
+    """What the three tests need of a token: its letters become octal digits (the eighth of the alphabet), 21 digits a long, and
+    counts of letters and of steps between neighbours become counts of bits."""
+    def at_once(cells: Column) -> Column:
+        n = F.length(cells)
+        parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _STEP_OF).cast("int")), lambda j: let(
+            F.substr(cells, j * _STEP_OF + 1, F.lit(_STEP_OF + 1)), lambda part: F.struct(
+                F.conv(part, 8, 10).cast("bigint").alias("x"), F.length(part).alias("m"))))
+        return F.struct(n.cast("double").alias("n"), F.transform(parts, bits).alias("parts"),
+                        F.substr(cells, F.lit(1), F.lit(1)).alias("first"), F.substr(cells, n, F.lit(1)).alias("last"))
+
+    def bits(part: Column) -> Column:
+        plane = lambda i: F.shiftright(part["x"], i).bitwiseAND(F.lit(_DIGIT))
+        # The 21st letter belongs to the next part; pairs are told by their second letter.
+        own = F.when(part["m"] > _STEP_OF, F.lit(_DIGIT - 1)).otherwise(F.lit(_DIGIT))
+        pairs = F.call_function("shiftleft", F.lit(1).cast("bigint"), 3 * (part["m"] - 1)) - 1
+        return F.struct(*[plane(i).alias(name) for i, name in ((2, "h"), (1, "m"), (0, "l"))], own.alias("own"), pairs.alias("pairs"))
+
+    def count(a: Column, p: Column) -> Column:
+        ones = lambda *planes: F.bit_count(reduce(Column.bitwiseAND, planes)).cast("double")
+        h, m, low, own, before = p["h"], p["m"], p["l"], p["own"], lambda x: F.shiftright(x, 3)
+        return F.struct(*[(a[name] + value).alias(name) for name, value in (
+            ("h", ones(h, own)), ("m", ones(m, own)), ("l", ones(low, own)), ("hm", ones(h, m, own)), ("hl", ones(h, low, own)),
+            ("ml", ones(m, low, own)), ("hml", ones(h, m, low, own)), ("turns", ones(h.bitwiseXOR(before(h)), p["pairs"])),
+            ("products", 4 * ones(h, before(h)) + 2 * ones(h, before(m)) + 2 * ones(m, before(h)) + ones(m, before(m))))])
+
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("h", "m", "l", "hm", "hl", "ml", "hml", "turns", "products")])
+    cells = F.when(encoding == 0, F.translate(core, _ALPHABETS[0], _CELLS[0]))
+    for e in range(1, len(ENCODINGS)):
+        cells = cells.when(encoding == e, F.translate(core, _ALPHABETS[e], _CELLS[e]))
+    return let(let(cells, at_once), lambda k: F.struct(
+        k["n"].alias("n"), F.aggregate(k["parts"], zero, count).alias("of"),
+        *[F.floor(k[x].try_cast("int") / 2).cast("double").alias(x) for x in ("first", "last")]))
+
+
+def _score(sums: Column, encoding: Column) -> Column:
+    """The combined score: the sum of the squared deviates of the three tests. Chi-squared uniformity of the letters over the eighths
+    of the alphabet counts only above its expectation; runs are about the middle of the alphabet, and the serial correlation is that of
+    the quarters of the alphabet that letters lie in."""
+    def cells(s: Column) -> Column:
+        h, m, low, hm, hl, ml, hml = (s["of"][x] for x in ("h", "m", "l", "hm", "hl", "ml", "hml"))
+        return F.array(s["n"] - h - m - low + hm + hl + ml - hml, low - hl - ml + hml, m - hm - ml + hml, ml - hml,
+                       h - hm - hl + hml, hl - hml, hm - hml, hml)
+
+    def deviates(s: Column) -> Column:
+        n, above, of = s["n"], s["of"]["h"], s["of"]
+        freedom = 7
+        expected = F.get(F.array(*[F.array(*[F.lit(1 / x) for x in shares]) for shares in _SHARES]), encoding)
+        squares = F.aggregate(F.zip_with(cells(s), expected, lambda c, e: c * c * e), F.lit(0.0), lambda a, x: a + x)
+        chi = (F.cbrt((squares / n - n) / freedom) - (1 - 2 / (9 * freedom))) / (2 / (9 * freedom)) ** 0.5
+        return F.struct(
+            F.greatest(chi, F.lit(0.0)).alias("chi"), n.alias("n"), (1 + of["turns"]).alias("runs"), s["first"].alias("first"),
+            s["last"].alias("last"), (2 * above * (n - above) / n + 1).alias("mean"), of["products"].alias("products"),
+            ((2 * of["h"] + of["m"]) / n).alias("centre"), (4 * of["h"] + of["m"] + 4 * of["hm"]).alias("square"))
+
+    def combine(d: Column) -> Column:
+        spread = (d["mean"] - 1) * (d["mean"] - 2) / (d["n"] - 1)
+        by_runs = F.when(spread > 0, F.pow(d["runs"] - d["mean"], F.lit(2.0)) / spread).otherwise(100.0)
+        variance = d["square"] - d["n"] * d["centre"] * d["centre"]
+        lagged = d["products"] - d["centre"] * ((d["n"] + 1) * d["centre"] - d["first"] - d["last"])
+        serial = F.when(variance > 1e-6, F.pow(lagged / variance + 1 / d["n"], F.lit(2.0)) * d["n"]).otherwise(100.0)
+        return d["chi"] * d["chi"] + by_runs + serial
+    return let(let(sums, deviates), combine)
+
+
+def _battery(token: Column, encoding: Column) -> Column:
+    """The score of a token in its encoding; tokens of two characters or fewer have the highest."""
+    core = F.regexp_replace(token, "=+$", "")
+    plain = F.when(encoding == 1, F.lower(core)).otherwise(F.translate(core, "-_", "+/"))
+    return F.when(F.length(core) > 2, _score(_sums(plain, encoding), encoding)).otherwise(F.lit(float(_TOP)))
+
+
+def _cut_up(letters: Column) -> Column:
+    """Consecutive stretches of the bands' lengths, null in place of those that the end cuts."""
     rounds = []
     for first in range(len(BANDS)):
         lengths = BANDS[first:] + BANDS[:first]
@@ -126,9 +175,24 @@ def _stretches(text: Column) -> Column:
     def cut(known: Column) -> Column:
         return F.flatten(F.transform(known["pieces"], lambda piece: F.transform(known["round"], lambda r: F.when(
             F.length(piece) >= r["start"] + r["n"] - 1, F.substr(piece, r["start"], r["n"])))))
-    return let(F.lower(F.regexp_replace(text, "[^A-Za-z]+", "")), lambda letters: let(F.struct(
-        F.regexp_extract_all(letters, F.lit(f".{{1,{sum(BANDS)}}}"), F.lit(0)).alias("pieces"),
-        F.get(F.array(*rounds), F.pmod(F.xxhash64(letters), F.lit(len(BANDS))).cast("int")).alias("round")), cut))
+    return let(letters, lambda known: let(F.struct(
+        F.regexp_extract_all(known, F.lit(f".{{1,{sum(BANDS)}}}"), F.lit(0)).alias("pieces"),
+        F.get(F.array(*rounds), F.pmod(F.xxhash64(known), F.lit(len(BANDS))).cast("int")).alias("round")), cut))
+
+
+#: What each encoding's ordinary stretches leave out of a text's Latin letters and digits. Base 64 shares base 62's.
+_OTHERS = ("[^0-9]+", "[^0-9a-f]+", "[^A-Z2-7]+", None)
+_MARKS = "".join(chr(c) for c in [9, 10, 13, *range(32, 127)] if not chr(c).isalnum())
+
+
+def _stretches(text: Column) -> Column:
+    """(token, encoding) of a text's ordinary stretches: its characters of each alphabet, end to end."""
+    def of(plain: Column, others: str | None, encoding: int) -> Column:
+        return F.transform(_cut_up(F.regexp_replace(plain, others, "") if others else plain), lambda t: F.struct(
+            t.alias("token"), F.lit(encoding).alias("encoding")))
+    # Most of what goes are the marks of ASCII, which need no pattern.
+    plain = F.regexp_replace(F.translate(text, _MARKS, ""), "[^A-Za-z0-9]+", "")
+    return let(plain, lambda p: F.concat(*[of(p, others, e) for e, others in enumerate(_OTHERS)]))
 
 
 def _is_candidate(token: Column) -> Column:
@@ -146,45 +210,58 @@ def _bucket(score: Column) -> Column:
 
 
 def calibrate(docs: DataFrame, text: str = "text", rate: float = 0.05) -> DataFrame:
-    """(band, cutoff): score buckets up to the cutoff are findings of that length band. At most one row per band."""
+    """(band, encoding, cutoff): score buckets up to the cutoff are findings of that length band and encoding. At most one row for
+    each of both."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     tokens = F.transform(F.filter(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)), _is_candidate),
-                         lambda t: F.struct(t.alias("token"), F.lit(False).alias("plain")))
-    plain = F.transform(_stretches(body), lambda t: F.struct(t.alias("token"), F.lit(True).alias("plain")))
-    scored = (docs.select(F.explode(F.concat(tokens, plain)).alias("x"))
-              .where(F.col("x.token").isNotNull())
-              .select("x.plain", F.xxhash64("x.token").alias("hash"), _band(F.length("x.token")).alias("band"),
-                      _bucket(_battery(F.col("x.token"))).alias("bucket"))
+                         lambda t: F.struct(t.alias("token"), _encoding(t).alias("encoding"), F.lit(False).alias("plain")))
+    plain = F.transform(_stretches(body), lambda t: F.struct(t["token"].alias("token"), t["encoding"].alias("encoding"),
+                                                             F.lit(True).alias("plain")))
+    found = (docs.select(F.explode(F.concat(tokens, plain)).alias("x")).where(F.col("x.token").isNotNull())
+             .select("x.*", _band(F.length("x.token")).alias("band")))
+    base62, base64 = ENCODINGS.index("base62"), ENCODINGS.index("base64")
+    # Ordinary base 62 stretches stand for base 64 as well: the same sums, judged by its shares.
+    core = F.regexp_replace("token", "=+$", "")
+    spelt = F.when(F.col("encoding") == 1, F.lower(core)).otherwise(F.translate(core, "-_", "+/"))
+    scores = let(_sums(spelt, F.col("encoding")), lambda s: F.array(
+        F.struct(F.col("encoding").alias("encoding"), _bucket(_score(s, F.col("encoding"))).alias("bucket")),
+        F.when(F.col("plain") & (F.col("encoding") == base62), F.struct(
+            F.lit(base64).alias("encoding"), _bucket(_score(s, F.lit(base64))).alias("bucket")))))
+    top = F.array(F.struct(F.col("encoding").alias("encoding"), F.lit(_TOP).alias("bucket")))
+    scored = (found.select("plain", F.xxhash64("token").alias("hash"), "band", F.explode(
+                  F.when(F.length(core) > 2, scores).otherwise(top)).alias("s"))
+              .where(F.col("s").isNotNull()).select("plain", "hash", "band", "s.encoding", "s.bucket")
               .distinct())  # copies of a text, a passage or a token are no further evidence
-    counted = scored.groupBy("band", "bucket").agg(
+    counted = scored.groupBy("band", "encoding", "bucket").agg(
         F.sum(F.when(F.col("plain"), 1).otherwise(0)).alias("plain"),
         F.sum(F.when(F.col("plain"), 0).otherwise(1)).alias("candidates"))
-    along = Window.partitionBy("band").orderBy("bucket")
-    whole = Window.partitionBy("band")
+    whole = Window.partitionBy("band", "encoding")
+    along = whole.orderBy("bucket")
     ranked = counted.select(
-        "band", "bucket", F.sum("plain").over(along).alias("nulls"), F.sum("plain").over(whole).alias("all_nulls"),
+        "band", "encoding", "bucket", F.sum("plain").over(along).alias("nulls"), F.sum("plain").over(whole).alias("all_nulls"),
         F.sum("candidates").over(along).alias("found"), F.sum("candidates").over(whole).alias("tested"))
     # p-value (nulls + 1) / (all_nulls + 1) against rate * found / tested, without divisions.
     passes = (F.col("nulls") + 1) * F.col("tested") <= rate * F.col("found") * (F.col("all_nulls") + 1)
     return (ranked.where(passes & (F.col("all_nulls") > 0) & (F.col("found") > 0))
-            .groupBy("band").agg(F.max("bucket").alias("cutoff")))
+            .groupBy("band", "encoding").agg(F.max("bucket").alias("cutoff")))
 
 
-def random_spans(text: Column, cutoffs: dict[int, int]) -> Column:
-    """Spans of the tokens that the battery finds random under the cutoffs (band -> score bucket)."""
+def random_spans(text: Column, cutoffs: dict[tuple[int, int], int]) -> Column:
+    """Spans of the tokens that the battery finds random under the cutoffs ((band, encoding) -> score bucket)."""
     if not cutoffs:
         return _no_spans()
-    table = F.array(*[F.lit(cutoffs.get(b, -1)) for b in range(len(BANDS))])
+    table = F.array(*[F.lit(cutoffs.get((b, e), -1)) for b in range(len(BANDS)) for e in range(len(ENCODINGS))])
 
     def passes(found: Column, i: Column) -> Column:
-        token = F.get(found["hits"], i)
-        return _is_candidate(token) & (_bucket(_battery(token)) <= F.get(table, _band(F.length(token))))
+        return let(F.get(found["hits"], i), lambda token: let(_encoding(token), lambda e: _is_candidate(token) & (
+            _bucket(_battery(token, e)) <= F.get(table, _band(F.length(token)) * len(ENCODINGS) + e))))
     return _spans(text, TOKEN, 3, passes)
 
 
 def find_secrets(docs: DataFrame, text: str = "text", rate: float = 0.05) -> DataFrame:
     """All columns as struct ``doc``, the text, base spans and all spans (start, kind number, end)."""
-    cutoffs = {r["band"]: r["cutoff"] for r in calibrate(docs, text, rate).collect()}  # seven rows at most
+    # At most one row for each band and encoding.
+    cutoffs = {(r["band"], r["encoding"]): r["cutoff"] for r in calibrate(docs, text, rate).collect()}
     body = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     found = body.select("doc", "_text", base_spans(F.col("_text")).alias("base"),
                         random_spans(F.col("_text"), cutoffs).alias("random"))

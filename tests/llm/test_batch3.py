@@ -291,3 +291,58 @@ def test_walks_stop_early():
 def test_products_are_exact_for_large_components():
     a = np.array([[3_000_000_000, -1]]), np.array([[3_000_000_001, 7]])
     assert hard_negatives.products(*a).tolist() == [[3_000_000_000 * 3_000_000_001 - 7]]
+
+
+# ---- secret scan: the battery's tests
+
+def battery(token, encoding):
+    from netwatch.llm import secret_scan
+    letters, shared = secret_scan._ALPHABETS[encoding], (10, 16, 32, 62, 62)[encoding]
+    token = token.rstrip("=")
+    token = token.lower() if encoding == 1 else token.replace("-", "+").replace("_", "/")
+    x = np.array([letters.index(c) for c in token], float)
+    n, freedom = len(x), 7
+    cells = lambda v: np.bincount(np.minimum(8 * np.asarray(v) // shared, 7).astype(int), minlength=8)
+    expected = n * cells(np.arange(len(letters))) / len(letters)
+    chi = ((((cells(x) - expected) ** 2 / expected).sum() / freedom) ** (1 / 3) - (1 - 2 / (9 * freedom))) / np.sqrt(2 / (9 * freedom))
+    x = np.minimum(4 * x // shared, 3)
+    high = x >= 2
+    mean = 2 * high.sum() * (~high).sum() / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    runs = 1 + (high[1:] != high[:-1]).sum()
+    by_runs = (runs - mean) ** 2 / spread if spread > 0 else 100
+    d = x - x.mean()
+    serial = n * ((d[1:] * d[:-1]).sum() / (d ** 2).sum() + 1 / n) ** 2 if (d ** 2).sum() > 1e-6 else 100
+    return max(chi, 0) ** 2 + by_runs + serial
+
+
+def test_three_tests_against_numpy(spark):
+    from netwatch.llm import secret_scan
+    rng, rows = random.Random(2), []
+    for encoding, letters in enumerate(secret_scan._ALPHABETS):
+        for n in (20, 21, 40, 80, 300):
+            for some in (letters, letters[:3], letters[:1]):
+                rows.append((encoding, "".join(rng.choice(some) for _ in range(n)) + rng.choice(["", "==", "="])))
+    rows += [(1, "0123456789ABCDEFABCD"), (4, "ab-_" * 10)]
+    table = spark.createDataFrame(rows, "e int, t string")
+    got = table.select("e", "t", secret_scan._battery(F.col("t"), F.col("e")).alias("score")).collect()
+    for r in got:
+        assert r.score == pytest.approx(battery(r.t, r.e), rel=1e-9, abs=1e-9), r
+
+
+def test_each_encoding_has_its_own_ordinary_text(spark):
+    """Runs of digits are everywhere here and look random: they are no findings, hex and base 62 strings are."""
+    rng = random.Random(9)
+    words = "the ing ion ent her tha ere ati ter hat face bead cafe".split()
+    text = lambda: " ".join("".join(rng.choice(words) for _ in range(2)) + (
+        f" {rng.randrange(10 ** 9)}" if rng.random() < 0.3 else "") for _ in range(300))
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, text()) for i in range(120)] + [(1000 + i, f"number {pick('0123456789', 40)} end") for i in range(20)]
+    rows += [(2000 + i, f"value {pick(letters, 44)} end") for i in range(20)]
+    from netwatch.llm import secret_scan
+    found = {r.doc_id: r.spans for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select(
+        "doc.doc_id", F.filter("spans", lambda s: s["kind"] == 3).alias("spans")).collect()}
+    assert sum(bool(found[1000 + i]) for i in range(20)) <= 2
+    assert sum(bool(found[2000 + i]) for i in range(20)) >= 17
+    assert sum(bool(found[i]) for i in range(120)) <= 3
