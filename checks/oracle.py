@@ -867,20 +867,19 @@ SQL["format_notification"] = f"""WITH {ALERTS} SELECT event_id, CASE severity WH
   'SEC-' || alert_id AS ticket_id FROM alerts"""
 
 
-# --- streams: the windows that are closed ten seconds after the newest packet ---------------------
+# --- streams: all windows, closed at the end of the source ---------------------
 
-def _closed(window: int, slide: int) -> str:
+def _windows(window: int, slide: int) -> str:
     return f"""WITH {PACKETS}, spread AS (
   SELECT p.*, unnest(generate_series(sec // {slide} * {slide} + {slide}, sec // {slide} * {slide} + {window}, {slide}))
     AS window_end FROM packets p),
 r AS ({measures('sensor_id, window_end', 'spread', f'{window}.0')})
-SELECT *, window_end - {window} AS window_start FROM r
-WHERE window_end <= (SELECT max(us) / 1000000 - 10 FROM packets)"""
+SELECT *, window_end - {window} AS window_start FROM r"""
 
 
-SQL["stream_features_1s"] = _closed(1, 1)
-SQL["stream_features_5s"] = _closed(5, 1)
-SQL["stream_features_60s"] = _closed(60, 10)
+SQL["stream_features_1s"] = _windows(1, 1)
+SQL["stream_features_5s"] = _windows(5, 1)
+SQL["stream_features_60s"] = _windows(60, 1)
 SQL["run_stream"] = f"""WITH {VECTORS} SELECT {FINGERPRINT} AS attack_type, count(*) AS windows,
   CAST(sum(packet_count) AS BIGINT) AS packets FROM vectors
 WHERE window_start + 1 <= (SELECT max(us) / 1000000 - 10 FROM packets) GROUP BY 1"""
@@ -939,3 +938,8 @@ al AS (SELECT a.*, CASE WHEN severity IN ('critical', 'emergency') THEN 'critica
 SELECT sensor_id, t, attack_type, severity, unnest(CASE WHEN decision_reason = 'critical_alert_policy' THEN ips[1:5]
     ELSE [NULL] END) AS target_ip, decision_reason,
   CASE WHEN decision_reason = 'critical_alert_policy' THEN 'monitor_only' END AS action_status FROM al"""
+
+# --- streams closed at the end of their source give what the batch gives ---------------------------
+
+SQL["stream_alert_flow"] = SQL["alert_flow"]
+SQL["stream_vote"] = SQL["detections_with_context"]

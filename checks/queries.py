@@ -852,6 +852,7 @@ def format_notification(spark, sf_dir):
 # --- streams -------------------------------------------------------------------------------------
 
 from netwatch.streaming import dedup as sd  # noqa: E402
+from netwatch.streaming import detection as sx  # noqa: E402
 from netwatch.streaming import features as sf  # noqa: E402
 from netwatch.streaming import run as sr  # noqa: E402
 
@@ -879,16 +880,16 @@ def stream_of(spark, sf_dir, name):
 
 def _stream_features(window, slide):
     def run(spark, sf_dir):
-        packets = tt.packets_from(stream_of(spark, sf_dir, "lineitem"))
+        closing = sr.Closing(tt.packets_from(stream_of(spark, sf_dir, "lineitem")))
         path = fresh(spark, "stream")
-        sr.run_to_table(sf.stream_features(packets, window, slide), path)
+        sr.run_to_table(sf.stream_features(closing.source, window, slide), path, closing=closing)
         return rounded(spark.read.parquet(path))
     return run
 
 
 QUERIES["stream_features_1s"] = _stream_features(1, 1)
 QUERIES["stream_features_5s"] = _stream_features(5, 1)
-QUERIES["stream_features_60s"] = _stream_features(60, 10)
+QUERIES["stream_features_60s"] = _stream_features(60, 1)
 
 
 @query
@@ -911,13 +912,35 @@ def run_stream(spark, sf_dir):
 @query
 def stream_alert_dedup(spark, sf_dir):
     sd.use_rocksdb(spark)
-    rows = tt.alerts_from(stream_of(spark, sf_dir, "events")).select(
-        "sensor_id", "event_id", "t", "ts", "attack_type", "severity", "is_anomaly")
+    closing = sr.Closing(tt.alerts_from(stream_of(spark, sf_dir, "events")).select(
+        "sensor_id", "event_id", "t", "ts", "attack_type", "severity", "is_anomaly"))
     path = fresh(spark, "deduplicated")
-    sr.run_to_table(sd.stream_alert_dedup(rows, 7200, ties=["event_id"]), path)
+    sr.run_to_table(sd.stream_alert_dedup(closing.source, 7200, ties=["event_id"]), path, closing=closing)
     return spark.read.parquet(path).select("sensor_id", "t", "event_id", "attack_type", "severity")
 
 
+@query
+def stream_alert_flow(spark, sf_dir):
+    """``alert_flow`` on a stream of packets, closed at the end of the source."""
+    closing = sr.Closing(tt.packets_from(stream_of(spark, sf_dir, "lineitem")))
+    path = fresh(spark, "stream-alerts")
+    sr.run_to_table(sx.stream_alerts(closing.source, gap=10).select(
+        "sensor_id", "t", "attack_type", "severity", "target_ip", "decision_reason", "action_status"), path, closing=closing)
+    return rounded(spark.read.parquet(path))
+
+
+@query
+def stream_vote(spark, sf_dir):
+    """Features, endpoints and the vote of every one-second window of a stream."""
+    sd.use_rocksdb(spark)
+    closing = sr.Closing(tt.packets_from(stream_of(spark, sf_dir, "lineitem")))
+    path = fresh(spark, "stream-votes")
+    found = sx.stream_vote(ru.heuristic_scores(sf.stream_windows(closing.source)))
+    sr.run_to_table(found.select("sensor_id", "window_start", "packet_rate", "packet_sample_count", "protocol",
+                                 joined("source_ips"), "attack_type", "anomaly_score"), path, closing=closing)
+    return rounded(spark.read.parquet(path))
+
+
 # --- models --------------------------------------------------------------------------------------
 
 from netwatch.ml import detectors as md  # noqa: E402

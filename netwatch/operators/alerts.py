@@ -41,6 +41,10 @@ def alert_text(detections: DataFrame) -> DataFrame:
     })
 
 
+def alert_id(keys: Sequence[str]) -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", *keys, F.col("t").cast("string")), 256), 1, 8)
+
+
 def _emit(rows: DataFrame, keys: Sequence[str], ties: Sequence[str], gap: int,
           block_seconds: int) -> DataFrame:
     """The first row of each emitted second of each key.
@@ -54,8 +58,7 @@ def _emit(rows: DataFrame, keys: Sequence[str], ties: Sequence[str], gap: int,
         F.min_by(F.struct(*others), F.struct(*ties)).alias("_row")), "alert-candidates")
     emitted = emissions(firsts.select(*keys, "t"), keys, "t", gap, block_seconds)
     alerts = firsts.join(emitted, [*keys, "t"], "left_semi").select(*keys, "t", "_row.*")
-    return alerts.withColumn("alert_id", F.substring(
-        F.sha2(F.concat_ws("|", *keys, F.col("t").cast("string")), 256), 1, 8))
+    return alerts.withColumn("alert_id", alert_id(keys))
 
 
 def create_alerts(
@@ -70,7 +73,13 @@ def create_alerts(
     kind = F.coalesce("attack_type", F.lit(""))
     keyed = detections.where("is_anomaly").withColumn(
         "dedup_key", F.md5(F.concat(kind, F.lit(":"), F.coalesce("severity", F.lit("")))))
-    alerts = _emit(keyed, [*keys, "dedup_key"], list(ties) or ["t"], gap, block_seconds)
+    return alert_fields(_emit(keyed, [*keys, "dedup_key"], list(ties) or ["t"], gap, block_seconds), keys)
+
+
+def alert_fields(alerts: DataFrame, keys: Sequence[str] = ("sensor_id",)) -> DataFrame:
+    """What an alert says besides its detection: text, technique, advice, status and interval."""
+    if "alert_id" not in alerts.columns:
+        alerts = alerts.withColumn("alert_id", alert_id(keys))
     # A detection's own interval and sources stay; the event second and the default source stand in where it has none.
     given = lambda name, default: (
         F.coalesce(F.col(name).cast("long"), default) if name in alerts.columns else default)

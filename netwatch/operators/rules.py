@@ -281,38 +281,49 @@ def confidence(score: Column, agreeing: Column, threshold: float = 0.45) -> Colu
     return F.least(F.lit(1.0), F.greatest(F.lit(0.05), raw))
 
 
-def ensemble_vote(
-    scored: DataFrame, keys=("sensor_id",), seconds: str = "window_start", ties=(),
-    threshold: float = 0.45, stacker: str | None = None,
-) -> DataFrame:
-    """Combine three model scores into a detection.
-
-    The sustained-attack bonus needs only whether the previous final score exceeded 0.4, and that is
-    known without the bonus itself, so it is a plain lag and not a recursion.
-    """
+def vote_terms(scored: DataFrame, threshold: float = 0.45, stacker: str | None = None) -> DataFrame:
+    """The part of the vote that needs one row only. ``vote_hot`` tells whether its final score will exceed 0.4, which holds whether or
+    not the bonus for a sustained attack is added."""
     base = (F.col(stacker) if stacker else
             reduce(lambda a, b: a + b, [F.col(s) * w for s, w in zip(MODEL_SCORES, MODEL_WEIGHTS)]))
-    floor = threshold + 0.05
     f = fingerprint(scored).withColumn("models_agreeing", models_above())
     k = F.col("models_agreeing")
-    f = f.withColumn("_s", base).withColumn(
-        "_s", F.when((k == 3) & (F.col("_s") > 0.3), F.least(F.lit(1.0), F.col("_s") + 0.05))
-        .when((k == 1) & (F.col("_s") > 0.35), F.col("_s") * 0.80)
-        .when(k == 0, F.col("_s") * 0.5).otherwise(F.col("_s")))
-    f = f.withColumn("_floored", (F.col("fingerprint") != "unknown") & (k >= 2))
-    hot = (F.col("_s") > 0.4) | (F.col("_floored") & F.lit(floor > 0.4))
-    f = lagged(f, keys, seconds, ties, {"_was_hot": hot})
-    smoothed = F.when(F.coalesce(F.col("_was_hot"), F.lit(False)) & (F.col("_s") > 0.4),
-                      F.least(F.lit(1.0), F.col("_s") + 0.02)).otherwise(F.col("_s"))
-    f = f.withColumn("anomaly_score", F.when(
-        F.col("_floored"), F.greatest(smoothed, F.lit(floor))).otherwise(smoothed))
+    f = f.withColumn("vote_base", base).withColumn(
+        "vote_base", F.when((k == 3) & (F.col("vote_base") > 0.3), F.least(F.lit(1.0), F.col("vote_base") + 0.05))
+        .when((k == 1) & (F.col("vote_base") > 0.35), F.col("vote_base") * 0.80)
+        .when(k == 0, F.col("vote_base") * 0.5).otherwise(F.col("vote_base")))
+    f = f.withColumn("vote_floored", (F.col("fingerprint") != "unknown") & (k >= 2))
+    return f.withColumn("vote_hot", (F.col("vote_base") > 0.4) | (F.col("vote_floored") & F.lit(threshold + 0.05 > 0.4)))
+
+
+def vote_result(terms: DataFrame, threshold: float = 0.45) -> DataFrame:
+    """The detection, from the row's own terms and ``was_hot``, the ``vote_hot`` of the row before (null without one)."""
+    k = F.col("models_agreeing")
+    smoothed = F.when(F.coalesce(F.col("was_hot"), F.lit(False)) & (F.col("vote_base") > 0.4),
+                      F.least(F.lit(1.0), F.col("vote_base") + 0.02)).otherwise(F.col("vote_base"))
+    f = terms.withColumn("anomaly_score", F.when(
+        F.col("vote_floored"), F.greatest(smoothed, F.lit(threshold + 0.05))).otherwise(smoothed))
     score = F.col("anomaly_score")
     return f.withColumns({
         "is_anomaly": score >= threshold,
         "attack_type": F.when(score < threshold, "none").otherwise(F.col("fingerprint")),
         "severity": severity_ladder(score, k, threshold),
         "confidence": confidence(score, k, threshold),
-    }).drop("_s", "_floored", "_was_hot")
+    }).drop("vote_base", "vote_floored", "vote_hot", "was_hot")
+
+
+def ensemble_vote(
+    scored: DataFrame, keys=("sensor_id",), seconds: str = "window_start", ties=(),
+    threshold: float = 0.45, stacker: str | None = None,
+) -> DataFrame:
+    """Combine three model scores into a detection.
+
+    The sustained-attack bonus needs only whether the previous final score exceeded 0.4, and that is
+    known without the bonus itself, so it is a plain lag and not a recursion. Streams keep that bit in state instead
+    (``streaming.detection``).
+    """
+    terms = vote_terms(scored, threshold, stacker)
+    return vote_result(lagged(terms, keys, seconds, ties, {"was_hot": F.col("vote_hot")}), threshold)
 
 
 def temporal_smoothing(scored: DataFrame, score: str, final_hot: Column, keys, seconds: str,
