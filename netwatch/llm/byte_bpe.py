@@ -61,11 +61,17 @@ class Transducer:
         self.whole: dict[int, bool] = {}
         self.reset()
 
-    def reset(self) -> None:
+    def reset(self, keep: tuple[int, bytes, tuple] | None = None) -> int:
+        """Empties the tables. A state to go on from is kept; its new number is returned."""
         self.ids: dict[tuple[int, bytes], int] = {(-1, b""): 0}
         # Last emitted token, bytes since, and (start, tokens up to it) of each start that can still be used.
         self.nodes: list[tuple[int, bytes, tuple]] = [(-1, b"", ((0, ()),))]
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        if keep is None or keep[:2] == (-1, b""):
+            return 0
+        self.ids[keep[:2]] = 1
+        self.nodes.append(keep)
+        return 1
 
     def merged(self, text: bytes) -> list[bytes]:
         """BPE by definition: join the pair of lowest rank, leftmost first. Only ever called on one or two tokens."""
@@ -135,17 +141,18 @@ class Transducer:
         """Ids of one pre-token. An entry of the vocabulary stands for itself."""
         if piece in self.ranks:
             return (self.ranks[piece],)
-        if len(self.nodes) > self.limit:
-            self.reset()
-        state, out, moves = 0, (), self.moves
+        state, out, moves = 0, [], self.moves
         for byte in piece:
             try:
                 state, emitted = moves[state << 8 | byte]
             except KeyError:
+                if len(self.nodes) > self.limit:
+                    state = self.reset(self.nodes[state])
+                    moves = self.moves
                 state, emitted = self.move(state, byte)
             if emitted:
                 out += emitted
-        return out + self.nodes[state][2][-1][1]
+        return (*out, *self.nodes[state][2][-1][1])
 
 
 class Pieces(dict):
@@ -184,12 +191,26 @@ class Pieces(dict):
         return ids
 
 
+class _Whole(dict):
+    """Id -> its text if it leaves the empty state empty, else None; worked out on first use."""
+
+    def __init__(self, decoder: StreamDecoder):
+        super().__init__()
+        self.decoder = decoder
+
+    def __missing__(self, i: int) -> str | None:
+        text, rest = self.decoder._walk(self.decoder.table[i])
+        self[i] = None if rest else text
+        return self[i]
+
+
 class StreamDecoder:
     """Incremental decoder: ``feed`` takes any slice of ids and returns the complete characters so far."""
 
     def __init__(self, table: dict[int, bytes]):
         self.table, self.pending = table, b""
         self.known: dict[tuple[bytes, int], tuple[str, bytes]] = {}
+        self.whole = _Whole(self)
 
     @staticmethod
     def _needed(first: int) -> tuple[int, int, int]:
@@ -222,6 +243,10 @@ class StreamDecoder:
         return "".join(out), b""
 
     def feed(self, ids: Iterable[int]) -> str:
+        ids = list(ids)
+        whole = list(map(self.whole.__getitem__, ids))
+        if not self.pending and None not in whole:  # no sequence is open anywhere
+            return "".join(whole)
         out, pending, known = [], self.pending, self.known
         for i in ids:
             step = known.get((pending, i))

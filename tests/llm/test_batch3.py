@@ -346,3 +346,31 @@ def test_each_encoding_has_its_own_ordinary_text(spark):
     assert sum(bool(found[1000 + i]) for i in range(20)) <= 2
     assert sum(bool(found[2000 + i]) for i in range(20)) >= 17
     assert sum(bool(found[i]) for i in range(120)) <= 3
+
+
+# ---- byte-level BPE of long pre-tokens
+
+def test_long_pre_tokens_take_linear_time():
+    import time
+
+    import tiktoken
+
+    from netwatch.llm import byte_bpe
+    content = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ranks = byte_bpe.parse_ranks(content)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ") for _ in range(30_000))
+    small = byte_bpe.Transducer(ranks, states=2_000)  # emptied many times inside the word
+    assert list(small.encode(word.encode())) == known.encode_ordinary(word)
+    begin = time.perf_counter()
+    long = byte_bpe.Transducer(ranks).encode((word * 34).encode())
+    assert time.perf_counter() - begin < 60
+    assert len(long) > 300_000
+
+
+def test_ids_that_share_a_character_decode_in_slices():
+    from netwatch.llm import byte_bpe
+    table = {0: b"a", 1: "\u20ac".encode()[:2], 2: "\u20ac".encode()[2:], 3: b"bc", 4: b"\xff"}
+    decoder = byte_bpe.StreamDecoder(table)
+    assert decoder.feed([0, 3, 1]) + decoder.feed([2, 0]) + decoder.feed([4, 3]) + decoder.close() == "abc\u20aca\ufffdbc"
