@@ -173,19 +173,30 @@ def _prefix_pairs(open_texts: DataFrame) -> DataFrame:
     """(a, b) of different components (id, component, text) that may reach the limit. No such pair is missed.
 
     With overlap o >= 3/7 (n + m) for sizes n <= m, the smaller set must share one of its first n/7 + 1 shingles with
-    the first m/4 + 1 of the larger. A shingle of one text alone can't be shared; it only takes a place."""
+    the first m/4 + 1 of the larger. A shingle of one component alone can't be shared with another; it only takes a
+    place. The others are ordered by the pairs they would make across components. A shingle's components meet
+    first and only then their rows, so the rows of one component never meet each other, however many they are."""
     rows = written(open_texts.mapInArrow(_explode_sets, "id long, component long, n long, shingle long"), "shingles")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    often = F.col("often").cast("decimal(38,0)")
+    crossing = (rows.groupBy("shingle", "component").agg(F.count("*").alias("often"))
+                .groupBy("shingle").agg(F.count("*").alias("sides"), F.sum("often").cast("decimal(18,0)").alias("all"),
+                                        F.sum(often * often).alias("within"))
+                .where("sides > 1").select("shingle", (F.col("all") * F.col("all") - F.col("within")).alias("cross")))
     own = Window.partitionBy("id")
-    placed = (rows.join(often, "shingle")
-              .withColumn("place", F.row_number().over(own.orderBy("often", "shingle")) + F.col("n") - F.count("*").over(own))
-              .where("place <= n div 4 + 1"))
+    placed = written(
+        rows.join(crossing, "shingle")
+        .withColumn("place", F.row_number().over(own.orderBy("cross", "shingle")) + F.col("n") - F.count("*").over(own))
+        .where("place <= n div 4 + 1").drop("cross"), "prefixes")
     small = placed.where("place <= n div 7 + 1").select(
         "shingle", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
     large = placed.select(
         "shingle", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"))
-    return small.join(large, "shingle").where(
-        "cx <> cy AND (nx < ny OR (nx = ny AND x < y)) AND 4 * nx >= 3 * ny "
+    sides_x = small.groupBy("shingle", "cx").agg(F.min("nx").alias("nx_low"), F.max("nx").alias("nx_high"))
+    sides_y = large.groupBy("shingle", "cy").agg(F.min("ny").alias("ny_low"), F.max("ny").alias("ny_high"))
+    meet = sides_x.join(sides_y, "shingle").where(
+        "cx <> cy AND nx_low <= ny_high AND 4 * nx_high >= 3 * ny_low").select("shingle", "cx", "cy")
+    return small.join(meet, ["shingle", "cx"]).join(large, ["shingle", "cy"]).where(
+        "(nx < ny OR (nx = ny AND x < y)) AND 4 * nx >= 3 * ny "
         "AND 7 * (least(nx - px, ny - py) + 1) >= 3 * (nx + ny)").select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
