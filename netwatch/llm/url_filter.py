@@ -30,6 +30,8 @@ FEATURES = ("url_chars", "host_chars", "path_chars", "host_labels", "depth", "di
             "host_entropy", "n_params", "has_fragment", "secure", "last_dot", "longest_label", "suffix1", "suffix2")
 #: Weight, in URLs, of the overall share of blocked URLs in a suffix's own.
 PRIOR = 20.0
+#: Folds of hosts for the suffix shares of labelled URLs.
+FOLDS = 5
 
 
 def parse(url: Column) -> tuple[Column, Column]:
@@ -86,15 +88,24 @@ def lexical(pages: DataFrame, rules: Sequence[Rule], page_id: str = "page_id", u
 
 
 def with_suffix_rates(rows: DataFrame) -> DataFrame:
-    """Adds the smoothed share of blocked URLs among the labelled ones of the same last one and two host labels. Counts are
-    combined before the shuffle, and the joins' sides have a row a suffix."""
+    """Adds the smoothed share of blocked URLs among the labelled ones of the same last one and two host labels.
+
+    A labelled URL gets the share of the other folds of hosts, so no URL, and no host, tells the trees its own label; all
+    other URLs get the share of all folds. Counts are combined before the shuffle, and the joins' sides have a row
+    a suffix with at most ``FOLDS`` entries."""
+    fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
     labelled = rows.where("verdict IS NOT NULL")
     blocked = F.sum(F.when(F.col("verdict") == "block", 1.0).otherwise(0.0))
     overall = labelled.agg(F.coalesce(blocked / F.nullif(F.count("*"), F.lit(0)), F.lit(0.5)).alias("share")).first()["share"]
-    share = (blocked + PRIOR * overall) / (F.count("*") + PRIOR)
     for key, name in (("_top", "suffix1"), ("_domain", "suffix2")):
-        rates = labelled.groupBy(key).agg(share.alias(name))
-        rows = rows.join(rates, key, "left").withColumn(name, F.coalesce(name, F.lit(overall)))
+        counts = (labelled.groupBy(key, fold.alias("fold")).agg(blocked.alias("blocked"), F.count("*").alias("n"))
+                  .groupBy(key).agg(F.sum("blocked").alias("_blocked"), F.sum("n").alias("_n"), F.map_from_entries(
+                      F.collect_list(F.struct("fold", F.struct("blocked", "n")))).alias("_folds")))
+        own = F.when(F.col("verdict").isNotNull(), F.element_at("_folds", fold))
+        share = ((F.col("_blocked") - F.coalesce(own["blocked"], F.lit(0.0)) + PRIOR * overall)
+                 / (F.col("_n") - F.coalesce(own["n"], F.lit(0)) + PRIOR))
+        rows = rows.join(counts, key, "left").withColumn(name, F.coalesce(share, F.lit(overall))).drop(
+            "_blocked", "_n", "_folds")
     return rows
 
 

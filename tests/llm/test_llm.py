@@ -163,6 +163,25 @@ def test_prefix_pairs_miss_no_link(spark):
     assert links and links <= found
 
 
+def test_rows_of_one_component_never_meet(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(80)]
+    rows = []
+    for i in range(120):  # one large group, an outsider that shares a passage, and a split group that must be found
+        text = list(base)
+        text[rng.randrange(80)] = rng.choice(words)
+        rows.append((i, 0, " ".join(text)))
+    rows.append((200, 200, " ".join(base[:25] + [rng.choice(words) for _ in range(55)])))
+    split = [rng.choice(words) for _ in range(60)]
+    rows += [(300 + k, 300 + k % 2, " ".join(split[:59] + [words[k]])) for k in range(6)]
+    found = {tuple(r) for r in near_dedup._prefix_pairs(
+        spark.createDataFrame(rows, "id long, component long, text string")).collect()}
+    component = {i: c for i, c, _ in rows}
+    assert all(component[a] != component[b] for a, b in found)
+    assert {(a, b) for a in range(300, 306) for b in range(a + 1, 306, 2)} <= found
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(2)
     a, b = near_dedup._permutations()
@@ -411,6 +430,24 @@ def test_url_rules_and_trees(spark):
     assert url_filter.url_verdicts(none, rules).count() == 0
 
 
+def test_suffix_rates_leave_the_own_fold_out(spark):
+    urls = [(i, f"http://h{i % 9}.{'net' if i % 3 else 'com'}/{'es' if i % 2 else 'x'}/{i}") for i in range(80)]
+    urls += [(900, None), (901, "http://alone.org/")]
+    rules = [("allow", "com", "/"), ("block", "net", "/es/")]
+    fold = F.pmod(F.xxhash64("host"), F.lit(url_filter.FOLDS)).cast("int")
+    rows = url_filter.with_suffix_rates(url_filter.lexical(
+        spark.createDataFrame(urls, "page_id long, url string"), rules)).withColumn("fold", fold).collect()
+    assert len(rows) == len(urls)
+    labelled = [r for r in rows if r["verdict"]]
+    overall = sum(r["verdict"] == "block" for r in labelled) / len(labelled)
+    for r in rows:
+        for depth, name in ((1, "suffix1"), (2, "suffix2")):
+            end = r["host"].split(".")[-depth:]
+            others = [o["verdict"] == "block" for o in labelled if o["host"].split(".")[-depth:] == end
+                      and not (r["verdict"] and o["fold"] == r["fold"])]
+            assert r[name] == pytest.approx((sum(others) + url_filter.PRIOR * overall) / (len(others) + url_filter.PRIOR))
+
+
 def test_trees_learn_from_rules(spark):
     """Held-out accuracy: spam-like paths under one suffix are blocked by rule, and the trees know them elsewhere."""
     rng = random.Random(9)
