@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from .ordered import BLOCK_SECONDS, first_per_key, lagged, running, with_overlap
+from .ordered import BLOCK_SECONDS, first_per_key, lagged, running, with_block, with_overlap
 
 # Observations kept by a baseline, fewest that allow a verdict, z limit.
 BASELINE_LENGTH = 86400
@@ -20,6 +20,12 @@ MIN_OBSERVATIONS = 10
 Z_LIMIT = 3.0
 
 
+def _limbs(x: Column) -> dict[str, Column]:
+    """A double as two whole numbers, in units of 2^-30 and 2^-60, whose sums are exact."""
+    high = F.floor(x * 2.0**30)
+    return {"h": F.coalesce(high, F.lit(0)), "l": F.coalesce(F.floor((x * 2.0**30 - high) * 2.0**30), F.lit(0))}
+
+
 def _trailing(
     samples: DataFrame, keys: Sequence[str], ties: Sequence[str], length: int, prior: bool,
     block_seconds: int,
@@ -27,43 +33,75 @@ def _trailing(
     """Mean and population deviation of the last ``length`` observations per row.
 
     A sliding frame of 86,400 rows would cost that many steps per row and one task per metric.
-    Prefix sums make it one subtraction: the first row of the frame is found by an equi-join
-    on the row number, which spreads evenly over tasks. The sums are exact decimals of values that are
-    centred and scaled per key, so neither the level of the values nor the length of the history costs
-    precision. A frame is flat if no value in it differs from the one before, which is counted, not estimated.
+    Prefix sums make it one subtraction: each row meets the first row of its frame in a grouping by
+    row number, which spreads evenly over tasks. Values are centred and scaled per key, so that their squares add up
+    to the number of rows, and summed as exact whole numbers; neither the level of the values nor the length of
+    the history (up to 2^32 rows a key) costs precision. A frame is flat if no value in it differs from the one before,
+    which is counted, not estimated. All rows are shuffled by key and time block, then by key and row number; only one row
+    a block is ordered across blocks.
     """
     keys = list(keys)
+    at = [*keys, "_block"]
     v = F.col("value").cast("double")
-    scale = samples.groupBy(*keys).agg(F.avg(v).alias("_centre"), F.stddev_pop(v).alias("_unit"))
-    scale = scale.withColumn("_unit", F.when(F.col("_unit") > 0, F.col("_unit")).otherwise(F.lit(1.0)))
-    exact = lambda c: c.cast("decimal(38,20)")
-    z = F.col("_z")
-    ready = lagged(samples, keys, "sec", ties, {"_last": v}, block_seconds).join(scale, keys).withColumns({
-        "_z": (v - F.col("_centre")) / F.col("_unit"),
-        "_turn": F.when(v != F.col("_last"), 1).otherwise(0).cast("long")})
-    rows = running(
-        ready, keys, "sec", ties,
-        sums={"_rn": F.lit(1).cast("long"), "_s": exact(z), "_q": exact(z * z), "_turns": F.col("_turn")},
-        maxes={"_hi": v, "_lo": -v}, block_seconds=block_seconds)
-    head = rows.select(
-        *keys, F.col("_rn").alias("_head"), (F.col("_s") - exact(z)).alias("_s0"),
-        (F.col("_q") - exact(z * z)).alias("_q0"), F.col("_turns").alias("_turns0"))
-    if prior:
-        rows = rows.withColumns({"_rn": F.col("_rn") - 1, "_s": F.col("_s") - exact(z), "_q": F.col("_q") - exact(z * z),
-                                 "_turns": F.col("_turns") - F.col("_turn")})
-    n = F.least(F.col("_rn"), F.lit(length))
-    zero = F.lit(0).cast("decimal(38,20)")
-    total = (F.col("_s") - F.coalesce("_s0", zero)).cast("double")
-    square = (F.col("_q") - F.coalesce("_q0", zero)).cast("double")
-    mean = total / F.nullif(n, F.lit(0))
-    spread = F.greatest(square / F.nullif(n, F.lit(0)) - mean * mean, F.lit(0.0))
-    flat = F.col("_turns") - F.coalesce("_turns0", F.lit(0)) == 0
-    return (rows.withColumn("_head", F.col("_rn") - length + 1).join(head, [*keys, "_head"], "left")
-            .withColumns({"_mean": F.when(flat, F.when(F.lit(prior), F.col("_last")).otherwise(v))
-                          .otherwise(F.col("_centre") + F.col("_unit") * mean),
-                          "_std": F.when(flat, F.lit(0.0)).otherwise(F.col("_unit") * F.sqrt(spread))})
-            .withColumns({"_mean": F.when(F.col("_rn") > 0, F.col("_mean")),
-                          "_std": F.when(F.col("_rn") > 0, F.col("_std"))}))
+    base = with_block(samples, F.col("sec"), block_seconds)
+    whole = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    over_key = lambda c: F.sum(c).over(whole)
+    scale = base.groupBy(*at).agg(F.count(v).alias("_n"), F.avg(v).alias("_avg"), F.var_pop(v).alias("_var"))
+    scale = scale.withColumn("_centre", over_key(F.col("_n") * F.col("_avg")) / F.nullif(over_key(F.col("_n")), F.lit(0)))
+    off = F.col("_avg") - F.col("_centre")
+    unit = F.sqrt(over_key(F.col("_n") * (F.col("_var") + off * off)) / F.nullif(over_key(F.col("_n")), F.lit(0)))
+    scale = scale.withColumn("_unit", unit).select(
+        *at, "_centre", F.when(F.col("_unit") > 0, F.col("_unit")).otherwise(F.lit(1.0)).alias("_unit"))
+    inside = W.partitionBy(*at).orderBy("sec", *ties)
+    z = (v - F.col("_centre")) / F.col("_unit")
+    rows = base.join(scale, at).withColumns({
+        "_z": F.when(F.abs(z) < 2.0**16, z), "_last": F.lag(v).over(inside), "_first": F.row_number().over(inside) == 1})
+    own = {f"_{n}{k}": c for n, x in (("s", F.col("_z")), ("q", F.col("_z") * F.col("_z"))) for k, c in _limbs(x).items()}
+    rows = rows.withColumns(own | {"_rn": F.lit(1).cast("long"), "_turns": (v != F.col("_last")).cast("long")})
+    sums = [*own, "_rn", "_turns"]
+    # The first value of a block is compared with the last of the block before, among the blocks' summaries.
+    blocks = rows.groupBy(*at).agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums], F.max(v).alias("_top"), F.min(v).alias("_low"),
+        F.max(F.struct("sec", *ties, v.alias("_v")))["_v"].alias("_end"), F.max(F.when(F.col("_first"), v)).alias("_start"))
+    across = W.partitionBy(*keys).orderBy("_block")
+    blocks = blocks.withColumn("_before", F.lag("_end").over(across)).withColumn(
+        "_turns", F.col("_turns") + F.coalesce((F.col("_start") != F.col("_before")).cast("long"), F.lit(0)))
+    earlier = across.rowsBetween(W.unboundedPreceding, -1)
+    carry = blocks.select(*at, "_before", F.sum("_rn").over(whole).alias("_all"),
+                          *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_c{n}") for n in sums],
+                          F.max("_top").over(earlier).alias("_c_hi"), F.min("_low").over(earlier).alias("_c_lo"))
+    rows = rows.join(carry, at).withColumns({
+        "_last": F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_last"))}).withColumn(
+        "_turn", F.coalesce((v != F.col("_last")).cast("long"), F.lit(0)))
+    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    step = {n: F.col("_turn" if n == "_turns" else n) for n in sums}
+    rows = rows.withColumns({f"_to{n}": F.col(f"_c{n}") + F.sum(c).over(upto) for n, c in step.items()} | {
+        "_hi": F.greatest("_c_hi", F.max(v).over(upto)), "_lo": F.least("_c_lo", F.min(v).over(upto))})
+    ended = F.struct(*[(F.col(f"_to{n}") - (step[n] if prior else F.lit(0))).alias(n) for n in sums])
+    before = F.struct(*[(F.col(f"_to{n}") - (F.lit(0) if n == "_turns" else step[n])).alias(n) for n in sums])
+    reach = length - (0 if prior else 1)
+    full = F.struct(*samples.columns, "_centre", "_unit", "_last", "_hi", "_lo", ended.alias("_to"))
+    # A row goes to its own number, and as the start of a frame to the number of the row whose frame it starts.
+    place = F.array(F.struct(F.col("_to_rn").alias("at"), full.alias("row"), F.when(F.lit(False), before).alias("start")),
+                    F.struct((F.col("_to_rn") + reach).alias("at"), F.when(F.lit(False), full).alias("row"), before.alias("start")))
+    own_only = F.col("_to_rn") + reach > F.col("_all")
+    place = F.when(own_only, F.slice(place, 1, 1)).otherwise(place)
+    met = (rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.explode(place).alias("_p"))
+           .groupBy(*[f"_k{i}" for i in range(len(keys))], F.col("_p.at").alias("_at"))
+           .agg(F.first("_p.row", True).alias("_row"), F.first("_p.start", True).alias("_start")))
+    of = lambda n: F.col(f"_row._to.{n}") - F.coalesce(F.col(f"_start.{n}"), F.lit(0))
+    number = lambda n: (of(f"_{n}h").cast("double") + of(f"_{n}l") / 2.0**30) / 2.0**30
+    n = F.nullif(F.least(F.col("_row._to._rn"), F.lit(length)), F.lit(0))
+    mean = number("s") / n
+    spread = F.greatest(number("q") / n - mean * mean, F.lit(0.0))
+    centre, unit, flat = F.col("_row._centre"), F.col("_row._unit"), of("_turns") == 0
+    level = F.col("_row._last") if prior else F.col("_row.value").cast("double")
+    some = n.isNotNull()
+    return met.select(
+        *[F.col(f"_row.{c}").alias(c) for c in samples.columns], F.col("_row._to._rn").alias("_rn"),
+        F.col("_row._hi").alias("_hi"), F.col("_row._lo").alias("_lo"),
+        F.when(some, F.when(flat, level).otherwise(centre + unit * mean)).alias("_mean"),
+        F.when(some, F.when(flat, F.lit(0.0)).otherwise(unit * F.sqrt(spread))).alias("_std"))
 
 
 def rolling_baseline(
@@ -74,7 +112,7 @@ def rolling_baseline(
     rows = _trailing(samples, keys, ties, length, False, block_seconds)
     return rows.select(
         *samples.columns, F.round("_mean", digits).alias("mean"), F.round("_std", digits).alias("std"),
-        F.round(-F.col("_lo"), digits).alias("min"), F.round("_hi", digits).alias("max"),
+        F.round("_lo", digits).alias("min"), F.round("_hi", digits).alias("max"),
         F.col("_rn").alias("count"))
 
 
