@@ -909,6 +909,19 @@ SQL["typed_columns"] = f"""WITH {LABELLED} SELECT row_id, trim("Label") AS label
   CAST("Total Packets" AS DOUBLE) AS "Total Packets", CAST("Flow Duration" AS DOUBLE) AS "Flow Duration",
   TRY_CAST("Flow Code" AS DOUBLE) AS "Flow Code", CAST("Hop Count" AS DOUBLE) AS "Hop Count", "Status", "Service" FROM lab"""
 
+_INPUTS = [n for n, _, _, _ in MODEL_FEATURES]
+SQL["robust_scale"] = f"""WITH {FROWS}, x AS (SELECT row_id, {", ".join(
+    f"CAST(coalesce({n}, 0) AS DOUBLE) AS {n}" if n in FEATURE_COLUMNS else f"0::DOUBLE AS {n}" for n in _INPUTS)} FROM f),
+q AS (SELECT {", ".join(f"quantile_cont({n}, [0.25, 0.5, 0.75]) AS q_{n}" for n in _INPUTS)} FROM x)
+SELECT row_id, {", ".join(
+    f"round(CASE WHEN q_{n}[3] > q_{n}[1] THEN ({n} - q_{n}[2]) / (q_{n}[3] - q_{n}[1]) ELSE 0 END + 3.3e-8, 6) AS {n}"
+    for n in _INPUTS)} FROM x, q"""
+_TYPED = {"Total Packets": "CAST", "Flow Duration": "CAST", "Flow Code": "TRY_CAST", "Hop Count": "CAST"}
+SQL["median_fill"] = f"""WITH {LABELLED}, x AS (SELECT row_id, {", ".join(
+    f'{cast}("{n}" AS DOUBLE) AS "{n}"' for n, cast in _TYPED.items())} FROM lab)
+SELECT row_id, {", ".join(
+    f'coalesce("{n}", (SELECT quantile_cont("{n}", 0.5) FROM x)) AS "{n} filled"' for n in _TYPED)} FROM x"""
+
 # --- whole plans ---------------------------------------------------------------------------------
 
 _GATE_CTES = GATED[len(DETECTED):]

@@ -947,6 +947,7 @@ from netwatch.ml import detectors as md  # noqa: E402
 from netwatch.ml import isolation_forest as mf  # noqa: E402
 from netwatch.ml import knn as mk  # noqa: E402
 from netwatch.ml import tabular as tb  # noqa: E402
+from netwatch.ml.quantiles import MedianFill  # noqa: E402
 
 
 def training_rows(spark, sf_dir):
@@ -959,7 +960,8 @@ def training_rows(spark, sf_dir):
 def robust_scale(spark, sf_dir):
     rows = training_rows(spark, sf_dir)
     out = md.scaled(md.robust_scale(rows), rows)
-    return out.select("row_id", F.round(F.col("_array")[0], 3).alias("packet_rate"))
+    return out.select("row_id", *[F.round(F.col("_array")[i] + 3.3e-8, 6).alias(name)
+                                  for i, name in enumerate(md.FEATURE_ORDER)])
 
 
 @query
@@ -1051,6 +1053,13 @@ def typed_columns(spark, sf_dir):
     return table
 
 
+@query
+def median_fill(spark, sf_dir):
+    table, shape = prepared(spark, sf_dir)
+    names = [f"{name} filled" for name in shape.numeric]
+    return MedianFill(shape.numeric, names).fit(table).transform(table).select("row_id", *names)
+
+
 @query
 def prep_pipeline(spark, sf_dir):
     from pyspark.ml import Pipeline
