@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..ml.quantiles import exact_quantiles
 from .ordered import BLOCK_SECONDS, running
 
 
@@ -162,13 +163,16 @@ def exact_percentiles(rows: DataFrame, keys: Sequence[str], value: str, probs: S
 
 def error_distribution(errors: DataFrame, group: str = "is_attack", error: str = "error") -> DataFrame:
     """Mean, deviation and percentiles of the reconstruction error per class, and how well the
-    classes separate: (attack median - normal p95) / normal deviation."""
-    spread = errors.groupBy(group).agg(F.avg(error).alias("mean"), F.stddev_pop(error).alias("std"),
-                                       F.count(F.lit(1)).alias("n"))
-    marks = exact_percentiles(errors, [group], error, [0.5, 0.95, 0.97]).groupBy(group).agg(
-        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
-          for p, n in [(0.5, "p50"), (0.95, "p95"), (0.97, "p97")]])
-    rows = spread.join(marks, group)
+    classes separate: (attack median - normal p95) / normal deviation. Rows without a class take no part, nor does a
+    class without errors; the percentiles ignore NaN. No row is shuffled."""
+    attack = F.col(group).cast("boolean")
+    parts = errors.select(F.when(attack, F.col(error)).alias("attack"), F.when(~attack, F.col(error)).alias("normal"))
+    marks = exact_quantiles(parts, ["attack", "normal"], [0.5, 0.95, 0.97])
+    spread = errors.where(attack.isNotNull()).groupBy(group).agg(
+        F.avg(error).alias("mean"), F.stddev_pop(error).alias("std"), F.count(F.lit(1)).alias("n"))
+    rows = spread.withColumns({
+        name: F.when(attack, F.lit(high)).otherwise(F.lit(low)).cast("double")
+        for name, high, low in zip(("p50", "p95", "p97"), marks["attack"], marks["normal"])}).where("p50 IS NOT NULL")
     whole = W.partitionBy(F.lit(1))  # two rows
 
     def of(flag: bool, name: str) -> Column:
