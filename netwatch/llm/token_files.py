@@ -30,6 +30,7 @@ SEGMENT = 1 << 16
 MODES = ((1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12),
          (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 0
+COUNTS = np.array([count for count, _ in MODES], np.uint8)
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,20 +38,25 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    index = np.arange(n, dtype=np.int32)
-    ends = np.minimum((index // BLOCK + 1) * BLOCK, n).astype(np.int32)
-    left = ends - index
-    width = np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), ids, side="right").astype(np.uint8)
-    selector = np.zeros(n, np.int8)
+    width = (np.frexp(ids.astype(np.float64))[1] if ids.max() < 1 << 53 else
+             np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), ids, side="right")).astype(np.uint8)
+    # A row per block, with room behind it that takes no bits: a word may be short at a block's end.
+    rows = np.zeros((-(-n // BLOCK), BLOCK + MODES[1][0]), np.uint8)
+    rows[:, :BLOCK].flat[:n] = width
+    widest, selector, ahead = rows[:, :BLOCK].copy(), np.zeros((len(rows), BLOCK), np.uint8), 1
     for mode in range(len(MODES) - 1, 0, -1):  # from few wide ids to many narrow ones, so the fullest word stays
         count, bits = MODES[mode]
-        wide = np.where(width > bits, index, np.int32(n))
-        run = np.minimum.accumulate(wide[::-1])[::-1] - index
-        fits = run >= np.minimum(np.int32(count), left)
+        for i in range(ahead, count):
+            np.maximum(widest, rows[:, i:i + BLOCK], out=widest)
+        ahead, fits = count, widest <= bits
         if not fits.any():
             break
         selector[fits] = mode
-    take = np.minimum(np.array([c for c, _ in MODES])[selector], left).tolist()
+    selector = selector.ravel()[:n]
+    left = np.tile(np.minimum(np.arange(BLOCK, 0, -1), 255).astype(np.uint8), len(rows))[:n]
+    last = n - (len(rows) - 1) * BLOCK
+    left[n - last:] = np.minimum(np.arange(last, 0, -1), 255)
+    take = np.minimum(COUNTS[selector], left).tobytes()
     starts, at = [], 0
     while at < n:  # a jump per word; everything else is vectorised
         starts.append(at)
@@ -68,10 +74,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         word = np.full(len(own), int(mode) << 60, np.uint64)
         if bits:
+            size = np.frombuffer(take, np.uint8)[own]
+            full = size.min() == count
             for i in range(count):
-                inside = own + i < ends[own]
-                value = np.where(inside, ids[np.minimum(own + i, n - 1)], np.uint64(0))
-                word |= value << np.uint64(i * bits)
+                inside = slice(None) if full else i < size
+                word[inside] |= ids[own[inside] + i] << np.uint64(i * bits)
         words[place[chosen == mode]] = word
     return words, place[np.searchsorted(starts, np.arange(0, n, BLOCK))]
 

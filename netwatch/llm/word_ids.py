@@ -15,9 +15,8 @@ import json
 import re
 import sys
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from hashlib import sha256
-from itertools import filterfalse
 
 import numpy as np
 
@@ -41,6 +40,17 @@ _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _CUT = re.compile("[ \n]+")
 
 
+class _Table(dict):
+    """Word -> ids; a word it lacks goes to ``learn``."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        return self.learn(word)
+
+
 class WordIds:
     """``limit`` bounds the words kept; a full table becomes the older half and is refilled from it."""
 
@@ -49,7 +59,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_buffer(vocabulary)
         self.merge = self.tokenizer.model.tokenize
-        self.table: dict[str, bytes] = {}
+        self.table = _Table(self._learn)
         self.older: dict[str, bytes] = {}
         self.limit = limit
         stated = json.loads(vocabulary)
@@ -69,55 +79,42 @@ class WordIds:
         spelt = core if core.isascii() else "".join(map(BYTE_CHARS.__getitem__, core.encode()))
         return array("I", [t.id for t in self.merge(spelt)]).tobytes()
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        found, roots, odd = {}, {}, []
-        older, known, match = self.older.get, self.table.get, CORE.fullmatch
-        for word in words:
-            ids = older(word)
-            if ids is None:
-                parts = match(word)
-                if parts is None:
-                    odd.append(word)
-                    continue
+    def _learn(self, word: str) -> bytes:
+        """Ids of a word that the table lacks; words of up to 100 letters are kept."""
+        table, older = self.table, self.older
+        ids = older.get(word)
+        if ids is None:
+            parts = CORE.fullmatch(word)
+            if parts is None:
+                ids = self._ask([word])[0]
+            else:
                 core, tail = parts.groups()
                 core = core.lower()
-                ids = known(core) or older(core) or roots.get(core)
-                if ids is None:
-                    ids = roots[core] = self._core(core)
+                ids = (table.get(core) or older.get(core) or self._part(core, self._core)) if core != word else self._core(core)
                 if tail:
-                    end = known(tail) or older(tail) or roots.get(tail)
-                    if end is None:
-                        end = roots[tail] = self._ask([tail])[0]
-                    ids += end
-            found[word] = ids
-        found.update(zip(odd, self._ask(odd)))
-        if len(self.table) + len(found) + len(roots) > self.limit:
-            self.older, self.table = self.table, {}
-        for part in (roots, found):
-            self.table.update(part if max(map(len, part), default=0) <= 100 else
-                              {w: ids for w, ids in part.items() if len(w) <= 100})
-        return found
+                    ids += table.get(tail) or older.get(tail) or self._part(tail, lambda t: self._ask([t])[0])
+        if len(word) <= 100:
+            self._keep(word, ids)
+        return ids
+
+    def _part(self, part: str, ask: Callable[[str], bytes]) -> bytes:
+        ids = ask(part)
+        if len(part) <= 100:
+            self._keep(part, ids)
+        return ids
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        if len(self.table) >= self.limit:  # emptied in place: a text's look-ups go on in the same table
+            self.older = dict(self.table)
+            self.table.clear()
+        self.table[word] = ids
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """Ids of each text. Words that the table lacks are learnt for all of the texts at once."""
+        """Ids of each text; words that the table lacks are learnt as they come."""
         if not self.by_words:
             return self._ask(list(texts))
-        words = [_CUT.split(t) if any(map(t.__contains__, _SEPARATORS)) else t.split() for t in texts]
-        new: set[str] = set()
-        for some in words:
-            new.update(filterfalse(self.table.__contains__, some))
-        before = self.table
-        if not new:
-            return [b"".join(map(before.__getitem__, some)) for some in words]
-        found = self._learn(new)
-        if self.table is not before:  # the table was replaced while learning
-            known = before.get
-            return [b"".join([known(w) or found.get(w, b"") for w in some]) for some in words]
-        long = {w: ids for w, ids in found.items() if len(w) > 100}
-        if long:
-            known = self.table.get
-            return [b"".join([long[w] if len(w) > 100 else known(w) for w in some]) for some in words]
-        return [b"".join(map(self.table.__getitem__, some)) for some in words]
+        known = self.table.__getitem__
+        return [b"".join(map(known, _CUT.split(t) if any(map(t.__contains__, _SEPARATORS)) else t.split())) for t in texts]
 
 
 def word_ids(vocabulary: bytes, limit: int = 300_000) -> WordIds:
