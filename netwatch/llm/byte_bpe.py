@@ -56,7 +56,20 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], states: int = 450_000):
         self.ranks, self.limit = ranks, states
         self.bytes = {r: t for t, r in ranks.items()}
-        self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
+        # The entries as a tree: node << 8 | byte -> child, the entry a node spells (-1: none), whether any goes on from it.
+        self.tree: dict[int, int] = {}
+        self.spelt, self.inner = [-1], bytearray(1)
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = 1
+                child = self.tree.setdefault(node << 8 | byte, len(self.spelt))
+                if child == len(self.spelt):
+                    self.spelt.append(-1)
+                    self.inner.append(0)
+                node = child
+            self.spelt[node] = rank
+        self.halves: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.reset()
@@ -64,8 +77,8 @@ class Transducer:
     def reset(self, keep: tuple[int, bytes, tuple] | None = None) -> int:
         """Empties the tables. A state to go on from is kept; its new number is returned."""
         self.ids: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        # Last emitted token, bytes since, and (start, tokens up to it) of each start that can still be used.
-        self.nodes: list[tuple[int, bytes, tuple]] = [(-1, b"", ((0, ()),))]
+        # Last emitted token, bytes since, and (start, tokens up to it, place in the tree) of each start that can still be used.
+        self.nodes: list[tuple[int, bytes, tuple]] = [(-1, b"", ((0, (), 0),))]
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         if keep is None or keep[:2] == (-1, b""):
             return 0
@@ -73,16 +86,26 @@ class Transducer:
         self.nodes.append(keep)
         return 1
 
-    def merged(self, text: bytes) -> list[bytes]:
-        """BPE by definition: join the pair of lowest rank, leftmost first. Only ever called on one or two tokens."""
+    def merged(self, text: bytes, least: int = 1) -> list[bytes]:
+        """BPE by definition, down to ``least`` parts: join the pair of lowest rank, leftmost first. Only ever called on a token."""
         parts = [text[i:i + 1] for i in range(len(text))]
-        while len(parts) > 1:
+        while len(parts) > least:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
             if rank == 1 << 40:
                 break
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose join makes this one; none for a single byte."""
+        text = self.bytes[token]
+        if len(text) == 1:
+            return None
+        if token not in self.halves:
+            left, right = self.merged(text, 2)
+            self.halves[token] = self.ranks[left], self.ranks[right]
+        return self.halves[token]
+
     def reachable(self, token: int) -> bool:
         if token not in self.whole:
             self.whole[token] = len(self.merged(self.bytes[token])) == 1
@@ -94,41 +117,61 @@ class Transducer:
             self.pairs.clear()
         fits = self.reachable(right)
         if fits and left >= 0:
-            a, b = self.bytes[left], self.bytes[right]
-            fits = self.merged(a + b) == [a, b]
+            fits = self.apart(left, right)
         self.pairs[left, right] = fits
         return fits
 
+    def apart(self, left: int, right: int) -> bool:
+        """Whether no join crosses the border of two tokens that BPE makes of their own bytes. Their joins are undone, latest first;
+        what then touches the border would have been joined before the join just undone if its rank is lower, or equal and
+        further left."""
+        ranks, spell = self.ranks, self.bytes
+        before = 1 << 40  # a join across the border with a lower rank comes before the one just undone
+        while True:
+            if ranks.get(spell[left] + spell[right], 1 << 40) < before:
+                return False
+            of_left, of_right = self.split(left), self.split(right)
+            if of_left is None and of_right is None:
+                return True
+            # At equal ranks the left one is joined first, so the right one is undone first.
+            if of_right is None or (of_left is not None and left > right):
+                before, left = left, of_left[1]
+            else:
+                before, right = right + 1, of_right[0]
+
     def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Works out one transition: the next state and the tokens it emits."""
         last, held, starts = self.nodes[state]
         text = held + bytes((byte,))
         live, found = [], None
-        for start, tokens in starts:
-            rest = text[start:]
+        tree, spelt, inner, pairs = self.tree, self.spelt, self.inner, self.pairs
+        for start, tokens, node in starts:
+            node = tree.get(node << 8 | byte)
+            if node is None:
+                continue
             if found is None:
-                token = self.ranks.get(rest)
-                if token is not None:
+                token = spelt[node]
+                if token >= 0:
                     before = tokens[-1] if tokens else last
-                    fits = self.pairs.get((before, token))
+                    fits = pairs.get((before, token))
                     if self.adjacent(before, token) if fits is None else fits:
                         found = (*tokens, token)
-            if rest in self.prefixes:
-                live.append((start, tokens))
+            if inner[node]:
+                live.append((start, tokens, node))
         # Tokens that all usable starts agree on are final; a start that stands for itself agrees on none.
         shared = len(found)
-        for _, tokens in live:
+        for _, tokens, _ in live:
             shared = min(shared, len(tokens))
             while tokens[:shared] != found[:shared]:
                 shared -= 1
             if not shared:
                 break
-        live.append((len(text), found))
+        live.append((len(text), found, 0))
         out = found[:shared]
         if shared:
             last, cut = out[-1], sum(len(self.bytes[t]) for t in out)
             text = text[cut:]
-            live = [(start - cut, tokens[shared:]) for start, tokens in live]
+            live = [(start - cut, tokens[shared:], node) for start, tokens, node in live]
         key = (last, text)
         to = self.ids.get(key)
         if to is None:
