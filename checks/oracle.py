@@ -487,6 +487,8 @@ SQL["avg_over_5m"] = f"""WITH {METRICS} SELECT DISTINCT metric, sec, round(avg(v
 SQL["max_over_5m"] = f"""WITH {METRICS} SELECT DISTINCT metric, sec, max(value) {_TRAIL} AS max_value FROM m"""
 SQL["latency_p95_5m"] = f"""WITH {METRICS} SELECT metric, sec - sec % 300 AS window_start,
   round(quantile_cont(value, 0.95), 6) AS percentile, count(*) AS samples FROM m GROUP BY ALL"""
+SQL["latency_p95_trailing"] = f"""WITH {METRICS} SELECT DISTINCT metric, sec,
+  round(quantile_cont(value, 0.95) {_TRAIL}, 6) AS percentile, count(value) {_TRAIL} AS samples FROM m"""
 SQL["latency_p95_hourly_sliding"] = f"""WITH {METRICS}, x AS (SELECT *, unnest(generate_series(
   sec - sec % 600 - 3000, sec - sec % 600, 600)) AS window_start FROM m)
 SELECT metric, window_start, round(quantile_cont(value, 0.95), 6) AS percentile, count(*) AS samples

@@ -335,6 +335,11 @@ def latency_p95_5m(spark, sf_dir):
     return rounded(ts.windowed_percentile(tt.metrics(spark, sf_dir), ["metric"]))
 
 
+@query
+def latency_p95_trailing(spark, sf_dir):
+    return rounded(ts.trailing_percentile(tt.metrics(spark, sf_dir), ["metric"]))
+
+
 @query
 def latency_p95_hourly_sliding(spark, sf_dir):
     return rounded(ts.windowed_percentile(tt.metrics(spark, sf_dir), ["metric"], window=3600, slide=600))

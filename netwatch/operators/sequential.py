@@ -39,7 +39,8 @@ def over_sorted_groups(
         fresh[:1] = True
         for c in group:
             values = pdf[c].to_numpy(dtype=object)
-            fresh[1:] |= values[1:] != values[:-1]
+            null = pd.isna(values)
+            fresh[1:] |= (values[1:] != values[:-1]) & ~(null[1:] & null[:-1])
         return np.flatnonzero(fresh)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,12 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as K
 from .ordered import BLOCK_SECONDS, first_per_key, lagged, running, with_block, with_overlap
+from .sequential import over_sorted_groups
 
 # Observations kept by a baseline, fewest that allow a verdict, z limit.
 BASELINE_LENGTH = 86400
@@ -189,6 +193,78 @@ def windowed_percentile(
         .agg(F.percentile("value", q, F.col("n")).alias("percentile"), F.sum("n").alias("samples")))
 
 
+def _sliding_percentile(sec: np.ndarray, value: np.ndarray, n: np.ndarray, q: float, seconds: int) -> tuple[
+        np.ndarray, np.ndarray, np.ndarray]:
+    """(second, percentile, samples) for each second of rows in time order.
+
+    Distinct values have a place each, in order, and places form cells of about a root of their number. A row adds its count to place and cell
+    when it enters the window and takes it away when it leaves; running sums over cells and inside one cell find a rank.
+    """
+    levels, place = np.unique(value, return_inverse=True)
+    width = max(1, int(len(levels) ** 0.5))
+    counts = np.zeros((-(-len(levels) // width), width), np.int64)
+    flat, cells = counts.reshape(-1), np.zeros(len(counts), np.int64)
+    first = np.flatnonzero(np.append(True, sec[1:] != sec[:-1]))
+    ends, at = np.append(first[1:], len(sec)), sec[first]
+    gone = np.append(first, len(sec))[np.searchsorted(at, at - seconds)]
+    out, samples, total, left = np.empty(len(first)), np.empty(len(first), np.int64), 0, 0
+
+    def change(lo: int, hi: int, sign: int) -> int:
+        np.add.at(flat, place[lo:hi], sign * n[lo:hi])
+        np.add.at(cells, place[lo:hi] // width, sign * n[lo:hi])
+        return sign * int(n[lo:hi].sum())
+
+    def ranked(rank: int, sums: np.ndarray) -> float:
+        cell = int(np.searchsorted(sums, rank, side="right"))
+        inside = rank - (int(sums[cell - 1]) if cell else 0)
+        return levels[cell * width + int(np.searchsorted(np.cumsum(counts[cell]), inside, side="right"))]
+
+    for k, (lo, hi, keep) in enumerate(zip(first.tolist(), ends.tolist(), gone.tolist())):
+        total += change(lo, hi, 1)
+        if keep > left:
+            total += change(left, keep, -1)
+            left = keep
+        rank, sums = q * (total - 1), np.cumsum(cells)
+        low = ranked(int(rank), sums)
+        part = rank - int(rank)
+        out[k] = low + (ranked(int(rank) + 1, sums) - low) * part if part else low
+        samples[k] = total
+    return at, out, samples
+
+
+def trailing_percentile(
+    samples: DataFrame, keys: Sequence[str], q: float = 0.95, seconds: int = 300, block_seconds: int = BLOCK_SECONDS,
+) -> DataFrame:
+    """Exact percentile over ``[t - seconds, t]`` for every second ``t`` with a sample, interpolated between ranks.
+
+    Equal values of a second are counted first. Time blocks with overlap are independent, so one key's history spreads over tasks; a
+    task holds the distinct (second, value) rows of one block of one key, and ``block_seconds`` bounds that. Null values and
+    null seconds are no samples; null keys are a key of their own.
+    """
+    keys = list(keys)
+    counted = samples.where(F.col("value").isNotNull() & F.col("sec").isNotNull()).groupBy(
+        *keys, F.col("sec").cast("long").alias("sec"), F.col("value").cast("double").alias("value")).agg(
+        F.count(F.lit(1)).alias("n"))
+    rows = with_overlap(counted, "sec", seconds, block_seconds)
+    schema = T.StructType([*[counted.schema[k] for k in keys], T.StructField("sec", T.LongType()),
+                           T.StructField("percentile", T.DoubleType()), T.StructField("samples", T.LongType())])
+
+    def slide(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        """All groups on one line of time, too far apart to share a window."""
+        sec = pdf["sec"].to_numpy()
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(pdf))))
+        begin = sec[starts][group]
+        length = int((sec - begin).max(initial=0)) + seconds + 1
+        line = group * length + (sec - begin)
+        at, found, total = _sliding_percentile(line, pdf["value"].to_numpy(), pdf["n"].to_numpy(), q, seconds)
+        where = np.searchsorted(line, at)
+        own = pdf["_own"].to_numpy(dtype=bool)[where]
+        where = where[own]
+        return pdf.iloc[where][[*keys, "sec"]].assign(percentile=found[own], samples=total[own])
+
+    return over_sorted_groups(rows, [*keys, "_block"], ["sec", "value"], slide, schema)
+
+
 def sustained_condition(
     samples: DataFrame, condition: Column, hold_seconds: int, keys: Sequence[str],
     ties: Sequence[str] = ("sample_id",), block_seconds: int = BLOCK_SECONDS,
