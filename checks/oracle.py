@@ -855,6 +855,7 @@ LABELLED = """lab AS (SELECT l_orderkey * 100000000 + l_partkey * 1000 + l_suppk
   NULL::VARCHAR AS "Empty", CASE l_returnflag WHEN 'N' THEN ' BENIGN' WHEN 'A' THEN 'Syn ' ELSE 'DrDoS_DNS' END AS "Label"
   FROM lineitem)"""
 SQL["read_labelled_csv"] = f"""WITH {LABELLED} SELECT * REPLACE (CAST(row_id AS VARCHAR) AS row_id) FROM lab"""
+SQL["read_labelled_csv_formats"] = SQL["read_labelled_csv"]
 SQL["write_features"] = f"""WITH {VECTORS} SELECT sensor_id, window_start, packet_count, byte_count,
   '2024-01-01' AS day FROM vectors"""
 SQL["write_alerts"] = f"""WITH {ALERTS} SELECT strftime(make_timestamp(t * 1000000), '%Y-%m-%d') AS day, severity,

@@ -827,6 +827,17 @@ def read_labelled_csv(spark, sf_dir):
     return ar.read_labelled_csv(spark, path).drop("source")
 
 
+@query
+def read_labelled_csv_formats(spark, sf_dir):
+    """A third of the rows as plain files, one as gzip, one as bzip2, each a folder of several files, read in one call."""
+    rows, base, paths = tt.labelled(spark, sf_dir), fresh(spark, "labelled"), []
+    for i, (suffix, codec) in enumerate([(".csv", "none"), (".csv.gz", "gzip"), (".csv.bz2", "bzip2")]):
+        paths.append(f"{base}{i}{suffix}")
+        rows.where(f"row_id % 3 = {i}").write.options(
+            header=True, compression=codec, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(paths[-1])
+    return ar.read_labelled_csv(spark, paths).drop("source")
+
+
 @query
 def write_features(spark, sf_dir):
     path = fresh(spark, "features")

@@ -10,6 +10,7 @@ import lzma
 import os
 import zipfile
 from collections.abc import Iterator, Sequence
+from itertools import islice
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
@@ -63,8 +64,9 @@ def _stream(handle, chain: Sequence[str], name: str):
     return io.TextIOWrapper(handle, encoding="utf-8", newline="")
 
 
-def read_archives(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``(source, row_no, cells)`` of every CSV inside zip or xz files; row 0 is the header.
+def read_archives(spark: SparkSession, paths: str | Sequence[str], most: int | None = None) -> DataFrame:
+    """``(source, row_no, cells)`` of every CSV inside zip or xz files; row 0 is the header. ``most`` stops after that many rows of
+    each, so that headers alone can be read without unpacking the rest.
 
     A first small job lists the members; then each member is its own task and is streamed in
     batches. Where the folder is mounted on the workers only paths travel, no file contents.
@@ -96,7 +98,8 @@ def read_archives(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
             for row in pdf.itertuples(index=False):
                 with _open_source(row.path, getattr(row, "content", None)) as handle:
                     chunk = []
-                    for number, cells in enumerate(csv.reader(_stream(handle, list(row.chain), row.path))):
+                    for number, cells in enumerate(
+                            islice(csv.reader(_stream(handle, list(row.chain), row.path)), most)):
                         chunk.append((row.source, number, cells))
                         if len(chunk) == ROWS_PER_BATCH:
                             yield pd.DataFrame(chunk, columns=["source", "row_no", "cells"])
@@ -120,7 +123,9 @@ def read_labelled_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     """All rows of the labelled files as text columns plus ``source``.
 
     Plain, gzip and bzip2 files go through Spark's CSV reader; xz and zip files through
-    ``read_archives``. Column names are trimmed and must agree across files.
+    ``read_archives``. Column names are trimmed and must agree across files. Inside a folder every file's own
+    header is held against the first one's, letter for letter, when its rows are read; a file that differs ends the job with an error
+    instead of putting cells into other columns.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     for path in paths:
@@ -129,17 +134,16 @@ def read_labelled_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     special = [p for p in paths if p.lower().endswith((".zip", ".xz"))]
     frames, headers = [], []
     for path in (p for p in paths if p not in special):
-        frame = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        frame = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
         headers.append(frame.columns)
         frames.append(frame.toDF(*[c.strip() for c in frame.columns]).withColumn(
             "source", F.element_at(F.split(F.input_file_name(), "/"), -1)))
     if special:
-        rows = read_archives(spark, special)
-        found = [r["cells"] for r in rows.where("row_no = 0").select("cells").distinct().collect()]
+        found = [r["cells"] for r in read_archives(spark, special, 1).select("cells").distinct().collect()]
         if not found:
             raise ValueError("the archives hold no CSV files")
         headers += found
-        names = _checked(found)
+        names, rows = _checked(found), read_archives(spark, special)
         frames.append(rows.where("row_no > 0").select(
             *[F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)], "source"))
     _checked(headers)

@@ -159,3 +159,26 @@ def test_vendor_registry_and_usb_gadget(spark):
     row = iv.usb_gadget_findings(adapters, ips).head()
     assert (row.severity, row.confidence, row.adapter_name) == ("critical", 0.92, "Ethernet 9")
     assert iv.usb_gadget_findings(adapters, ips, ["gadget"]).count() == 0
+
+
+def test_every_header_of_a_folder_is_checked(spark, tmp_path):
+    folder = tmp_path / "days.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text(" x,y\n1,2\n")
+    (folder / "b.csv").write_text(" x,y\n3,4\n")
+    rows = ar.read_labelled_csv(spark, str(folder))
+    assert {(r.x, r.y, r.source) for r in rows.collect()} == {("1", "2", "a.csv"), ("3", "4", "b.csv")}
+    (folder / "c.csv").write_text("y, x\n6,5\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        ar.read_labelled_csv(spark, str(folder)).collect()
+    with pytest.raises(Exception, match="(?i)header"):
+        ar.read_labelled_csv(spark, str(folder)).groupBy("y").count().collect()
+
+
+def test_headers_of_archives_need_no_rows(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
+        z.writestr("a.csv", "x,y\n" + "1,2\n" * 50)
+        z.writestr("empty.csv", "")
+    rows = ar.read_archives(spark, str(tmp_path / "d.zip"), 1).collect()
+    assert [(r.source, r.row_no, list(r.cells)) for r in rows] == [("a.csv", 0, ["x", "y"])]
+    assert ar.read_labelled_csv(spark, str(tmp_path / "d.zip")).count() == 50
