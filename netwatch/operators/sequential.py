@@ -31,6 +31,10 @@ def over_sorted_groups(
 
     ``starts`` holds the first row of each group, so ``fn`` can work on many small groups at once
     instead of paying one pandas call per group. Only the group cut by a batch edge is carried over.
+
+    Rows are dealt by a hash of their own: a repartition by the same columns as a join below it is taken
+    for redundant, and once that join is turned into a broadcast one, its shuffle is read locally and
+    groups fall apart.
     """
     group = list(group)
 
@@ -57,7 +61,7 @@ def over_sorted_groups(
         if rest is not None and len(rest):
             yield fn(rest, starts_of(rest))
 
-    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(run, schema)
+    return df.repartition(F.xxhash64(*group)).sortWithinPartitions(*group, *order).mapInPandas(run, schema)
 
 
 def _next_free(t: np.ndarray, starts: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,9 +127,12 @@ def emissions(
         [*at_fields, T.StructField("_free_from", long)]))
 
     def replay(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        ts = pdf["t"].to_numpy()
+        """The first row of each block is its ``_free_from``, its seconds follow."""
+        free_from = pdf["_at"].to_numpy()[starts]
+        pdf = pdf[pdf["_second"].to_numpy()]
+        ts, starts = pdf["_at"].to_numpy(), starts - np.arange(len(starts))
         nxt, of, line = _next_free(ts, starts, gap)
-        begin = np.arange(len(starts)) * (1 << 42) + pdf["_free_from"].to_numpy()[starts]
+        begin = np.arange(len(starts)) * (1 << 42) + free_from
         now = np.searchsorted(line, begin, side="left")
         now = now[now < np.append(starts[1:], len(ts))]
         kept = np.zeros(len(ts), dtype=bool)
@@ -133,9 +140,11 @@ def emissions(
             kept[now] = True
             now = nxt[now]
             now = now[now >= 0]
-        return pdf.loc[kept, [*keys, "t"]]
+        return pdf.loc[kept, [*keys, "_at"]].rename(columns={"_at": "t"})
 
-    return over_sorted_groups(seconds.join(chained, at), at, ["t"], replay, T.StructType(
+    both = seconds.select(*at, F.lit(True).alias("_second"), F.col("t").alias("_at")).unionByName(
+        chained.select(*at, F.lit(False).alias("_second"), F.col("_free_from").alias("_at")))
+    return over_sorted_groups(both, at, ["_second", "_at"], replay, T.StructType(
         [*key_fields, T.StructField("t", long)])).withColumnRenamed("t", t)
 
 

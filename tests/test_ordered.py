@@ -49,6 +49,26 @@ def test_emissions_equal_sequential_rule(spark, block):
     assert got == want
 
 
+def test_emissions_keep_groups_whole_over_many_partitions(spark):
+    """As in large tables: blocks that several map tasks hold, and joins that turn into broadcast ones while they run."""
+    rows = spark.range(0, 6000, numPartitions=4).selectExpr("concat('k', id % 5) AS k", "id * 37 % 500000 AS t")
+    large = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.autoBroadcastJoinThreshold": "20KB"}
+    for key, value in large.items():
+        spark.conf.set(key, value)
+    try:
+        got = {tuple(r) for r in emissions(rows, ["k"], "t", 7200, 86400).collect()}
+    finally:
+        for key in large:
+            spark.conf.unset(key)
+    want, free = set(), {}
+    for k, t in sorted({tuple(r) for r in rows.collect()}):
+        if t >= free.get(k, 0):
+            free[k] = t + 7200
+            want.add((k, t))
+    assert got == want
+
+
 def test_alerts_are_deduplicated(spark):
     rows = [("s", t, True, "syn_flood", "critical", 0.9, 50000.0) for t in (0, 10, 299, 300, 301)]
     rows += [("s", 5, False, "syn_flood", "critical", 0.1, 1.0), ("s", 5, True, "udp_flood", "odd", 0.5, 1.0)]
