@@ -169,13 +169,12 @@ def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ["id", "component", "n", "shingle"])
 
 
-def _prefix_pairs(open_texts: DataFrame) -> DataFrame:
-    """(a, b) of different components (id, component, text) that may reach the limit. No such pair is missed.
+def _prefixes(open_texts: DataFrame) -> DataFrame:
+    """(shingle, id, component, n, place, slack): the first n/4 + 1 shingles of each text that other components share, rare ones first.
 
-    With overlap o >= 3/7 (n + m) for sizes n <= m, the smaller set must share one of its first n/7 + 1 shingles with
-    the first m/4 + 1 of the larger. A shingle of one component alone can't be shared with another; it only takes a
-    place. The others are ordered by the pairs they would make across components. A shingle's components meet
-    first and only then their rows, so the rows of one component never meet each other, however many they are."""
+    A shingle of one component alone can't be shared with another; it only takes a place. The others are ordered by the pairs they
+    would make across components. A text whose first shared shingle with another is at ``place`` shares at most n - place + 1 of
+    them, so it can't be linked with a set larger than slack / 3."""
     rows = written(open_texts.mapInArrow(_explode_sets, "id long, component long, n long, shingle long"), "shingles")
     often = F.col("often").cast("decimal(38,0)")
     crossing = (rows.groupBy("shingle", "component").agg(F.count("*").alias("often"))
@@ -183,21 +182,40 @@ def _prefix_pairs(open_texts: DataFrame) -> DataFrame:
                                         F.sum(often * often).alias("within"))
                 .where("sides > 1").select("shingle", (F.col("all") * F.col("all") - F.col("within")).alias("cross")))
     own = Window.partitionBy("id")
-    placed = written(
+    return written(
         rows.join(crossing, "shingle")
         .withColumn("place", F.row_number().over(own.orderBy("cross", "shingle")) + F.col("n") - F.count("*").over(own))
-        .where("place <= n div 4 + 1").drop("cross"), "prefixes")
-    small = placed.where("place <= n div 7 + 1").select(
-        "shingle", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
-    large = placed.select(
-        "shingle", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"))
-    sides_x = small.groupBy("shingle", "cx").agg(F.min("nx").alias("nx_low"), F.max("nx").alias("nx_high"))
-    sides_y = large.groupBy("shingle", "cy").agg(F.min("ny").alias("ny_low"), F.max("ny").alias("ny_high"))
+        .where("place <= n div 4 + 1").drop("cross")
+        .withColumn("slack", F.expr("7 * (n - place + 1) - 3 * n")), "prefixes")
+
+
+def _meetings(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of smaller sets with each component cy in which they may have a partner, rows of larger sets)."""
+    small = prefixes.where("place <= n div 7 + 1 AND slack >= 3 * n").select(
+        "shingle", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("slack").alias("sx"))
+    large = prefixes.select(
+        "shingle", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("slack").alias("sy"))
+    sides_x = small.groupBy("shingle", "cx").agg(
+        F.min("nx").alias("nx_low"), F.max("nx").alias("nx_high"), F.max("sx").alias("sx_most"))
+    sides_y = large.groupBy("shingle", "cy").agg(
+        F.min("ny").alias("ny_low"), F.max("ny").alias("ny_high"), F.max("sy").alias("sy_most"))
     meet = sides_x.join(sides_y, "shingle").where(
-        "cx <> cy AND nx_low <= ny_high AND 4 * nx_high >= 3 * ny_low").select("shingle", "cx", "cy")
-    return small.join(meet, ["shingle", "cx"]).join(large, ["shingle", "cy"]).where(
-        "(nx < ny OR (nx = ny AND x < y)) AND 4 * nx >= 3 * ny "
-        "AND 7 * (least(nx - px, ny - py) + 1) >= 3 * (nx + ny)").select(
+        "cx <> cy AND nx_low <= ny_high AND 4 * nx_high >= 3 * ny_low AND sx_most >= 3 * ny_low AND sy_most >= 3 * nx_low")
+    return small.join(meet, ["shingle", "cx"]).where(
+        "nx <= ny_high AND 4 * nx >= 3 * ny_low AND sx >= 3 * ny_low AND sy_most >= 3 * nx").select(
+        "shingle", "x", "nx", "sx", "cy"), large
+
+
+def _prefix_pairs(open_texts: DataFrame) -> DataFrame:
+    """(a, b) of different components (id, component, text) that may reach the limit. No such pair is missed.
+
+    With overlap o >= 3/7 (n + m) for sizes n <= m, the smaller set must share one of its first n/7 + 1 shingles with
+    the first m/4 + 1 of the larger. A shingle's components meet first and only then their rows, so the rows of one component never
+    meet each other, however many they are. Sizes and slacks are held against each other in every one of these joins: what many
+    texts share is made into pairs only where it is nearly all of them."""
+    small, large = _meetings(_prefixes(open_texts))
+    return small.join(large, ["shingle", "cy"]).where(
+        "(nx < ny OR (nx = ny AND x < y)) AND 4 * nx >= 3 * ny AND sx >= 3 * ny AND sy >= 3 * nx").select(
         F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

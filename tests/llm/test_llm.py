@@ -182,6 +182,20 @@ def test_rows_of_one_component_never_meet(spark):
     assert {(a, b) for a in range(300, 306) for b in range(a + 1, 306, 2)} <= found
 
 
+def test_a_shared_passage_makes_no_row_pairs(spark):
+    """Texts that share a passage which is too short for a link: their rows are dropped before components meet."""
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(i, 0, " ".join(passage + [f"a{k}" for k in range(12)])) for i in range(40)]
+    rows += [(100 + i, 100 + i, " ".join(passage + [f"b{i}x{k}" for k in range(24)])) for i in range(40)]
+    rows += [(200 + i, 200 + i, " ".join(passage + [f"c{i}x{k}" for k in range(1 + i)])) for i in range(3)]
+    prefixes = near_dedup._prefixes(spark.createDataFrame(rows, "id long, component long, text string"))
+    shared = prefixes.where("id < 200 AND place <= n div 7 + 1")
+    assert shared.where("component = 0").count() >= 40 and prefixes.where("id >= 100 AND id < 200").count() >= 40
+    small, _ = near_dedup._meetings(prefixes)
+    assert small.where("x < 200 AND cy BETWEEN 100 AND 199").count() == 0
+    assert {tuple(r) for r in small.where("x >= 200 AND cy >= 200").select("x", "cy").distinct().collect()} >= {(200, 201), (200, 202)}
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(2)
     a, b = near_dedup._permutations()
