@@ -19,6 +19,7 @@ from netwatch.operators import redact as rd
 from netwatch.sources import archives as ar
 from netwatch.sources import codecs as cd
 from netwatch.sources import packets as pk
+from netwatch.streaming.run import run_to_table
 
 
 def dump(sep="\t", **cells):
@@ -182,3 +183,18 @@ def test_headers_of_archives_need_no_rows(spark, tmp_path):
     rows = ar.read_archives(spark, str(tmp_path / "d.zip"), 1).collect()
     assert [(r.source, r.row_no, list(r.cells)) for r in rows] == [("a.csv", 0, ["x", "y"])]
     assert ar.read_labelled_csv(spark, str(tmp_path / "d.zip")).count() == 50
+
+
+def test_a_topic_partition_is_no_single_task(spark, tmp_path):
+    """A key stays in one partition, however many rows it has; every task writes its own share, and all rows are streamed back."""
+    rows = spark.range(0, 4000, 1, 5).select(
+        F.when(F.col("id") % 10 == 0, F.concat(F.lit("k"), F.col("id") % 70)).otherwise("hot").cast("binary").alias("key"),
+        F.col("id").cast("string").cast("binary").alias("value"))
+    pk.file_topic_sink(rows, str(tmp_path), "raw-packets")
+    kept = spark.read.parquet(str(tmp_path / "raw-packets")).withColumn("file", F.input_file_name())
+    assert kept.groupBy("key").agg(F.count_distinct("partition").alias("n")).where("n > 1").count() == 0
+    assert kept.where(F.col("key") == b"hot").select("file").distinct().count() == 5
+    stream = pk.file_topic_source(spark, str(tmp_path / "raw-packets"))
+    run_to_table(stream, str(tmp_path / "back"))
+    got = spark.read.parquet(str(tmp_path / "back"))
+    assert got.columns == ["key", "value"] and sorted(got.collect()) == sorted(rows.collect())
