@@ -6,9 +6,9 @@ prefixes, and encoding is a left-to-right automaton. A state is (last emitted to
 worked out on first use and kept. A token is emitted as soon as every start that a vocabulary entry could still
 extend lies on the far side of it: the lookahead is bounded by the longest entry.
 
-Decoding. Ids come in any slices. The decoder's state is the unfinished UTF-8 sequence (at most three bytes); what a token
-does in a state is worked out by a byte automaton on first use and kept. Malformed bytes become U+FFFD in the text; the bytes
-themselves are returned as they are.
+Decoding. Ids come in any slices. The decoder's state is the unfinished UTF-8 sequence (at most three bytes). A slice that holds
+only complete characters besides is decoded at once, any other by a byte automaton. Malformed bytes become U+FFFD in the text;
+the bytes themselves are returned as they are.
 
 Texts are cut at white-space runs first, where the pre-tokeniser pattern can never span, and each
 piece is looked up in a table of bounded size before the transducer runs.
@@ -234,26 +234,11 @@ class Pieces(dict):
         return ids
 
 
-class _Whole(dict):
-    """Id -> its text if it leaves the empty state empty, else None; worked out on first use."""
-
-    def __init__(self, decoder: StreamDecoder):
-        super().__init__()
-        self.decoder = decoder
-
-    def __missing__(self, i: int) -> str | None:
-        text, rest = self.decoder._walk(self.decoder.table[i])
-        self[i] = None if rest else text
-        return self[i]
-
-
 class StreamDecoder:
     """Incremental decoder: ``feed`` takes any slice of ids and returns the complete characters so far."""
 
     def __init__(self, table: dict[int, bytes]):
         self.table, self.pending = table, b""
-        self.known: dict[tuple[bytes, int], tuple[str, bytes]] = {}
-        self.whole = _Whole(self)
 
     @staticmethod
     def _needed(first: int) -> tuple[int, int, int]:
@@ -286,21 +271,24 @@ class StreamDecoder:
         return "".join(out), b""
 
     def feed(self, ids: Iterable[int]) -> str:
-        ids = list(ids)
-        whole = list(map(self.whole.__getitem__, ids))
-        if not self.pending and None not in whole:  # no sequence is open anywhere
-            return "".join(whole)
-        out, pending, known = [], self.pending, self.known
-        for i in ids:
-            step = known.get((pending, i))
-            if step is None:
-                step = self._walk(pending + self.table[i])
-                if len(known) < 200_000:
-                    known[pending, i] = step
-            out.append(step[0])
-            pending = step[1]
-        self.pending = pending
-        return "".join(out)
+        data = self.pending + b"".join(map(self.table.__getitem__, ids))
+        # The sequence that the slice leaves open: a first byte among the last three whose sequence needs more bytes than follow.
+        end = len(data)
+        for at in range(end - 1, max(end - 4, -1), -1):
+            if data[at] >= 0xC0:
+                if self._needed(data[at])[0] > end - at:
+                    end = at
+                break
+        try:
+            out, self.pending = data[:end].decode(), data[end:]
+        except UnicodeDecodeError:
+            pass
+        else:
+            if not self.pending or not self._walk(self.pending)[0]:
+                return out
+        # Malformed bytes: a byte automaton finds them.
+        out, self.pending = self._walk(data)
+        return out
 
     def close(self) -> str:
         """What an unfinished sequence at the end stands for."""
