@@ -198,3 +198,12 @@ def test_a_topic_partition_is_no_single_task(spark, tmp_path):
     run_to_table(stream, str(tmp_path / "back"))
     got = spark.read.parquet(str(tmp_path / "back"))
     assert got.columns == ["key", "value"] and sorted(got.collect()) == sorted(rows.collect())
+
+
+def test_table_is_spread_by_its_rows(spark, sf, monkeypatch):
+    from netwatch.sources import testtables as tt
+    whole = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(tt, "TASK_ROWS", whole // 10, raising=False)
+    rows = tt.table(spark, sf, "lineitem")
+    assert rows.rdd.getNumPartitions() >= 10 and rows.count() == whole
+    assert tt.table(spark, sf, "nation").rdd.getNumPartitions() == 1
