@@ -4,6 +4,7 @@ from collections import deque
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from netwatch.operators import alerts as al
@@ -172,3 +173,14 @@ def test_first_per_key(spark, n):
                         [F.col("sec"), F.col("sample_id")], n).toPandas()
     want = pdf.sort_values(["sec", "sample_id"]).groupby("metric").head(n)
     assert sorted(got.sample_id) == sorted(want.sample_id) and list(got.columns) == list(pdf.columns)
+
+
+def test_lagged_shuffles_only_first_rows_again(spark):
+    from netwatch.operators.ordered import lagged
+    rows = spark.range(40_000).selectExpr("id", "concat('k', id % 3) AS k", "id * 7 % 40000 AS sec", "id * 11 AS v")
+    out = lagged(rows, ["k"], "sec", ["id"], {"before": F.col("v")}, 500)
+    plain = rows.withColumn("before", F.lag("v").over(W.partitionBy("k").orderBy("sec", "id")))
+    assert out.exceptAll(plain).count() == 0 and out.count() == 40_000
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("Exchange hashpartitioning(k#") - plan.count("ReusedExchange") == 2
