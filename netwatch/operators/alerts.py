@@ -177,22 +177,40 @@ def query_alerts(
 
 def correlate_alerts(
     alerts: DataFrame, within: int = 60, max_age: int = 300, keys: Sequence[str] = ("sensor_id",),
-    tie: str = "alert_id", block_seconds: int = 3600,
+    tie: str = "alert_id", sep: str | None = None,
 ) -> DataFrame:
-    """Ids of earlier alerts of the same type less than ``within`` seconds before each alert.
+    """Ids of earlier alerts of the same type less than ``within`` seconds before each alert, oldest first: an array, or
+    with ``sep`` one text.
 
-    One window pass over time blocks with a ``within``-second overlap; no pairs are shuffled. Meant
-    for deduplicated alerts, of which a type has a handful per minute.
+    Time is cut into blocks as long as the look-back, which overlap by it; no pairs are shuffled. The ids of a block are
+    listed once in order, and each alert takes its own stretch of that list; as text that is one copy of bytes, whatever
+    the number of ids. The result has an id a pair: it is meant for deduplicated alerts, of which a type has a handful per
+    minute. Alerts without an id are in no list.
     """
     reach = min(within, max_age) - 1
-    frame = W.partitionBy(*keys, "attack_type", "_block").orderBy("t").rangeBetween(-reach, 0)
-    near = F.collect_list(F.struct("t", tie)).over(frame)
-    return (
-        with_overlap(alerts, "t", reach, block_seconds).withColumn("_near", near).where("_own")
-        .withColumn("correlated_alerts", F.transform(
-            F.sort_array(F.filter("_near", lambda a: (a["t"] < F.col("t")) | (a[tie] < F.col(tie)))),
-            lambda a: a[tie]))
-        .drop("_near", "_block", "_own"))
+    block = W.partitionBy(*keys, "attack_type", "_block")
+    inside = block.orderBy("t", tie)
+    whole = inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    # Places in the list, in ids or in bytes. Of rows that share time and id (peers), none is earlier than another.
+    if sep is None:
+        size, ids = F.lit(1), F.collect_list(tie)
+    else:
+        size, ids = F.octet_length(tie) + len(sep.encode()), F.listagg(F.col(tie).cast("binary"), F.lit(sep.encode()))
+    size = F.when(F.col(tie).isNotNull(), size)
+    peers = F.count(tie).over(inside) - F.rank().over(inside) + 1 + F.count_if(F.col(tie).isNull()).over(inside)
+    upto = F.coalesce(F.sum(size).over(inside), F.lit(0))
+    past = F.coalesce(F.sum(size).over(block.orderBy("t").rangeBetween(W.unboundedPreceding, -reach - 1)), F.lit(0))
+    placed = (
+        with_overlap(alerts, "t", reach, max(reach, 1))
+        .withColumn("_upto", (upto - F.coalesce(size * peers, F.lit(0))).cast("int"))
+        .withColumn("_past", past.cast("int"))
+        .withColumn("_ids", ids.over(whole)).where("_own"))
+    if sep is None:
+        found = F.slice("_ids", F.col("_past") + 1, F.col("_upto") - F.col("_past"))
+    else:
+        found = F.coalesce(F.substring("_ids", F.col("_past") + 1, F.greatest(
+            F.col("_upto") - F.col("_past") - len(sep.encode()), F.lit(0))).cast("string"), F.lit(""))
+    return placed.withColumn("correlated_alerts", found).drop("_upto", "_past", "_ids", "_block", "_own")
 
 
 def escalation_state(alerts: DataFrame, as_of: Column | int) -> DataFrame:

@@ -136,6 +136,22 @@ def test_correlation(spark):
     assert got == {"a1": [], "a2": ["a1"], "b1": [], "a3": []}
 
 
+def test_correlation_lists_are_cut_from_the_list_of_their_block(spark):
+    """Shared times, shared and missing ids, block edges; no window function runs over the rows of a look-back anew."""
+    rng = np.random.default_rng(5)
+    rows = [("s", int(t), None if i % 17 == 0 else f"é{i // 2 if i % 5 == 0 else i}", "x") for i, t in enumerate(
+        rng.integers(0, 300, 400))]
+    df = spark.createDataFrame(rows, "sensor_id string, t long, alert_id string, attack_type string")
+    want = sorted((t, a or "", [y for x, y in sorted(
+        (u, b) for _, u, b, _ in rows if b is not None and t - u < 40 and (u < t or (u == t and a is not None and b < a)))])
+        for _, t, a, _ in rows)
+    listed, text = al.correlate_alerts(df, 40), al.correlate_alerts(df, 40, sep=", ")
+    assert sorted((r.t, r.alert_id or "", r.correlated_alerts) for r in listed.collect()) == want
+    assert sorted((r.t, r.alert_id or "", r.correlated_alerts) for r in text.collect()) == [
+        (t, a, ", ".join(found)) for t, a, found in want]
+    assert "listagg" in text._jdf.queryExecution().toString() and "lambda" not in text._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("margin", [1e-4, 0.2])
 def test_exact_percentiles(spark, margin):
     rng = np.random.default_rng(3)
