@@ -44,27 +44,37 @@ def read_packets(spark: SparkSession, path: str, fmt: str = "parquet", streaming
 def _int(text: Column) -> Column:
     """Decimal, hexadecimal or fractional number text as bigint; null where it is none of them."""
     t = F.trim(text)
-    hexadecimal = F.conv(F.regexp_extract(t, "^0[xX]([0-9a-fA-F]+)$", 1), 16, 10).try_cast("bigint")
+    hexadecimal = F.conv(F.regexp_extract(t, "^0[xX]0*([0-9a-fA-F]{1,16})$", 1), 16, 10).try_cast("bigint")
     number = t.try_cast("double")
-    return F.when(t.rlike("^0[xX][0-9a-fA-F]+$"), hexadecimal).otherwise(F.coalesce(
-        t.try_cast("bigint"), F.when(~F.isnan(number), number.cast("bigint"))))
+    # Most cells are decimal or empty. A text that is no number at all costs an exception in the cast to double.
+    return F.when(t != "", F.coalesce(t.try_cast("bigint"), F.when(
+        t.rlike("^0[xX][0-9a-fA-F]+$"), hexadecimal).otherwise(F.when(~F.isnan(number), number.cast("bigint")))))
+
+
+_TEXT_CELLS = ("frame.time_epoch", "ip.src", "ip.dst", "ipv6.src", "ipv6.dst")
 
 
 def parse_field_dump(lines: DataFrame, sensor_id: str = "default") -> DataFrame:
     """Packets from 23-column field dumps; lines without both addresses are dropped.
 
     Short lines are padded with empty fields; a line without tabs may be separated by backslashes.
+
+    The cells of a line are read as numbers once, by one small expression over their array. Written out for each use, the
+    expressions make a method that the JVM only interprets. A line is split below an explode, which the filter on
+    addresses doesn't pass; it would split the line again for every address.
     """
-    line = F.regexp_replace("value", "[\r\n]+$", "")
+    line = F.rtrim("value", F.lit("\r\n"))
     parts = F.when(line.contains("\t"), F.split(line, "\t")).otherwise(F.split(line, r"\\"))
-    rows = lines.withColumn("_p", parts)
+    numbers = [n for n in FIELD_DUMP_COLUMNS if n not in _TEXT_CELLS]
+    rows = lines.select(F.explode(F.array(parts)).alias("_p")).select("_p", F.transform(
+        F.array(*[F.get("_p", F.lit(FIELD_DUMP_COLUMNS.index(n))) for n in numbers]), _int).alias("_n"))
     raw = {n: F.coalesce(F.get("_p", F.lit(i)), F.lit("")) for i, n in enumerate(FIELD_DUMP_COLUMNS)}
 
     def address(v4: str, v6: str) -> Column:
         return F.coalesce(F.nullif(F.trim(raw[v4]), F.lit("")), F.nullif(F.trim(raw[v6]), F.lit("")))
 
     def number(name: str, default: int = 0) -> Column:
-        return F.coalesce(_int(raw[name]), F.lit(default).cast("bigint"))
+        return F.coalesce(F.get("_n", F.lit(numbers.index(name))), F.lit(default).cast("bigint"))
 
     def first_nonzero(*names: str) -> Column:
         return F.coalesce(*[F.nullif(number(n), F.lit(0).cast("bigint")) for n in names],
@@ -74,7 +84,7 @@ def parse_field_dump(lines: DataFrame, sensor_id: str = "default") -> DataFrame:
         return F.greatest(F.lit(0), value - header)
 
     rows = rows.select(
-        "_p", address("ip.src", "ipv6.src").alias("src_ip"), address("ip.dst", "ipv6.dst").alias("dst_ip"),
+        "_p", "_n", address("ip.src", "ipv6.src").alias("src_ip"), address("ip.dst", "ipv6.dst").alias("dst_ip"),
         first_nonzero("ip.proto", "ipv6.nxt").alias("_proto"),
     ).where("src_ip IS NOT NULL AND dst_ip IS NOT NULL")
     proto = F.col("_proto")

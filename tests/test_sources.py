@@ -207,3 +207,18 @@ def test_table_is_spread_by_its_rows(spark, sf, monkeypatch):
     rows = tt.table(spark, sf, "lineitem")
     assert rows.rdd.getNumPartitions() >= 10 and rows.count() == whole
     assert tt.table(spark, sf, "nation").rdd.getNumPartitions() == 1
+
+
+def test_field_dump_lines_are_split_once(spark):
+    """The filter on addresses is not pushed below the splitting, and numbers are read by one expression."""
+    plan = pk.parse_field_dump(spark.range(3).selectExpr("CAST(id AS STRING) AS value"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 2 and plan.count("RLIKE(") == 1
+
+
+def test_field_dump_numbers_and_line_ends(spark):
+    """Hexadecimal, fractional, padded, too large, infinite and no numbers; every kind of line end."""
+    sizes = {"7": 7, " 0x1F ": 31, "12.9": 12, "1e3": 1000, "x": 0, "": 0, "nan": 0, "0xfffffffffffffffff": 0, "0x": 0}
+    lines = [f"1704067200.5\t10.0.0.1\t10.0.0.2\t6\t60\t64\t1\t2\t0x0002\t{text}{end}" for text in sizes for end in ("", "\n", "\r\n")]
+    rows = pk.parse_field_dump(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)).collect()
+    assert [r.sequence_number for r in rows] == [n for n in sizes.values() for _ in range(3)]
+    assert {(r.src_ip, r.dst_ip, r.flags, r.window_size) for r in rows} == {("10.0.0.1", "10.0.0.2", 2, 65535)}
