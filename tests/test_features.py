@@ -125,3 +125,29 @@ def test_filters_reach_the_scan(spark, make_packets, tmp_path):
     df = pf.filter_target(spark.read.parquet(str(tmp_path / "p")), "10.0.1.100").select("ts")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(EqualTo(src_ip" in plan and "checksum" not in plan
+
+
+def test_sliding_steps_in_portions(make_packets):
+    """The changes of a value don't depend on where portions of rows end, and no change point is sorted."""
+    import pyarrow as pa
+
+    rows = sorted(({"sensor_id": s, "b": b, "_h": hash(v), "dim": d, "v": v, "p": p, "c": 1 + p % 3}
+                   for s in ("s0", "s1") for b in (0, 1) for d in ("src_ip", "ttl") for v in ("x", "y", None)
+                   for p in range(b * 40 - 9 * b, b * 40 + 40) if (p + len(s + d + str(v))) % 5),
+                  key=lambda r: (r["sensor_id"], r["b"], r["_h"], r["dim"], str(r["v"]), r["p"]))
+    table = pa.Table.from_pylist(rows)
+
+    def run(portion, size):
+        out = ft._steps(iter(table.to_batches(size)), 1, [5, 10], 40, ["src_ip", "ttl"], ["src_ip"], portion)
+        return pa.Table.from_batches(out).to_pylist()
+
+    whole = run(10_000, 10_000)
+    assert len(whole) > 100 and whole == run(7, 3) == run(1, 50)
+    for s, b, w in (("s0", 0, 5), ("s1", 1, 10)):
+        distinct = 0
+        steps = {r["t"]: r["u_ttl"] for r in whole if (r["sensor_id"], r["b"], r["w"]) == (s, b, w)}
+        for t in range(b * 40, b * 40 + 40):
+            distinct += steps.get(t, 0)
+            assert distinct == len({r["v"] for r in rows if (r["sensor_id"], r["b"], r["dim"]) == (s, b, "ttl")
+                                    and t - w < r["p"] <= t})
+    assert "lag(" not in ft.multi_window_features(make_packets(_random_packets(20, 9)))._jdf.queryExecution().toString()
