@@ -34,3 +34,9 @@ def test_inventory_scan_to_alerts(spark, sf):
     alerts = scan_alerts(found, 300).collect()
     assert alerts and len({(r.host_id, r.security_key) for r in alerts}) == len(alerts)
     assert {r.severity for r in alerts} <= {"critical", "high", "medium", "warning"}
+
+
+def test_seconds_are_scored_and_gated_before_what_follows_is_planned(spark, sf):
+    from netwatch.plans.detection import second_detections
+    plan = second_detections(tt.packets(spark, sf))._jdf.queryExecution().analyzed().toString()
+    assert "format_string" not in plan and "EXP(" not in plan.upper()
